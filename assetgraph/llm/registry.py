@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from assetgraph.llm import decontamination, language_id, line_dedup, mixing, quality_rules, sharding, toxicity
+from assetgraph.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         line_dedup.op1_line_dedup,
         decontamination.op2_decontamination,
+        ngram_join.op3_ngram_join,
         toxicity.op5_toxicity,
         mixing.op6_mixing,
         sharding.op7_sharding,
