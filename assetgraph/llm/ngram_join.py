@@ -12,9 +12,10 @@ So a longer prefix (larger l) may ask for more shared shingles. Two orders are u
    against one hub of its group, not against all members: a large group of near copies becomes one
    component with as many verifications as members.
 3. Join between components. Only shingles that occur in two components matter; the others come first in
-   the order and match nothing. For each set the prefix length l is chosen by estimated cost: the postings
-   read, plus the candidates that can still reach l matches, each with the cost of its verification.
-   Postings meet first by component, so members of one component never pair. Every candidate with
+   the order and match nothing. Partners are told apart by size: each bin of partner sizes has its own
+   least overlap, a set with fewer such shingles than that skips the bin, and otherwise its prefix length l
+   is chosen by estimated cost: the postings read, plus the candidates that can still reach l matches, each
+   with the cost of its verification. Postings meet first by component, so members of one component never pair. Every candidate with
    min(lr, ls) matches is verified on the full sets, so no link between different texts is lost.
 
 Links are transitive in the result: a document's component is the smallest id reachable.
@@ -39,13 +40,29 @@ from assetgraph.llm.scratch import written
 SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 75
-SCREEN = 16
+SCREEN = 6
+#: Counting tasks, at least.
+MIN_PARTS = 64
 #: Shingles that a mapper holds before it sends them.
 HELD = 1 << 20
-MINHASHES = 4
+MINHASHES = 6
 HUB_ROUNDS = 2
+#: Min-hashes that a set and its hub have in common, at least (others are left to the join).
+HUB_MATCHES = 2
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 20.0
+#: Sizes are binned by steps of this ratio.
+BIN_RATIO = 1.05
+
+
+def _bin_edges() -> np.ndarray:
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * BIN_RATIO)))
+    return np.array(edges, np.int64)
+
+
+EDGES = _bin_edges()
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +133,7 @@ def _scan(parts: int, percent: int):
         some = np.flatnonzero(np.diff(cut))
         yield table(
             len(some), kind=pa.array(np.ones(len(some), np.int32)), pid=pa.array(some.astype(np.int32)),
-            a=pa.array([np.ascontiguousarray(t[cut[p] : cut[p + 1]].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for p in some], pa.binary()),
+            a=pa.array([np.ascontiguousarray(t[cut[p] : cut[p + 1]].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for p in some], pa.binary()),
             b=pa.array([r[cut[p] : cut[p + 1]].astype("<i8").tobytes() for p in some], pa.binary()),
         )
 
@@ -149,9 +166,9 @@ def _scan(parts: int, percent: int):
 
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """Of one counting task: documents and how many of their shingles occur twice or more in it."""
-    raw = np.frombuffer(b"".join(x.as_py() for x in table["a"]), np.uint8).reshape(-1, 6)
+    raw = np.frombuffer(b"".join(x.as_py() for x in table["a"]), np.uint8).reshape(-1, 5)
     t = np.zeros((len(raw), 8), np.uint8)
-    t[:, :6] = raw
+    t[:, :5] = raw
     r = np.frombuffer(b"".join(x.as_py() for x in table["b"]), "<i8")
     own, count = np.unique(r[W.repeated(t.view("<u8").ravel()) & (r >= 0)], return_counts=True)
     return pa.table({"rid": pa.array(own.astype(np.int64)), "shared": pa.array(count.astype(np.int64))})
@@ -165,9 +182,10 @@ def _unpack(it):
 
 
 def screen(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, survivors): documents (rid, id, th, n, fp1, fp2), survivors (rid)."""
+    """(documents, survivors): documents (rid, id, th, n, fp1, fp2), survivors (rid, lack), lack being the
+    share of prefix shingles that no other document has."""
     spark = docs.sparkSession
-    parts = min(65536, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(65536, max(MIN_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(docs[text_col].alias("text"), docs[id_col].cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(docs[text_col]).alias("th"))
     scanned = written(rows.mapInArrow(_scan(parts, percent), _SCAN), "shingles")
     documents = scanned.where("kind = 0").select("rid", "id", "th", "n", "fp1", "fp2")
@@ -177,7 +195,9 @@ def screen(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     n = F.col("n").cast("long")
     need = 1 + F.floor(F.ceil(n * percent / 100) / SCREEN)
     shared = counted.groupBy("rid").agg(F.sum("shared").alias("shared"))
-    alive = documents.join(shared, "rid").where(F.col("shared") >= need).select("rid")
+    alive = documents.join(shared, "rid").where(F.col("shared") >= need)
+    length = F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / SCREEN))
+    alive = alive.select("rid", F.round(1 - F.col("shared") / length, 4).alias("lack"))
     return documents, written(alive, "survivors")
 
 
@@ -188,8 +208,8 @@ def _full_sets(it):
             n = np.diff(begin)
             mins = [np.minimum.reduceat(W.mix(s ^ W.mix(np.uint64([k + 1]))), begin[:-1]).astype(np.int64) for k in range(MINHASHES)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(i, j - i), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.astype(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * MINHASHES), pa.array(np.stack(mins, axis=1).ravel()))],
-                names=["rid", "n", "s", "mins"],
+                [batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.astype(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * MINHASHES), pa.array(np.stack(mins, axis=1).ravel()))],
+                names=["rid", "lack", "n", "s", "mins"],
             )
 
 
@@ -204,16 +224,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def hub_links(sets: DataFrame, percent: int, rounds: int = HUB_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(links, roots): verified links of each set to one hub per min-hash group, and (rid, root)."""
-    keys = written(sets.select("rid", F.posexplode("mins").alias("k", "m")), "min-hashes")
+    keys = written(sets.select("rid", "lack", F.posexplode("mins").alias("k", "m")), "min-hashes")
     roots = sets.select("rid", F.col("rid").alias("root"))
     links = None
     for turn in range(rounds):
-        order = F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid")
-        members = keys.join(roots, "rid")
-        delegates = members.groupBy("k", "m", "root").agg(F.min(order)["rid"].alias("rid"))
-        delegates = written(delegates, "delegates")
-        hubs = written(delegates.groupBy("k", "m").agg(F.min(order)["rid"].alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members"), "hubs")
-        pairs = delegates.join(hubs, ["k", "m"]).where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
+        # first the sets with the fewest shingles of their own: the likely originals
+        order = F.struct("lack", "rid") if turn == 0 else F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid")
+        delegates = keys.join(roots, "rid").groupBy("k", "m", "root").agg(F.min(order).alias("x"))
+        delegates = written(delegates.select("k", "m", "x", F.col("x.rid").alias("rid")), "delegates")
+        hubs = written(delegates.groupBy("k", "m").agg(F.min("x")["rid"].alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members"), "hubs")
+        pairs = delegates.join(hubs, ["k", "m"]).where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= HUB_MATCHES)
         found = written(verify(written(pairs, "pairs"), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         known = connected(links)
@@ -228,33 +249,43 @@ def _cross(tokens: DataFrame) -> DataFrame:
 
 
 def _choose_prefix(percent: int):
-    """Of each set (rid, root, n, cross shingles with f): the prefix with the least estimated cost."""
+    """Of each set (rid, root, n, cross shingles with f), and for each bin of partner sizes in which it has
+    enough cross shingles for a link: the prefix with the least estimated cost."""
 
     def run(it):
         for batch in it:
-            out: dict[str, list] = {c: [] for c in ("rid", "root", "n", "ell", "tokens")}
-            for rid, root, n, cross in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                f = np.array([c["f"] for c in cross], np.float64)
-                t = np.array([c["token"] for c in cross], np.int64)
+            rid, root, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            lists = batch.column(3)
+            f_all, t_all = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            cut = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+            who, own, partner, ells, tokens = [], [], [], [], []
+            for d, n in enumerate(size.tolist()):
+                f, t = f_all[cut[d] : cut[d + 1]], t_all[cut[d] : cut[d + 1]]
+                most, least = len(f), int(least_overlap(n, percent))
+                if most < least:
+                    continue
                 order = np.lexsort((t, f))
-                f, t = f[order], t[order]
-                apart = n - least_overlap(n, percent) - (n - len(f))  # cross shingles before the first match is due
-                best, best_cost = None, np.inf
-                postings = np.cumsum(f)
-                ell = 1
-                while apart + ell <= len(f):
-                    k = apart + ell
-                    if k <= 0:
-                        best = (ell, 0)
+                t, postings = t[order], np.cumsum(f[order])
+                mine = int(np.searchsorted(EDGES, n, "right")) - 1
+                for k in range(int(np.searchsorted(EDGES, least, "right")) - 1, int(np.searchsorted(EDGES, n * 100 // percent, "right"))):
+                    overlap = -(-percent * (n + max(int(EDGES[k]), least)) // (100 + percent))
+                    if overlap > most:
                         break
-                    cost = postings[k - 1] * (1 + VERIFY_COST / ell)
-                    if cost < best_cost:
-                        best, best_cost = (ell, k), cost
-                    ell *= 2
-                if best and best[1] > 0:
-                    for c, x in zip(out, (rid, root, n, best[0], t[: best[1]].tolist())):
-                        out[c].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out["rid"], pa.int64()), pa.array(out["root"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["ell"], pa.int32()), pa.array(out["tokens"], pa.list_(pa.int64()))], names=list(out))
+                    options = [1 << e for e in range(overlap.bit_length()) if 1 << e <= overlap]
+                    ell = min(options, key=lambda e: postings[most - overlap + e - 1] * (1 + VERIFY_COST / e))
+                    who.append(d)
+                    own.append(mine)
+                    partner.append(k)
+                    ells.append(ell)
+                    tokens.append(t[: most - overlap + ell])
+            own, partner = np.array(own, np.int32), np.array(partner, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rid[who]), pa.array(root[who]), pa.array(size[who].astype(np.int32)), pa.array(np.array(ells, np.int32)), pa.array(np.minimum(own, partner)), pa.array(np.maximum(own, partner)),
+                    pa.array(np.where(own == partner, 2, own > partner).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))),
+                ],
+                names=["rid", "root", "n", "ell", "low", "high", "side", "tokens"],
+            )
 
     return run
 
@@ -271,13 +302,16 @@ def cross_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     left = written(left, "cross-sets")
     tokens = left.select("rid", "root", "n", F.explode("s").alias("token"))
     lists = tokens.join(_cross(tokens), "token").groupBy("rid").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.collect_list(F.struct("f", "token")).alias("cross"))
-    chosen = lists.select("rid", "root", "n", "cross").mapInArrow(_choose_prefix(percent), "rid long, root long, n int, ell int, tokens array<long>")
-    posts = written(chosen.select("rid", "root", "n", "ell", F.explode("tokens").alias("token")), "postings")
-    held = written(posts.groupBy("token", "root").agg(F.count("*").alias("f")), "held")
-    meet = held.select("token", F.col("root").alias("ra")).join(held.select("token", F.col("root").alias("rb")), "token").where("ra < rb")
-    a = posts.select("token", F.col("root").alias("ra"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("ell").alias("la"))
-    b = posts.select("token", F.col("root").alias("rb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("ell").alias("lb"))
-    both = meet.join(a, ["token", "ra"]).join(b, ["token", "rb"]).where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    chosen = lists.select("rid", "root", "n", "cross").mapInArrow(_choose_prefix(percent), "rid long, root long, n int, ell int, low int, high int, side int, tokens array<long>")
+    posts = written(chosen.select("rid", "root", "n", "ell", "low", "high", "side", F.explode("tokens").alias("token")), "postings")
+    # a pair of bins meets once: the smaller set's bin as side 0, the larger's as 1, equal bins as 2
+    key = ["token", "low", "high"]
+    held = written(posts.groupBy(*key, "side", "root").agg(F.count("*").alias("f")), "held")
+    one, other = (held.where(F.col("side") != k).select(*key, "side", F.col("root").alias(name)) for k, name in ((1, "ra"), (0, "rb")))
+    meet = one.join(other.drop("side"), key).where(F.when(F.col("side") == 2, F.col("ra") < F.col("rb")).otherwise(F.col("ra") != F.col("rb"))).drop("side")
+    a = posts.where("side <> 1").select(*key, F.col("root").alias("ra"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("ell").alias("la"))
+    b = posts.where("side <> 0").select(*key, F.col("root").alias("rb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("ell").alias("lb"))
+    both = meet.join(a, [*key, "ra"]).join(b, [*key, "rb"]).where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     pairs = both.groupBy("a", "b").agg(F.count("*").alias("matches"), F.first(F.least("la", "lb")).alias("need")).where("matches >= need")
     return written(verify(written(pairs.select("a", "b"), "cross-pairs"), sets, percent), "cross-links")
 
@@ -287,11 +321,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stays if one document of each component does)."""
     documents, alive = screen(docs, id_col, text_col, percent)
     living = written(documents.join(alive, "rid"), "living")
-    reps = written(living.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("rid", "id", "th")).alias("x")).select("fp1", "fp2", "n", "x.*"), "distinct-sets")
+    reps = written(living.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("rid", "id", "th", "lack")).alias("x")).select("fp1", "fp2", "n", "x.*"), "distinct-sets")
     texts = docs.select(docs[text_col].alias("text"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("th"))
-    wanted = reps.select("rid", F.col("id").alias("i"), F.col("th").alias("t"))
-    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["i"]) & (texts["th"] == wanted["t"])).select("text", "rid").dropDuplicates(["rid"])
-    sets = written(texts.mapInArrow(_full_sets, "rid long, n int, s array<long>, mins array<long>"), "sets")
+    wanted = reps.select("rid", "lack", F.col("id").alias("i"), F.col("th").alias("t"))
+    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["i"]) & (texts["th"] == wanted["t"])).select("text", "rid", "lack").dropDuplicates(["rid"])
+    sets = written(texts.mapInArrow(_full_sets, "rid long, lack double, n int, s array<long>, mins array<long>"), "sets")
     links, roots = hub_links(sets, percent)
     every = links.unionByName(cross_links(sets, roots, percent))
     known = connected(every)
