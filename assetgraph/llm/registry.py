@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetgraph.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, sharding, toxicity
+from assetgraph.llm import decontamination, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -10,12 +10,14 @@ QUERIES = {
         line_dedup.op1_line_dedup,
         decontamination.op2_decontamination,
         ngram_join.op3_ngram_join,
+        packing.op4_token_packing,
         toxicity.op5_toxicity,
         mixing.op6_mixing,
         sharding.op7_sharding,
         quality_rules.op8_quality_rules,
+        warc.op9_warc,
         language_id.op10_language_id,
     )
 }
 
-SQL = {"op1_line_dedup": line_dedup.OP1_SQL}
+SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op9_warc": warc.OP9_SQL}
