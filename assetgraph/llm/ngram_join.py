@@ -44,7 +44,7 @@ SCREEN = 6
 #: Counting tasks, at least.
 MIN_PARTS = 64
 #: Shingles that a mapper holds before it sends them.
-HELD = 1 << 20
+HELD = 400_000
 MINHASHES = 6
 HUB_ROUNDS = 2
 #: Min-hashes that a set and its hub have in common, at least (others are left to the join).

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; one document may exceed it. Arrays of 8 bytes per byte of text
 #: are made, so a worker needs some 60 times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
