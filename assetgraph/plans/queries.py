@@ -1,4 +1,383 @@
-"""Queries over the driver's tables, each with SQL for the same rows."""
+"""Queries over the driver's tables, each with SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assetgraph.functions import confidence as C
+from assetgraph.functions import urls as U
+from assetgraph.operators import audit, correlate, extract, fold, gaps, report, scope
+from assetgraph.sources import events as E
+
+INCLUDE, EXCLUDE, PREFILTER = ["*.example.com", "*.example.org"], ["*.spam-farm.example.org"], ["*.example.net"]
+NETWORKS = ["10.0.0.0/8", "100.0.0.0/6", "192.0.0.0/3"]
+NOW = "2026-01-10 00:00:00"
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", "url", U.scheme_of(url).alias("scheme"), U.canonical_host(U.netloc_of(url)).alias("host"), U.path_of(url).alias("path"))
+
+
+#: The same parsing in SQL, for the oracles.
+_URLS = r"""
+u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 1)) AS scheme,
+  regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 2)), '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS host,
+  regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 3) AS path FROM pages)"""
+_OPAQUE = r"""(regexp_matches(s, '^[0-9]+$') OR regexp_matches(lower(s), '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') OR regexp_matches(lower(s), '^[0-9a-f]{16,}$')
+  OR regexp_matches(s, '^[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$') OR regexp_matches(s, '^[A-Za-z0-9_-]{40,}$') OR (regexp_matches(s, '^[A-Za-z0-9]{20,}$') AND regexp_matches(s, '[0-9]')))"""
+_TEMPLATES = rf"""
+p AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM u),
+t AS (SELECT *, CASE WHEN regexp_matches(path, '^[\x21-\x7e]*$') AND NOT contains(path, '@') AND len(segs) <= 12 AND length('/' || array_to_string(list_transform(segs, lambda s: CASE WHEN {_OPAQUE} THEN '{{id}}' ELSE s END), '/')) <= 200
+  THEN '/' || array_to_string(list_transform(segs, lambda s: CASE WHEN {_OPAQUE} THEN '{{id}}' ELSE s END), '/') ELSE '' END AS template FROM p)"""
+_VERDICT = """CASE WHEN host LIKE '%.spam-farm.example.org' OR host = 'spam-farm.example.org' THEN 'out_of_scope'
+  WHEN host LIKE '%.example.com' OR host = 'example.com' OR host LIKE '%.example.org' OR host = 'example.org' THEN 'in_scope'
+  WHEN host LIKE '%.example.net' OR host = 'example.net' THEN 'prefilter_only' ELSE 'out_of_scope' END"""
+
+
+@query(rf"""WITH {_URLS}, {_TEMPLATES},
+ok AS (SELECT scheme, host, template, lpad(CAST(page_id AS VARCHAR), 14, '0') AS ts, 'web:' || scheme || '://' || host AS app FROM t WHERE scheme IN ('http', 'https') AND template <> '' AND {_VERDICT} = 'in_scope'),
+r AS (SELECT *, CASE WHEN host LIKE '%.example.com' OR host = 'example.com' THEN 'included by ''*.example.com''' ELSE 'included by ''*.example.org''' END AS rule_matched FROM ok)
+SELECT app AS id, 'WebApp' AS type, host, scheme, '' AS template, min(ts) AS archived_timestamp, rule_matched FROM r GROUP BY ALL
+UNION ALL SELECT 'route:' || app || template, 'Route', host, scheme, template, min(ts), rule_matched FROM r GROUP BY app, host, scheme, template, rule_matched""")
+def archive_routes(spark, sf_dir):
+    captures = table(spark, sf_dir, "pages").select(F.col("url").alias("original"), F.lpad(F.col("page_id").cast("string"), 14, "0").alias("timestamp"))
+    return extract.archive_routes(captures, scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER))
+
+
+@query(rf"""WITH {_URLS}, q AS (SELECT page_id, scheme, host, path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> '')) AS args FROM u)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(args) = 0 THEN '' ELSE '?' || array_to_string(args, '&') END AS canonical_url FROM q""")
+def canonical_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query(rf"""WITH {_URLS}, d AS (SELECT CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS registrable, host FROM u)
+SELECT registrable, count(*) AS n_pages, count(DISTINCT host) AS n_hosts FROM d GROUP BY registrable""")
+def registrable_domains(spark, sf_dir):
+    hosts = page_hosts(spark, sf_dir)
+    return hosts.groupBy(U.registrable_domain(F.col("host")).alias("registrable")).agg(F.count("*").alias("n_pages"), F.count_distinct("host").alias("n_hosts"))
+
+
+@query(rf"WITH {_URLS}, {_TEMPLATES} SELECT page_id, template FROM t")
+def path_templates(spark, sf_dir):
+    return page_hosts(spark, sf_dir).select("page_id", U.path_template(F.col("path")).alias("template"))
+
+
+@query(rf"""WITH {_URLS} SELECT page_id, 'dns:' || host AS dns_id, 'web:' || scheme || '://' || host AS webapp_id, 'op:GET:route:web:' || scheme || '://' || host || '/' AS operation_id, 'cert:' || sha256(host) AS certificate_id,
+regexp_matches(host, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$') AS valid FROM u""")
+def node_ids(spark, sf_dir):
+    host, scheme = F.col("host"), F.col("scheme")
+    app = U.webapp_id(scheme, host)
+    return page_hosts(spark, sf_dir).select("page_id", U.dns_id(host).alias("dns_id"), app.alias("webapp_id"), U.operation_id(F.lit("get"), U.route_id(app, F.lit("/"))).alias("operation_id"), U.certificate_id(host.cast("binary")).alias("certificate_id"), U.valid_fqdn(host).alias("valid"))
+
+
+_EMAIL_SQL = C.EMAIL.replace("'", "''")
+
+
+@query(f"""WITH f AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_EMAIL_SQL}') AS found FROM documents),
+r AS (SELECT doc_id, text, found, list_reduce(list_prepend(text, found), lambda acc, x: replace(acc, x, '…+' || substr(sha256(x), 1, 16))) AS loose FROM f)
+SELECT doc_id, CAST(len(found) AS BIGINT) AS n_found, length(regexp_replace(text, '{_EMAIL_SQL}', '', 'g')) + 18 * len(found) AS n_chars_left,
+  array_to_string(list_transform(found, lambda x: '…+' || substr(sha256(x), 1, 16)), ' ') AS marks FROM r""")
+def pii_minimise(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    safe = C.minimise_pii(F.col("text"))
+    return docs.select("doc_id", C.pii_count(F.col("text")).alias("n_found"), F.char_length(safe).cast("long").alias("n_chars_left"), F.array_join(F.regexp_extract_all(safe, F.lit("…\\+[0-9a-f]{16}"), F.lit(0)), " ").alias("marks"))
+
+
+_SECRET_SQL = r"^(?:ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}|[A-Za-z0-9+/]{32,}={0,2}|[0-9a-fA-F]{32,})$"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), '"', ' '), ' ')) AS word FROM documents)
+SELECT doc_id, count(*) AS n_secrets, string_agg(DISTINCT substr(word, 1, 4) || '…+' || substr(sha256(word), 1, 16), ' ' ORDER BY substr(word, 1, 4) || '…+' || substr(sha256(word), 1, 16)) AS redacted
+FROM w WHERE regexp_matches(word, '{_SECRET_SQL}') GROUP BY doc_id""")
+def secret_redact(spark, sf_dir):
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), '"', " "), " "), lambda x: x.rlike(C.SECRET))
+    found = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    return found.select("doc_id", F.size("words").cast("long").alias("n_secrets"), F.array_join(F.array_sort(F.array_distinct(C.redact_secret_shaped(F.col("words")))), " ").alias("redacted"))
+
+
+_IP_SQL = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+_IPV4_SQL = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+
+
+def document_addresses(spark, sf_dir):
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_IP_SQL), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("value"))
+
+
+@query(rf"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_IP_SQL}')) AS value FROM documents)
+SELECT doc_id, value, CASE WHEN regexp_matches(value, '{_IPV4_SQL}') THEN 'ip' ELSE 'host' END AS kind,
+  CASE WHEN regexp_matches(value, '{_IPV4_SQL}') THEN CAST(split_part(value, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(value, '.', 2) AS BIGINT) * 65536 + CAST(split_part(value, '.', 3) AS BIGINT) * 256 + CAST(split_part(value, '.', 4) AS BIGINT) END AS number FROM a""")
+def ip_classify(spark, sf_dir):
+    kind = U.classify_value(F.col("value"))
+    return document_addresses(spark, sf_dir).select("doc_id", "value", kind.alias("kind"), F.when(kind == "ip", U.ipv4_number(F.col("value"))).cast("long").alias("number"))
+
+
+@query(rf"""WITH {_URLS} SELECT page_id, host, {_VERDICT} AS verdict, {_VERDICT} = 'in_scope' AS actionable FROM u""")
+def scope_verdicts(spark, sf_dir):
+    bound = scope.bind_scope(page_hosts(spark, sf_dir).select("page_id", "host"), "host", scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER))
+    return scope.scope_check(bound).select("page_id", "host", "verdict", "actionable")
+
+
+@query(rf"WITH {_URLS} SELECT {_VERDICT} AS verdict, count(*) AS n FROM u GROUP BY 1")
+def verdict_histogram(spark, sf_dir):
+    return scope.verdict_histogram(scope.bind_scope(page_hosts(spark, sf_dir).select("host"), "host", scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER)))
+
+
+@query(rf"""WITH a AS (SELECT DISTINCT value FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{_IP_SQL}')) AS value FROM documents) WHERE regexp_matches(value, '{_IPV4_SQL}')),
+n AS (SELECT value, CAST(split_part(value, '.', 1) AS INT) AS o FROM a)
+SELECT value, CASE WHEN o >= 224 THEN 'out_of_scope' WHEN o = 10 OR o BETWEEN 100 AND 103 OR o >= 192 THEN 'in_scope' ELSE 'out_of_scope' END AS verdict,
+  CASE WHEN o >= 224 THEN 'excluded by ''224.0.0.0/4''' WHEN o = 10 THEN 'included by ''10.0.0.0/8''' WHEN o BETWEEN 100 AND 103 THEN 'included by ''100.0.0.0/6''' WHEN o >= 192 THEN 'included by ''192.0.0.0/3'''
+  ELSE 'not matched by any include rule (default deny)' END AS rule_matched FROM n WHERE o < 240""")
+def cidr_verdicts(spark, sf_dir):
+    rules = scope.scope_rules(spark, NETWORKS, ["224.0.0.0/4"])
+    ips = document_addresses(spark, sf_dir).select("value").where(U.is_ipv4(F.col("value"))).distinct().where(U.ipv4_number(F.col("value")) < 240 * 256**3)
+    return scope.bind_scope(ips, "value", rules).select("value", "verdict", "rule_matched")
+
+
+def observations(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rows.select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("host:"), F.col("user_id").cast("string")).alias("id"), F.lit("Host").alias("type"), F.col("event_type").alias("tool"), F.lit("r1").alias("rule_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("attrs"),
+    )
+
+
+_OBS = """o AS (SELECT event_id AS seq, 'host:' || user_id AS id, event_type AS tool, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, json_extract_string(props, '$.k') AS k FROM events),
+b AS (SELECT *, first_value(k) OVER (PARTITION BY id ORDER BY seq) AS k0 FROM o)"""
+
+
+@query(f"""WITH {_OBS} SELECT id, any_value(k0) AS k, count(DISTINCT tool) AS n_sources, round(0.8::DOUBLE * (count(DISTINCT tool) - 1), 9) AS log_odds, arg_min(ts, seq) AS first_seen, arg_max(ts, seq) AS last_seen, count(*) AS observations
+FROM b WHERE k = k0 GROUP BY id""")
+def graph_project(spark, sf_dir):
+    base = fold.project_graph(observations(spark, sf_dir)).where("fork = 0")
+    return base.select("id", F.col("attrs")["k"].alias("k"), F.size("sources").cast("long").alias("n_sources"), F.round("log_odds", 9).alias("log_odds"), "first_seen", "last_seen", "observations")
+
+
+@query(f"""WITH {_OBS} SELECT id || '#fork' || row_number() OVER (PARTITION BY id ORDER BY seq) AS id, id AS base, k, ts AS first_seen FROM b WHERE k <> k0""")
+def graph_forks(spark, sf_dir):
+    forks = fold.project_graph(observations(spark, sf_dir)).where("fork > 0")
+    return forks.select("id", "base", F.col("attrs")["k"].alias("k"), "first_seen")
+
+
+@query("SELECT 'host:' || user_id AS id, count(DISTINCT event_type) AS n_sources, round(0.8::DOUBLE * (count(DISTINCT event_type) - 1), 9) AS log_odds FROM events GROUP BY 1")
+def corroboration(spark, sf_dir):
+    return fold.corroboration(observations(spark, sf_dir).drop("attrs"))
+
+
+@query("SELECT sha256(text) AS sha256, length(any_value(text)) AS n_chars, count(*) AS n_refs FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def evidence_store(spark, sf_dir):
+    return E.put_evidence(table(spark, sf_dir, "documents"), "text").select("sha256", F.char_length("raw").cast("long").alias("n_chars"), "n_refs")
+
+
+def event_log(spark, sf_dir):
+    """The events table in the log's shape: a day is a run, and event types stand for kinds."""
+    kind = F.when(F.col("event_type") == "click", "gap_dispatched").when(F.col("event_type") == "error", "contradiction_forked").when(F.col("event_type") == "purchase", "rate_debit").otherwise("node_upserted")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.date_format("ts", "yyyy-MM-dd").alias("run_id"), kind.alias("kind"), F.concat(F.lit("gap:"), F.col("user_id").cast("string")).alias("id"),
+        F.when(F.col("value") > 20, "created").otherwise("merged").alias("outcome"), F.col("event_type").alias("type"), F.lit(None).cast("string").alias("decision"),
+    )
+
+
+_LOG = """l AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d') AS run_id, 'gap:' || user_id AS id, event_type AS type,
+  CASE event_type WHEN 'click' THEN 'gap_dispatched' WHEN 'error' THEN 'contradiction_forked' WHEN 'purchase' THEN 'rate_debit' ELSE 'node_upserted' END AS kind,
+  CASE WHEN value > 20 THEN 'created' ELSE 'merged' END AS outcome FROM events)"""
+_DELTA = """SELECT run_id, count(*) FILTER (WHERE kind = 'node_upserted' AND outcome = 'created') AS nodes_created, count(*) FILTER (WHERE kind = 'node_upserted' AND outcome <> 'created') AS nodes_merged,
+  CAST(0 AS BIGINT) AS edges_created, count(*) FILTER (WHERE kind = 'contradiction_forked') AS forks, count(*) FILTER (WHERE kind = 'gap_dispatched') AS gaps_dispatched, CAST(0 AS BIGINT) AS refusals,
+  count(*) FILTER (WHERE kind = 'rate_debit') AS rate_debits, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts FROM {} GROUP BY run_id"""
+
+
+@query(f"WITH {_LOG} " + _DELTA.format("l"))
+def run_delta(spark, sf_dir):
+    return report.run_delta(event_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT run_id, type, count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome <> 'created') AS merged FROM l WHERE kind = 'node_upserted' GROUP BY run_id, type")
+def run_delta_by_type(spark, sf_dir):
+    return report.run_delta_by_type(event_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG}, s AS (SELECT * FROM l WHERE run_id > '2024-01-10') " + _DELTA.format("s"))
+def delta_since(spark, sf_dir):
+    return report.run_delta(report.events_since(event_log(spark, sf_dir), run_id="2024-01-10"))
+
+
+@query(f"WITH {_LOG}, r AS (SELECT run_id, min(seq) AS first_seq FROM l GROUP BY run_id) SELECT run_id, first_seq, CAST(row_number() OVER (ORDER BY first_seq) AS INT) AS position FROM r")
+def run_order(spark, sf_dir):
+    return report.run_order(event_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT id AS gap_id, max(ts) AS last_dispatch, count(*) AS n FROM l WHERE kind = 'gap_dispatched' GROUP BY id")
+def dispatch_history(spark, sf_dir):
+    return report.dispatch_history(event_log(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT event_type AS type, count(*) AS n FROM events WHERE value <= 20 GROUP BY 1), a AS (SELECT event_type AS type, count(*) AS n FROM events WHERE value > 20 GROUP BY 1)
+SELECT coalesce(a.type, b.type) AS type, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM a FULL JOIN b ON a.type = b.type WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def cycle_diff(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "type")
+    return report.cycle_diff(report.type_counts(rows.where("value <= 20")), report.type_counts(rows.where("value > 20")))
+
+
+@query("""WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (WHERE value <= 20))) AS o, list_sort(list_distinct(list(event_type) FILTER (WHERE value > 20))) AS n FROM events GROUP BY user_id),
+c AS (SELECT user_id, coalesce(o, []) AS o, coalesce(n, []) AS n FROM s)
+SELECT user_id, array_to_string(list_filter(n, lambda x: NOT list_contains(o, x)), ',') AS added, array_to_string(list_filter(o, lambda x: NOT list_contains(n, x)), ',') AS removed, o <> n AS drifted FROM c""")
+def policy_drift(spark, sf_dir):
+    """Each user's event types of small and of large value, as an old and a new policy."""
+    none = F.array().cast("array<string>")
+    old, new = (F.collect_set(F.when(c, F.col("event_type"))) for c in (F.col("value") <= 20, F.col("value") > 20))
+    pairs = table(spark, sf_dir, "events").groupBy("user_id").agg(old.alias("old_include"), new.alias("new_include"))
+    fixed = {f"{w}_{c}": none for w in ("old", "new") for c in ("exclude", "prefilter")} | {f"{w}_content_sha256": F.lit("") for w in ("old", "new")}
+    drift = report.detect_drift(pairs.withColumns(fixed))
+    return drift.select("user_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), "drifted")
+
+
+def order_graph(spark, sf_dir):
+    """Customers, orders and line items as nodes; what they contain as edges."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    cid, oid = F.concat(F.lit("c:"), F.col("o_custkey").cast("string")), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))
+    lid = F.concat_ws(":", F.lit("l"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    edges = orders.select(cid.alias("frm"), oid.alias("to")).unionByName(lines.select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("frm"), lid.alias("to")))
+    returned = lines.where("l_returnflag = 'R'").select(lid.alias("id")).distinct()
+    return edges, returned
+
+
+@query("""SELECT 'c:' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R')""")
+def lacks_two_hop(spark, sf_dir):
+    edges, returned = order_graph(spark, sf_dir)
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return gaps.lacks_two_hop(nodes, edges, returned)
+
+
+@query("SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def lacks_out_edge(spark, sf_dir):
+    edges, _ = order_graph(spark, sf_dir)
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return gaps.lacks_out_edge(nodes, edges.withColumn("type", F.lit("has")), "has")
+
+
+def customer_nodes(spark, sf_dir):
+    edges, _ = order_graph(spark, sf_dir)
+    seen = edges.select(F.col("frm").alias("id"), F.lit(True).alias("has")).distinct()
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_nationkey") % 2 == 0, "WebApp").otherwise("Domain").alias("type"), F.when(F.col("c_acctbal") >= 0, "in_scope").otherwise("out_of_scope").alias("verdict"),
+        (F.col("c_nationkey") / 10.0).alias("log_odds"), F.date_format(F.date_sub(F.lit("2026-01-10").cast("date"), F.col("c_nationkey") * 2), "yyyy-MM-dd").alias("last_verified"), F.lit("P14D").alias("half_life"),
+    )
+    flags = F.array_compact(F.array(F.lit("not_enumerated"), F.when(F.col("has").isNull(), F.lit("no_auth")), F.when(F.col("type") == "WebApp", F.lit("no_contract"))))
+    return rows.join(seen, "id", "left").withColumn("flags", flags)
+
+
+_GAPS = """n AS (SELECT 'c:' || c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN 'WebApp' ELSE 'Domain' END AS type, 1 + c_nationkey * 2 / 14.0 AS stale,
+  greatest(0.05, 1 - 1 / (1 + exp(-(c_nationkey / 10.0)))) AS deficit, c_custkey NOT IN (SELECT o_custkey FROM orders) AS no_auth FROM customer WHERE c_acctbal >= 0),
+r(rule, type, value, cost) AS (VALUES ('enumerate-ct', 'Domain', 5.0, 1.0), ('auth-model', 'WebApp', 5.0, 1.5), ('mobile-association', 'WebApp', 4.0, 1.5), ('api-contract', 'WebApp', 6.0, 2.0), ('graphql-contract', 'WebApp', 6.0, 2.0)),
+g AS (SELECT rule || ':' || id AS gap_id, rule, id AS node_id, value * stale * deficit / cost AS priority FROM n JOIN r USING (type) WHERE rule NOT IN ('auth-model', 'mobile-association') OR no_auth
+UNION ALL SELECT 'reverify:' || id, 'reverify', id, stale * deficit / 2 FROM n WHERE stale > 3)"""
+
+
+@query(f"WITH {_GAPS} SELECT gap_id, rule, node_id, round(priority, 9) AS priority FROM g")
+def gap_rank(spark, sf_dir):
+    found = gaps.rank_gaps(gaps.plan_gaps(customer_nodes(spark, sf_dir), None, NOW, allow_active=True))
+    return found.select("gap_id", "rule", "node_id", F.round("priority", 9).alias("priority"))
+
+
+@query(f"WITH {_GAPS} SELECT gap_id, round(priority, 9) AS priority FROM g WHERE rule IN ('enumerate-ct', 'reverify') ORDER BY g.priority DESC, gap_id LIMIT 1")
+def next_gap(spark, sf_dir):
+    found = gaps.next_gap(gaps.plan_gaps(customer_nodes(spark, sf_dir), None, NOW, allow_active=True))
+    return found.select("gap_id", F.round("priority", 9).alias("priority"))
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS type, count(*) AS n, round(avg(CASE WHEN o_totalprice > 100000 THEN 0.20 ELSE 0 END + CASE WHEN o_orderpriority LIKE '1%' THEN 0.15 ELSE 0 END), 3) AS avg_score FROM orders GROUP BY 1""")
+def coverage_report(spark, sf_dir):
+    signals = F.create_map(F.lit("fingerprinted"), F.col("o_totalprice") > 100000, F.lit("enumerated"), F.col("o_orderpriority").startswith("1"))
+    nodes = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("type"), C.coverage_score(signals).alias("score"))
+    return gaps.coverage_report(nodes)
+
+
+@query("""SELECT c_custkey, round(1 / (1 + exp(-(c_acctbal / 2500))), 9) AS probability, CASE WHEN c_acctbal / 2500 >= 3 THEN 'verified' WHEN c_acctbal / 2500 >= 2.2 THEN 'corroborated' ELSE 'observed' END AS state FROM customer""")
+def confidence_states(spark, sf_dir):
+    x = F.col("c_acctbal") / 2500
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(C.probability(x), 9).alias("probability"), C.confidence_state(x).alias("state"))
+
+
+@query("""WITH h AS (SELECT doc_id AS id, sha256(text) AS f FROM documents WHERE trim(coalesce(text, '')) <> ''), s AS (SELECT f FROM h GROUP BY f HAVING count(DISTINCT id) BETWEEN 2 AND 25)
+SELECT a.id AS a, b.id AS b, 'same_as' AS type, 'response_hash' AS signal, 2.0::DOUBLE AS log_odds FROM h a JOIN h b ON a.f = b.f AND a.id < b.id WHERE a.f IN (SELECT f FROM s)""")
+def identity_clusters(spark, sf_dir):
+    prints = table(spark, sf_dir, "documents").where(F.trim("text") != "").select(F.lit("response_hash").alias("signal"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("fingerprint"))
+    return correlate.correlate(prints)
+
+
+@query("SELECT CAST(label AS VARCHAR) AS fingerprint, count(DISTINCT vec_id) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY label HAVING count(DISTINCT vec_id) > 25")
+def oversized_clusters(spark, sf_dir):
+    return correlate.oversized_clusters(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("fingerprint")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id, event_id, sec, k, TRUE AS accepted, 2.0::DOUBLE AS bal FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.sec, e.k, least(3.0, w.bal + greatest(0, e.sec - w.sec) * 0.00002) >= 1, least(3.0, w.bal + greatest(0, e.sec - w.sec) * 0.00002) - CASE WHEN least(3.0, w.bal + greatest(0, e.sec - w.sec) * 0.00002) >= 1 THEN 1 ELSE 0 END
+FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT user_id AS target, event_id AS seq, accepted, round(bal, 6) AS balance_after FROM w""")
+def token_bucket(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("target"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").cast("double").alias("at"), F.lit(1.0).alias("cost"))
+    return audit.token_bucket(rows, 0.00002, 3.0).withColumn("balance_after", F.round("balance_after", 6))
+
+
+@query("""SELECT 'I3' AS code, 'c:' || c_custkey AS detail FROM customer WHERE c_acctbal < 0 AND c_nationkey > 10
+UNION ALL SELECT 'I1', 'c:' || c_custkey FROM customer WHERE c_nationkey = 3
+UNION ALL SELECT 'I4', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < -500
+UNION ALL SELECT 'I5', 'o:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 1
+UNION ALL SELECT 'I9', 'o:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def invariant_violations(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    cid = lambda c: F.concat(F.lit("c:"), F.col(c).cast("string"))
+    nodes = customers.select(
+        cid("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 2 == 0, "Artifact").otherwise("Host").alias("type"), F.when(F.col("c_nationkey") == 3, "snap:old").otherwise("snap:new").alias("snapshot_id"), (F.col("c_nationkey") > 10).alias("active_probed"),
+        F.when(F.col("c_acctbal") < 0, "out_of_scope").otherwise("in_scope").alias("verdict"), F.when(F.col("c_mktsegment") == "BUILDING", "other").alias("data_subject"), F.lit(None).cast("string").alias("forked_from"),
+    )
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("derived_from").alias("type"), F.lit("x").alias("frm"), cid("o_custkey").alias("to"))
+    ledger = customers.select(F.col("c_custkey").alias("target"), (F.col("c_acctbal") + 500).alias("balance_after"))
+    return audit.invariants(nodes, edges, ledger, "snap:new")
+
+
+@query(rf"""WITH {_URLS}, h AS (SELECT DISTINCT host FROM u), d AS (SELECT DISTINCT CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS apex FROM h),
+w(word) AS (SELECT unnest(['api', 'dev', 'stage', 'staging', 'test', 'qa', 'internal', 'admin', 'auth', 'cdn', 'static', 'gateway', 'graphql', 'ws', 'mobile']))
+SELECT word || '.' || apex AS fqdn, 'prefix' AS generator FROM d, w WHERE word || '.' || apex NOT IN (SELECT host FROM h)""")
+def candidate_names(spark, sf_dir):
+    """The hosts of pages hold no digits, so all candidates come from prefixes; siblings are in the tests."""
+    return extract.candidate_names(page_hosts(spark, sf_dir).select("host"))
+
+
+@query(r"""SELECT page_id, substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 200) AS title FROM pages""")
+def page_titles(spark, sf_dir):
+    return extract.page_titles(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) SELECT user_id, event_id, value FROM r WHERE k <= 3""")
+def top_per_user(spark, sf_dir):
+    kept, _ = gaps.top_n_per_group(table(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), F.asc("event_id")], 3)
+    return kept.select("user_id", "event_id", "value")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'REFUSE' WHEN c_acctbal < 0 THEN 'REFUSE' ELSE 'ALLOW' END AS decision,
+CASE WHEN c_nationkey % 3 = 0 THEN 'verb is not schedulable' WHEN c_acctbal < 0 THEN 'verdict is out_of_scope' ELSE '' END AS reason FROM customer""")
+def gate_decisions(spark, sf_dir):
+    verb = F.when(F.col("c_nationkey") % 3 == 0, "exploit").when(F.col("c_nationkey") % 3 == 1, "resolve").otherwise("fingerprint")
+    requests = table(spark, sf_dir, "customer").select("c_custkey", verb.alias("verb"), F.when(F.col("c_acctbal") < 0, "out_of_scope").otherwise("in_scope").alias("verdict"))
+    return audit.gate_decisions(requests, True, True).select("c_custkey", "decision", "reason")
