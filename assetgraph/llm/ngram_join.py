@@ -292,7 +292,7 @@ def _choose_prefix(percent: int):
 
 def cross_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All links between sets of different components."""
-    owned = written(sets.select("rid", "n", "s").join(roots, "rid"), "owned")
+    owned = written(sets.select("rid", "n", "s").join(roots.hint("merge"), "rid"), "owned")
     n = F.col("n").cast("long")
     # the screen again, now counting only what occurs in two components
     length = F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / SCREEN)).cast("int")
@@ -324,7 +324,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = written(living.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("rid", "id", "th", "lack")).alias("x")).select("fp1", "fp2", "n", "x.*"), "distinct-sets")
     texts = docs.select(docs[text_col].alias("text"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("th"))
     wanted = reps.select("rid", "lack", F.col("id").alias("i"), F.col("th").alias("t"))
-    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["i"]) & (texts["th"] == wanted["t"])).select("text", "rid", "lack").dropDuplicates(["rid"])
+    # a table that grows with the corpus: merged at every size, so that a small run tells of a large one
+    texts = texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(wanted["i"]) & (texts["th"] == wanted["t"])).select("text", "rid", "lack").dropDuplicates(["rid"])
     sets = written(texts.mapInArrow(_full_sets, "rid long, lack double, n int, s array<long>, mins array<long>"), "sets")
     links, roots = hub_links(sets, percent)
     every = links.unionByName(cross_links(sets, roots, percent))
