@@ -61,8 +61,7 @@ def normalize_host(value: Column) -> Column:
     return F.regexp_replace(F.when(F.regexp_count(host, F.lit(":")) == 1, F.regexp_replace(host, r":.*$", "")).otherwise(host), r"\.+$", "")
 
 
-@F.pandas_udf("string")
-def _idna(host: pd.Series) -> pd.Series:
+def _idna_all(host: pd.Series) -> pd.Series:
     def one(x):
         try:
             return x.encode("idna").decode("ascii").lower()
@@ -75,7 +74,7 @@ def _idna(host: pd.Series) -> pd.Series:
 def with_idna(df: DataFrame, column: str) -> DataFrame:
     """df with the host column in ASCII form; only rows beyond ASCII visit Python."""
     plain = F.col(column).isNull() | F.col(column).rlike(r"^[\x00-\x7f]*$")
-    return df.where(plain).unionByName(df.where(~plain).withColumn(column, _idna(column)))
+    return df.where(plain).unionByName(df.where(~plain).withColumn(column, F.pandas_udf(_idna_all, "string")(column)))
 
 
 def is_ipv4(host: Column) -> Column:
@@ -106,7 +105,7 @@ def authority(host: Column, port: Column, scheme: Column) -> Column:
 
 
 def port_of(url: Column) -> Column:
-    return F.expr("try_cast(null as int)") if url is None else F.regexp_extract(netloc_of(url), r":([0-9]+)$", 1).try_cast("int")
+    return F.regexp_extract(netloc_of(url), r":([0-9]+)$", 1).try_cast("int")
 
 
 def canonical_url(url: Column) -> Column:
