@@ -9,8 +9,8 @@ So a longer prefix (larger l) may ask for more shared shingles. Two orders are u
    tasks as packed arrays; each mapper counts what repeats inside its own share and sends one of each, so
    a passage in every document costs one entry per mapper.
 2. Copies collapse to one set. The sets that are left are grouped by min-hashes, and each is verified
-   against one hub of its group, not against all members: a large group of near copies becomes one
-   component with as many verifications as members.
+   against a few hubs of its group (those with the fewest shingles of their own), not against all members: a large group of near copies becomes one
+   component with verifications in proportion to its members.
 3. Join between components. Only shingles that occur in two components matter; the others come first in
    the order and match nothing. Partners are told apart by size: each bin of partner sizes has its own
    least overlap, a set with fewer such shingles than that skips the bin, and otherwise its prefix length l
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from assetgraph.llm import words as W
 from assetgraph.llm.components import connected
-from assetgraph.llm.scratch import written
+from assetgraph.llm.scratch import discard, written
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -47,7 +47,9 @@ MIN_PARTS = 64
 HELD = 400_000
 MINHASHES = 6
 HUB_ROUNDS = 2
-#: Min-hashes that a set and its hub have in common, at least (others are left to the join).
+#: Hubs of a min-hash group, at most: one per slot, so the original is a hub even where near copies tie with it.
+HUB_SLOTS = 8
+#: Min-hashes that a set and a hub have in common, at least (others are left to the join).
 HUB_MATCHES = 2
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 20.0
@@ -188,7 +190,7 @@ def screen(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     parts = min(65536, max(MIN_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(docs[text_col].alias("text"), docs[id_col].cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(docs[text_col]).alias("th"))
     scanned = written(rows.mapInArrow(_scan(parts, percent), _SCAN), "shingles")
-    documents = scanned.where("kind = 0").select("rid", "id", "th", "n", "fp1", "fp2")
+    documents = written(scanned.where("kind = 0").select("rid", "id", "th", "n", "fp1", "fp2"), "documents")
     counted = scanned.where("kind = 1").select("pid", "a", "b").groupBy("pid").applyInArrow(_shared, "rid long, shared long")
     counted = counted.unionByName(scanned.where("kind = 2").select("a", "b").mapInArrow(_unpack, "rid long, shared long"))
     # a partner may be smaller by the similarity, and then asks for fewer shared shingles
@@ -198,7 +200,9 @@ def screen(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[D
     alive = documents.join(shared, "rid").where(F.col("shared") >= need)
     length = F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / SCREEN))
     alive = alive.select("rid", F.round(1 - F.col("shared") / length, 4).alias("lack"))
-    return documents, written(alive, "survivors")
+    alive = written(alive, "survivors")
+    discard(scanned)
+    return documents, alive
 
 
 def _full_sets(it):
@@ -224,17 +228,19 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def hub_links(sets: DataFrame, percent: int, rounds: int = HUB_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(links, roots): verified links of each set to one hub per min-hash group, and (rid, root)."""
-    keys = written(sets.select("rid", "lack", F.posexplode("mins").alias("k", "m")), "min-hashes")
+    keys = written(sets.select("rid", "lack", "n", "mins", F.posexplode("mins").alias("k", "m")), "min-hashes")
     roots = sets.select("rid", F.col("rid").alias("root"))
     links = None
     for turn in range(rounds):
         # first the sets with the fewest shingles of their own: the likely originals
-        order = F.struct("lack", "rid") if turn == 0 else F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid")
-        delegates = keys.join(roots, "rid").groupBy("k", "m", "root").agg(F.min(order).alias("x"))
-        delegates = written(delegates.select("k", "m", "x", F.col("x.rid").alias("rid")), "delegates")
-        hubs = written(delegates.groupBy("k", "m").agg(F.min("x")["rid"].alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members"), "hubs")
-        pairs = delegates.join(hubs, ["k", "m"]).where("rid <> hub").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= HUB_MATCHES)
+        first = F.col("lack") if turn == 0 else F.xxhash64("rid", F.lit(turn))
+        delegates = keys.join(roots, "rid").groupBy("k", "m", "root").agg(F.min(F.struct(first.alias("first"), "rid", "n", "mins")).alias("x"))
+        delegates = written(delegates.select("k", "m", "x"), "delegates")
+        slot = F.pmod(F.xxhash64("x.rid", "k"), F.lit(HUB_SLOTS))
+        hubs = written(delegates.groupBy("k", "m", slot.alias("slot")).agg(F.min("x").alias("hub")).select("k", "m", "hub"), "hubs")
+        both = delegates.join(hubs, ["k", "m"]).where("x.rid <> hub.rid").where(F.least("x.n", "hub.n") * 100 >= F.greatest("x.n", "hub.n") * percent)
+        alike = F.aggregate(F.zip_with("x.mins", "hub.mins", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, z: t + z)
+        pairs = both.where(alike >= HUB_MATCHES).select(F.least("x.rid", "hub.rid").alias("a"), F.greatest("x.rid", "hub.rid").alias("b")).distinct()
         found = written(verify(written(pairs, "pairs"), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         known = connected(links)
@@ -300,6 +306,7 @@ def cross_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     met = tokens.join(_cross(tokens).select("token"), "token").groupBy("rid").agg(F.count("*").alias("shared"))
     left = owned.join(met, "rid").where(F.col("shared") >= 1 + F.floor(F.ceil(n * percent / 100) / SCREEN)).drop("shared")
     left = written(left, "cross-sets")
+    discard(owned)
     tokens = left.select("rid", "root", "n", F.explode("s").alias("token"))
     lists = tokens.join(_cross(tokens), "token").groupBy("rid").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.collect_list(F.struct("f", "token")).alias("cross"))
     chosen = lists.select("rid", "root", "n", "cross").mapInArrow(_choose_prefix(percent), "rid long, root long, n int, ell int, low int, high int, side int, tokens array<long>")
