@@ -199,7 +199,8 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
         near = phrase_candidates(index, F.broadcast(anchors)).groupBy("id", "th").agg(F.collect_list(F.struct("phrase", "start")).alias("at"))
         near = written(near, "candidates")
         texts = docs.select(docs[text_col].alias("text"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"))
-        joined = texts.join(near, texts["id"].eqNullSafe(near["id"]) & (texts["th"] == near["th"])).select(texts["text"], texts["id"], texts["th"], near["at"])
+        # near grows with the corpus: merged at every size
+        joined = texts.join(near.hint("merge"), texts["id"].eqNullSafe(near["id"]) & (texts["th"] == near["th"])).select(texts["text"], texts["id"], texts["th"], near["at"])
         by_phrase = {p: (np.array(ts, np.int64), named) for p, ts, named in own}
         hits = joined.mapInArrow(_verify(by_phrase), f"id {rows.schema['id'].dataType.simpleString()}, th long, hit_at array<int>, items array<string>")
         all_hits = hits if all_hits is None else all_hits.unionByName(hits)
@@ -222,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows; columns as before."""
     bad = decontaminate(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__i"), F.col("th").alias("__t"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left_anti")
+    return docs.join(bad.hint("merge"), docs[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
