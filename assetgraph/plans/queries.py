@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetgraph.functions import confidence as C
 from assetgraph.functions import urls as U
-from assetgraph.operators import audit, correlate, extract, fold, gaps, report, scope
+from assetgraph.operators import audit, contracts, correlate, extract, fold, gaps, known, report, scope
 from assetgraph.sources import events as E
 
 INCLUDE, EXCLUDE, PREFILTER = ["*.example.com", "*.example.org"], ["*.spam-farm.example.org"], ["*.example.net"]
@@ -381,3 +381,36 @@ def gate_decisions(spark, sf_dir):
     verb = F.when(F.col("c_nationkey") % 3 == 0, "exploit").when(F.col("c_nationkey") % 3 == 1, "resolve").otherwise("fingerprint")
     requests = table(spark, sf_dir, "customer").select("c_custkey", verb.alias("verb"), F.when(F.col("c_acctbal") < 0, "out_of_scope").otherwise("in_scope").alias("verdict"))
     return audit.gate_decisions(requests, True, True).select("c_custkey", "decision", "reason")
+
+
+@query("""WITH o AS (SELECT event_id, 'host:' || user_id AS id, event_type AS tool, sha256(props) AS sha256, strftime(ts, '%Y-%m-%d') AS day FROM events)
+SELECT event_id, id, tool FROM o n WHERE day > '2024-01-10' AND NOT EXISTS (SELECT 1 FROM o r WHERE r.day <= '2024-01-10' AND r.id = n.id AND r.tool = n.tool AND r.sha256 = n.sha256)""")
+def already_recorded(spark, sf_dir):
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    seen = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("host:"), F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("tool"), F.sha2("props", 256).alias("sha256"), day)
+    return known.already_recorded(seen.where("day > '2024-01-10'"), seen.where("day <= '2024-01-10'")).select("event_id", "id", "tool")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def orphan_guard(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return known.orphan_guard(table(spark, sf_dir, "lineitem"), done, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT 'op:GET:route:web:https://c' || o_custkey || '.example.com/orders/' || o_orderkey AS operation, 'query' AS location, 'clerk' AS name, CASE WHEN o_orderstatus = 'F' THEN 'string' ELSE 'integer' END AS type FROM orders""")
+def api_contracts(spark, sf_dir):
+    """A contract per customer, with a path per order; some operations override their path's parameter."""
+    clerk = lambda t: F.array(F.struct(F.lit("clerk").alias("name"), F.lit("query").alias("in"), F.struct(F.lit(t).alias("type")).alias("schema")))
+    get = F.struct(F.col("o_orderpriority").alias("summary"), F.when(F.col("o_orderstatus") == "F", clerk("string")).alias("parameters"))
+    path = F.struct(F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string")), F.struct(clerk("integer").alias("parameters"), get.alias("get")))
+    specs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(path)).alias("paths"))
+    specs = specs.select(F.format_string("https://c%d.example.com/openapi.json", "o_custkey").alias("url"), F.to_json(F.struct(F.lit("3.0.0").alias("openapi"), "paths")).alias("body"))
+    return contracts.contract_parameters(contracts.contract_operations(specs)).select("operation", "location", "name", "type")
+
+
+@query("""SELECT 'tok:' || substr(sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))), 1, 16) AS id, 'auth:c' || o_custkey || '.example.com:oidc' AS issuer FROM orders GROUP BY o_custkey""")
+def key_set_tokens(spark, sf_dir):
+    """A key set per customer, with a key per order."""
+    key = F.struct(F.col("o_orderkey").cast("string").alias("kid"), F.lit("RSA").alias("kty"))
+    jwks = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(key).alias("keys")).select(F.format_string("https://c%d.example.com/jwks", "o_custkey").alias("url"), F.to_json(F.struct("keys")).alias("body"))
+    return contracts.key_sets(jwks).where("kind = 'edge'").select(F.col("frm").alias("id"), F.col("to").alias("issuer"))
