@@ -26,6 +26,7 @@ TEMPLATE = r"^/[\x21-\x22\x24-\x3e\x40-\x7e]*$"
 NAME = r"^[\x21-\x22\x24-\x7e]+$"
 GRAPHQL_NAME = r"^[_A-Za-z][_0-9A-Za-z]*$"
 _OBJECT, _LIST = "map<string,string>", "array<string>"
+_PARAMETERS = "array<struct<name:string,location:string,type:string,required:boolean,enum:array<string>,level:int>>"
 
 
 def member(json: Column, name: str) -> Column:
@@ -51,15 +52,15 @@ def resolved(value: Column, body: Column) -> Column:
         target = F.call_function("get_json_object", body, F.concat(F.lit("$"), F.array_join(keys, "")))
         return F.when(ref.isNull(), x).when(ref.startswith("#/"), target)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(REF_DEPTH)), value, step)
+    return F.when(value.contains("$ref"), F.aggregate(F.sequence(F.lit(1), F.lit(REF_DEPTH)), value, step)).otherwise(value)
 
 
-def _parameter(p: Column, level: int) -> Column:
+def _parameter(p: Column, level: Column) -> Column:
     schema = member(p, "schema")
     values = F.coalesce(member(schema, "enum"), member(p, "enum"))
     return F.struct(
         F.trim(member(p, "name")).alias("name"), F.coalesce(member(p, "in"), F.lit("")).alias("location"), F.coalesce(member(schema, "type"), member(p, "type"), F.lit("")).alias("type"),
-        (F.coalesce(member(p, "required"), F.lit("false")) == "true").alias("required"), F.when(values.isNotNull(), redact_secret_shaped(as_list(values))).alias("enum"), F.lit(level).alias("level"),
+        (F.coalesce(member(p, "required"), F.lit("false")) == "true").alias("required"), F.when(values.isNotNull(), redact_secret_shaped(as_list(values))).alias("enum"), level.alias("level"),
     )
 
 
@@ -90,21 +91,30 @@ def contract_operations(specs: DataFrame) -> DataFrame:
     app = U.webapp_id(U.scheme_of(F.col("url")), U.canonical_host(U.netloc_of(F.col("url"))), U.port_of(F.col("url")))
     docs = specs.where(F.trim("body").startswith("{")).select("body", app.alias("webapp"), version.alias("spec_version"), as_object(member(body, "paths")).alias("paths")).where("spec_version is not null and paths is not null")
 
-    def operation(path, method):
-        item = as_object(path["value"])
-        op = F.try_element_at(item, F.lit(method))
-        lists = [F.transform(F.filter(as_list(x), lambda p: p.isNotNull()), lambda p: resolved(p, body)) for x in (F.try_element_at(item, F.lit("parameters")), member(op, "parameters"))]
-        plain = F.concat(*(F.transform(F.filter(x, lambda p: member(p, "name").isNotNull() & (F.coalesce(member(p, "in"), F.lit("")) != "body")), lambda p, level=level: _parameter(p, level)) for level, x in enumerate(lists)))
-        old = F.flatten(F.transform(F.filter(F.concat(*lists), lambda p: member(p, "in") == "body"), lambda p: _properties(member(p, "schema"), body)))
+    # each level is opened once: path items, then the declared operations with their parameters, then what these say
+    good = F.filter(F.map_entries("paths"), lambda p: F.trim(p["key"]).rlike(TEMPLATE) & ~p["key"].contains("://"))
+    items = F.transform(good, lambda p: F.struct(F.trim(p["key"]).alias("template"), as_object(p["value"]).alias("item")))
+    declared = lambda i: F.filter(F.array(*map(F.lit, METHODS)), lambda m: F.coalesce(F.trim(F.try_element_at(i["item"], m)).startswith("{"), F.lit(False)))
+
+    def given(json, level):
+        return F.transform(F.filter(as_list(json), lambda p: p.isNotNull()), lambda p: F.struct(resolved(p, body).alias("p"), F.lit(level).alias("level")))
+
+    def opened(i, m):
+        op = F.try_element_at(i["item"], m)
+        return F.struct(i["template"].alias("template"), m.alias("method"), op.alias("op"), F.concat(given(F.try_element_at(i["item"], F.lit("parameters")), 0), given(member(op, "parameters"), 1)).alias("given"))
+
+    def told(o):
+        op = o["op"]
+        plain = F.transform(F.filter(o["given"], lambda x: member(x["p"], "name").isNotNull() & (F.coalesce(member(x["p"], "in"), F.lit("")) != "body")), lambda x: _parameter(x["p"], x["level"]))
+        old = F.flatten(F.transform(F.filter(o["given"], lambda x: member(x["p"], "in") == "body"), lambda x: _properties(member(x["p"], "schema"), body)))
         media = F.array_sort(F.filter(F.map_entries(as_object(member(resolved(member(op, "requestBody"), body), "content"))), lambda m: member(m["value"], "schema").isNotNull()))
-        new = F.coalesce(F.flatten(F.transform(F.slice(media, 1, 1), lambda m: _properties(member(m["value"], "schema"), body))), F.slice(old, 1, 0))
+        new = F.flatten(F.transform(F.slice(media, 1, 1), lambda m: _properties(member(m["value"], "schema"), body)))
         return F.struct(
-            F.trim(path["key"]).alias("template"), F.lit(method.upper()).alias("method"), F.trim(F.regexp_replace(member(op, "summary"), r"\s+", " ")).alias("summary"), F.trim(member(op, "operationId")).alias("operation_id"),
-            F.concat(plain, old, new).alias("parameters"), (F.trim(op).startswith("{")).alias("declared"),
+            o["template"].alias("template"), F.upper(o["method"]).alias("method"), F.trim(F.regexp_replace(member(op, "summary"), r"\s+", " ")).alias("summary"), F.trim(member(op, "operationId")).alias("operation_id"),
+            F.concat(plain, old, F.when(op.contains("requestBody"), F.coalesce(new, F.array().cast(_PARAMETERS))).otherwise(F.array().cast(_PARAMETERS))).alias("parameters"),
         )
 
-    good = F.filter(F.map_entries("paths"), lambda p: F.trim(p["key"]).rlike(TEMPLATE) & ~p["key"].contains("://"))
-    every = F.flatten(F.transform(good, lambda p: F.filter(F.array(*(operation(p, m) for m in METHODS)), lambda o: o["declared"])))
+    every = F.transform(F.flatten(F.transform(items, lambda i: F.transform(declared(i), lambda m: opened(i, m)))), told)
     return docs.select("webapp", "spec_version", F.explode(every).alias("o")).select("webapp", "spec_version", "o.template", "o.method", "o.summary", "o.operation_id", "o.parameters")
 
 
