@@ -3,7 +3,9 @@
 A token that looks disguised (digits or symbols in place of letters, letters drawn out three times or
 more, letters set apart by spaces or punctuation) becomes a lattice of the letters that each character
 may stand for; repeated characters may be one or two letters, separators none. Viterbi decoding under a
-letter-trigram model of the corpus restores the likeliest word, and the restored text is scored.
+letter-trigram model of the corpus restores the likeliest word, and the restored text is scored. A row of
+three single characters or more, each a letter or one that stands for a letter and at least one a letter, is
+one lattice in which a word may end after any character; each lexicon word of its likeliest path counts.
 
 The score is a logistic regression on how many words carry a feature of the learned lexicon. Features are
 whole words and their leading 4 to 7 bytes (which stand for inflected forms). The lexicon is learned from
@@ -38,6 +40,10 @@ THRESHOLD = 0.7
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: A lexicon word is taken where it is at most this much less likely than the best decoding.
 PRIOR = 6.0
+#: Bytes of tokens and rows whose results a worker keeps.
+CACHE_BYTES = 1 << 23
+#: Places of a row whose words are looked up at once.
+ROW_PLACES = 4096
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -82,6 +88,108 @@ class Channel:
             states, i = after, j
         return sorted(((p + self.log[a][b][0], w) for (a, b), (p, w) in states.items()), reverse=True)
 
+    def spelled(self, row: str, longest: int, known) -> int:
+        """Number of words of two letters or more on the row's likeliest path for which known(words) is
+        true, where each of them adds PRIOR; longest bytes of a word decide. The model does not know letters beyond
+        ASCII: they, and borders beside them, cost nothing."""
+        places = _places(row)
+        inside: dict[tuple[int, int], tuple[float, int]] = {}  # in a word, by its last two codes: (log-probability, hits)
+        border: dict[int, tuple[float, int]] = {0: (0.0, 0)}  # between words, by the code before
+        arrive: dict[int, list] = {}
+
+        def put(states, key, p, hits):
+            if key not in states or states[key][0] < p:
+                states[key] = (p, hits)
+
+        edges: list[list] = []
+        for j in range(len(places) + 1):
+            for whole, a, b, p, hits in arrive.pop(j, ()):
+                put(*((border, b) if whole else (inside, (a, b))), p, hits)
+            for (a, b), (p, hits) in inside.items():
+                put(border, b, p + self._close(a, b), hits)
+            if j == len(places):
+                return max(border.values())[1]
+            if j % ROW_PLACES == 0:
+                edges = self._edges(places, j, longest, known)
+            for end, first, a, b, s, whole in edges[j % ROW_PLACES]:
+                p, hits = max((p + self._next(q, 0, first), hits) for q, (p, hits) in border.items())
+                arrive.setdefault(end, []).append((whole, a, b, p + s + PRIOR, hits + 1))
+            next_inside: dict[tuple[int, int], tuple[float, int]] = {}
+            next_border: dict[int, tuple[float, int]] = {}
+            for cost, x in places[j]:
+                for (a, b), (p, hits) in inside.items():
+                    if x:
+                        put(next_inside, (b, _code(x)), p - cost + self._next(a, b, _code(x)), hits)
+                    else:
+                        put(next_inside, (a, b), p - cost, hits)
+                for q, (p, hits) in border.items():
+                    if x:
+                        put(next_inside, (0, _code(x)), p - cost + self._next(q, 0, _code(x)), hits)
+                    else:
+                        put(next_border, q, p - cost, hits)
+            inside, border = next_inside, next_border
+
+    def _close(self, a: int, b: int) -> float:
+        return self.log[a][b][0] if b else 0.0
+
+    def _next(self, a: int, b: int, k: int) -> float:
+        return self.log[a][b][k] if k else 0.0
+
+    def _edges(self, places: list, at: int, longest: int, known) -> list[list]:
+        """Known words from each of the ROW_PLACES places from at on: (end, first code, last two codes,
+        log-probability after the first letter, whether a border must follow)."""
+        tried, words = [], []
+        for i in range(at, min(at + ROW_PLACES, len(places))):
+            states: dict[tuple[int, int], tuple[float, int, str]] = {(0, 0): (0.0, 0, "")}
+            j = i
+            while j < len(places) and states:
+                after: dict[tuple[int, int], tuple[float, int, str]] = {}
+                for (a, b), (p, first, word) in states.items():
+                    for cost, x in places[j]:
+                        if x:
+                            k = _code(x)
+                            key, got = (b, k), (p - cost + (self._next(a, b, k) if word else 0.0), first if word else k, word + x)
+                        elif word:
+                            key, got = (a, b), (p - cost, first, word)
+                        else:
+                            continue
+                        if key not in after or after[key][0] < got[0]:
+                            after[key] = got
+                j += 1
+                states = {}
+                for (a, b), (p, first, word) in after.items():
+                    if len(word) > 1:
+                        tried.append((i - at, j, first, a, b, p))
+                        words.append(word.encode())
+                    if len(word.encode()) < longest:
+                        states[a, b] = (p, first, word)
+        out: list[list] = [[] for _ in range(min(ROW_PLACES, len(places) - at))]
+        found, goes_on = known(words) if words else ((), ())
+        for k in np.flatnonzero(found):
+            start, j, first, a, b, p = tried[k]
+            out[start].append((j, first, a, b, p if goes_on[k] else p + self._close(a, b), not goes_on[k]))
+        return out
+
+
+def _code(x: str) -> int:
+    return ord(x) - 96 if "a" <= x <= "z" else 0
+
+
+def _places(row: str) -> list[list[tuple[float, str]]]:
+    """(cost, letter or none) that each character of a row may be; a run of one character is one or two letters."""
+    out, i, n = [], 0, len(row)
+    while i < n:
+        c, j = row[i], i
+        while j < n and row[j] == c:
+            j += 1
+        options = [(0.0, x) for x in (c if "a" <= c <= "z" or ord(c) > 127 else STANDS_FOR.get(c, ""))]
+        silent = c in "!|+" or c.isdigit() and j == n  # punctuation, or a final digit
+        out.append([*options, (1.0, "")] if silent or not options else options)
+        if j - i > 1:
+            out.append([(0.0, ""), *options])
+        i = j
+    return out
+
 
 def letter_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """Counts of letter trigrams over all of docs; 27 ** 3 numbers reach the driver."""
@@ -108,8 +216,9 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.stack([W.span_hashes(raw, starts, ends), *(W.span_hashes(raw, starts, np.minimum(ends, starts + k)) for k in PREFIXES)])
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature hashes, and the coefficients of the regression (empty without both labels)."""
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted feature hashes, the coefficients of the regression (empty without both labels), and the bytes of
+    the longest feature."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(~held_out("id") & F.col("y").isin(0, 1))
     n = known.count()
     if n > max_train:
@@ -137,7 +246,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     sizes = dict(rows.groupBy("y").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0), 0
     least = max(3, n1 // 500)
     counted = rows.mapInArrow(count, "f long, toxic long, seen long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
     rate = (F.col("toxic") + 0.5) / n1 / ((F.col("seen") - F.col("toxic") + 0.5) / n0)
@@ -156,13 +265,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 kind, word = kind[order], word[order]
                 cut = np.searchsorted(word, first)
                 f = at[kind, word].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(y[i:j].astype(float)), *(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (f, word))], names=["y", "f", "word"])
+                size = np.minimum((ends - starts)[word], np.array([len(low), *PREFIXES])[kind])
+                yield pa.RecordBatch.from_arrays([pa.array(y[i:j].astype(float)), *(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (f, word, size))], names=["y", "f", "word", "size"])
 
     # of the sampled texts, only the numbers of candidate features and their words reach the driver
-    got = rows.mapInArrow(incidence, "y double, f array<int>, word array<int>").toPandas()
+    got = rows.mapInArrow(incidence, "y double, f array<int>, word array<int>, size array<int>").toPandas()
     y = got["y"].to_numpy()
     doc = np.repeat(np.arange(len(y)), got["f"].map(len))
-    feature, word = (np.concatenate([np.zeros(0, np.int64), *got[c].map(np.asarray)]).astype(np.int64) for c in ("f", "word"))
+    feature, word, size = (np.concatenate([np.zeros(0, np.int64), *got[c].map(np.asarray)]).astype(np.int64) for c in ("f", "word", "size"))
     word = np.unique(np.stack([doc, word]), axis=1, return_inverse=True)[1].reshape(-1)
     many = max(1, len(candidates))
     clean = np.bincount(np.unique(doc[y[doc] == 0] * many + feature[y[doc] == 0]) % many, minlength=many)
@@ -178,7 +288,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         np.add.at(hits, doc[(feature == best) & ~taken][at], 1)
         taken |= np.isin(word, new)
     lexicon = candidates[np.sort(np.array(chosen, dtype=np.int64))]
-    return lexicon, _regress(_inputs(hits), y)
+    return lexicon, _regress(_inputs(hits), y), int(size[np.isin(feature, chosen)].max(initial=0))
 
 
 def _look_up(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +312,9 @@ def _regress(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def disguised(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of tokens that look disguised (ends without final punctuation), their document,
-    and whether it is a row of single letters set apart by spaces."""
+def disguised(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+    """Starts and ends of tokens that look disguised (ends without final punctuation) and their document;
+    and rows of single characters set apart by spaces, as (document, characters)."""
     starts, ends, first = W.spans(low, off, W.NOT_SPACE)
     doc = W.owners(first)
     n = len(low)
@@ -224,58 +334,82 @@ def disguised(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             if not cut.any():
                 break
             ends = ends - cut
-    letter = _LETTER[low]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = letter[:-1], letter[1:]
-    odd = _LEET[low] & (before | after)
-    drawn = np.zeros(n, bool)
-    if n >= 3:
-        drawn[:-2] = letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
-    apart = ~letter & ~_DIGIT[low] & (low < 128) & W.NOT_SPACE[low] & before & after
+    # by character: all beyond ASCII are letters
+    at = np.flatnonzero((low & 0xC0) != 0x80)
+    head, m = low[at], len(at)
+    code = head.astype(np.uint32)
+    if m < n:
+        width = np.diff(np.r_[at, n])
+        for k in (1, 2, 3):
+            code = np.where(width > k, code << np.uint32(8) | low[np.minimum(at + k, n - 1)], code)
+    from_, to, till = (np.searchsorted(at, x) if m < n else x for x in (starts, ends, full))
+    letter = W.LETTERS[head]
+    sign = letter | _LEET[head]
+
+    def beside(flags):
+        before, after = np.zeros(m, bool), np.zeros(m, bool)
+        before[1:], after[:-1] = flags[:-1], flags[1:]
+        return before, after
+
+    odd = _LEET[head] & np.logical_or(*beside(letter))
+    drawn = np.zeros(m, bool)
+    if m >= 3:
+        drawn[:-2] = letter[:-2] & (code[:-2] == code[1:-1]) & (code[:-2] == code[2:])
+    apart = ~letter & ~_DIGIT[head] & W.NOT_SPACE[head] & np.logical_and(*beside(sign))
 
     def within(flags):
-        sums = np.zeros(n + 1, np.int64)
+        sums = np.zeros(m + 1, np.int64)
         np.cumsum(flags, out=sums[1:])
-        return sums[ends] - sums[starts]
-
-    letters = within(letter)
-    pick = ((letters >= 1) & (ends - starts >= 3) & (within(odd) > 0)) | (within(drawn) > 0) | (within(apart) >= 2)
-    single = (ends - starts == 1) & letter[np.minimum(starts, n - 1)] & (full - starts <= 2) if n else np.zeros(0, bool)
-    # rows of three single letters or more, in one document
-    edge = np.flatnonzero(np.diff(np.r_[0, single.view(np.int8) if len(single) else np.zeros(0, np.int8), 0]))
-    row_s, row_e, row_d = [], [], []
-    for a, b in zip(edge[::2], edge[1::2]):
-        if b - a >= 3:
-            for d in np.unique(doc[a:b]):
-                own = np.flatnonzero(doc[a:b] == d) + a
-                if len(own) >= 3:
-                    row_s.append(starts[own[0]])
-                    row_e.append(ends[own[-1]])
-                    row_d.append(d)
-    return np.r_[starts[pick], np.array(row_s, np.int64)], np.r_[ends[pick], np.array(row_e, np.int64)], np.r_[doc[pick], np.array(row_d, np.int64)], np.r_[np.zeros(int(pick.sum()), bool), np.ones(len(row_s), bool)]
-
-
-def scorer(lexicon: np.ndarray, weights: np.ndarray, counts: np.ndarray):
+        return sums[to] - sums[from_]
+
+    pick = ((within(letter) >= 1) & (((ends - starts >= 3) & (within(odd) > 0)) | (within(apart) >= 2))) | (within(drawn) > 0)
+    single = ((till - from_ == 1) | (to - from_ == 1) & (till - from_ == 2)) & sign[from_]
+    # rows of three single characters or more, in one document
+    edge = np.flatnonzero(single & ~np.r_[False, single[:-1] & (doc[:-1] == doc[1:])])
+    end = np.flatnonzero(single & ~np.r_[single[1:] & (doc[:-1] == doc[1:]), False]) + 1
+    rows = []
+    for a, b in zip(edge, end):
+        if b - a >= 3 and letter[from_[a:b]].any():
+            rows.append((int(doc[a]), b"".join(low[x : x + k].tobytes() for x, k in zip(starts[a:b], width[from_[a:b]])) if m < n else low[starts[a:b]].tobytes()))
+    return starts[pick], ends[pick], doc[pick], rows
+
+
+def scorer(lexicon: np.ndarray, weights: np.ndarray, counts: np.ndarray, longest: int):
     """measure() for words.map_text."""
     channel: list[Channel] = []
-    restored: dict[bytes, bool] = {}
-
-    def is_toxic(token: bytes) -> bool:
-        if token not in restored:
-            if not channel:
-                channel.append(Channel(counts))
-            if len(restored) > 200_000:
-                restored.clear()
-            # 6 bytes of prefix: a run of single letters may hold other words, so all its parts are tried
+    kept: dict[tuple[bool, bytes], int] = {}
+    held = [0]
+
+    def known(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a word carries a feature, and one that it still carries if it goes on."""
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes + 1) - 1
+        found = _look_up(lexicon, features(np.frombuffer(b" ".join(words), np.uint8), ends - sizes, ends))[1]
+        return found.any(axis=0), (found[1:] & (sizes >= np.array(PREFIXES)[:, None])).any(axis=0)
+
+    def toxic_words(row: bool, token: bytes) -> int:
+        if (row, token) in kept:
+            return kept[row, token]
+        if not channel:
+            channel.append(Channel(counts))
+        if row:
+            hits = channel[0].spelled(token.decode("utf-8", "replace"), longest, known)
+        else:
             found = channel[0].decodings(token.decode("utf-8", "replace"))[:8]
             found = [w.encode() for p, w in found if p >= found[0][0] - PRIOR and w]
             raw = np.frombuffer(b" ".join(found), np.uint8)
-            hit = False
+            hits = 0
             if len(raw):
                 s, e, _ = W.spans(raw, np.array([0, len(raw)]), W.LETTERS)
-                hit = bool(_look_up(lexicon, features(raw, s, e))[1].any())
-            restored[token] = hit
-        return restored[token]
+                hits = int(_look_up(lexicon, features(raw, s, e))[1].any())
+        size = len(token) + 200  # and what Python adds to a key and an entry
+        if size <= CACHE_BYTES:
+            if held[0] + size > CACHE_BYTES:
+                kept.clear()
+                held[0] = 0
+            kept[row, token] = hits
+            held[0] += size
+        return hits
 
     def measure(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         docs = len(off) - 1
@@ -285,18 +419,15 @@ def scorer(lexicon: np.ndarray, weights: np.ndarray, counts: np.ndarray):
         plain = W.per_document(hit.astype(np.int64), first)
         hidden = np.zeros(docs, np.int64)
         if len(lexicon):
-            known = np.zeros(len(low) + 1, np.int64)
-            known[starts[hit] + 1] = 1
-            known = np.cumsum(known)
-            for a, b, d, row in zip(*disguised(low, off)):
-                if known[b] > known[a]:
-                    continue
-                token = low[a:b].tobytes()
-                if row:
-                    token = bytes(c for c in token if 97 <= c <= 122)
-                    hidden[d] += any(is_toxic(token[k:]) for k in range(max(1, len(token) - 3)))
-                else:
-                    hidden[d] += is_toxic(token)
+            known_before = np.zeros(len(low) + 1, np.int64)
+            known_before[starts[hit] + 1] = 1
+            known_before = np.cumsum(known_before)
+            *tokens, rows = disguised(low, off)
+            for a, b, d in zip(*tokens):
+                if known_before[b] == known_before[a]:
+                    hidden[d] += toxic_words(False, low[a:b].tobytes())
+            for d, row in rows:
+                hidden[d] += toxic_words(True, row)
         score = 1 / (1 + np.exp(-_inputs(plain + hidden) @ weights)) if len(weights) else np.zeros(docs)
         return {"score": score, "n_hits": plain + hidden, "n_hidden": hidden}
 
@@ -306,9 +437,9 @@ def scorer(lexicon: np.ndarray, weights: np.ndarray, counts: np.ndarray):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, n_hits, n_hidden (words found only
     after decoding)."""
-    lexicon, weights = learn_lexicon(docs, labels, id_col, text_col, label_col, max_train)
+    lexicon, weights, longest = learn_lexicon(docs, labels, id_col, text_col, label_col, max_train)
     counts = letter_counts(docs, text_col)
-    made = W.map_text(docs, scorer(lexicon, weights, counts), "score double, n_hits long, n_hidden long", [id_col], text_col)
+    made = W.map_text(docs, scorer(lexicon, weights, counts, longest), "score double, n_hits long, n_hidden long", [id_col], text_col)
     return made.select(F.col(id_col), held_out(id_col).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_hits", "n_hidden")
 
 

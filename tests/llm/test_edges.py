@@ -119,6 +119,21 @@ def test_toxicity_restores_disguised_words(spark):
     assert not any(got[i] for i, _ in clean) and all(got[i] for i, _ in toxic)
 
 
+def test_toxicity_decodes_rows_of_any_single_characters(spark):
+    pairs = [("idiot", "moron"), ("moron", "loser"), ("loser", "idiot"), ("дурак", "idiot")]
+    clean = [(k, f"the day number{k} was fine you friend and every guest there in class") for k in range(200)]
+    toxic = [(400 + k, "the day number{} was fine you {} and every {} there".format(k, *pairs[k % 4])) for k in range(200)]
+    rows = [
+        "i d 1 0 t", "m 0 r 0 n", "l 0 s 3 r", "i.d.1.0.t", "д у р а к", "d.у.r.а.k", "y o u i d i o t a n d m o r o n", "i d ! o t , l o s e r", "дурррак", "i d i o t" + " x" * 10_000,
+        "3 5 7 1 0", "t h e d a y w a s f i n e", "1 a 3 b", "a | b | c |", "v1.0.4", "i d", "",
+    ]
+    docs = spark.createDataFrame(clean + toxic + [(1000 + k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
+    got = {r.doc_id: r.n_hidden for r in toxicity.toxicity(docs, labels).collect()}
+    assert [got[1000 + k] for k in range(len(rows))] == [1, 1, 1, 1, 1, 0, 2, 2, 1, 1, 0, 0, 0, 0, 0, 0, 0]
+    assert not any(got[i] for i, _ in clean + toxic)
+
+
 def test_pivot_keeps_the_sum_and_settles_all_but_one():
     rng = mixing.np.random.default_rng(1)
     for n in (1, 2, 50, 500):
