@@ -55,6 +55,32 @@ def test_fold_fast_path_equals_the_ordered_fold(spark):
     assert plain == slow
 
 
+def test_fold_holds_no_id_as_a_whole(spark):
+    rows = [(k, "hot" if k % 3 else f"n{k % 7}", "Host", f"t{k % 4}", "r", str(k), {"a": str(k % 5), f"b{k % 11}": str(k % 2)}) for k in range(3000)]
+    got = fold.project_graph(spark.createDataFrame(rows, OBS))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    want, base = {}, {}
+    for _, i, _, tool, _, ts, attrs in rows:
+        if i not in base:
+            base[i] = [dict(attrs), {tool}, ts, ts, 1, 0]
+        elif any(base[i][0].get(k, v) != v for k, v in attrs.items()):
+            base[i][5] += 1
+            want[f"{i}#fork{base[i][5]}"] = (i, base[i][5], attrs, [f"{tool}/r"], ts, ts, 1)
+        else:
+            base[i][0] = attrs | base[i][0]
+            base[i][1].add(tool)
+            base[i][3] = ts
+            base[i][4] += 1
+    want |= {i: (i, 0, a, sorted(f"{t}/r" for t in s), lo, hi, n) for i, (a, s, lo, hi, n, _) in base.items()}
+    assert {r.id: (r.base, r.fork, r.attrs, r.sources, r.first_seen, r.last_seen, r.observations) for r in got.collect()} == want
+    # forks leave before the next rows are read
+    read = []
+    schema = "seq long, id string, type string, ts string, attrs map<string,string>, source string"
+    table = spark.createDataFrame([(k, "hot", "Host", str(k), {"a": str(k)}, "t") for k in range(50)], schema).toArrow().combine_chunks()
+    nodes = fold._fold_batches(read.append(k) or b for k, b in enumerate(table.to_batches(max_chunksize=10)))
+    assert next(nodes).num_rows == 9 and read == [0] and sum(x.num_rows for x in nodes) == 41
+
+
 def test_append_continues_seq_and_drops_seen_keys(spark):
     log = spark.createDataFrame([(7, "1", "r", "node_upserted", "{}", 0, "a", "k1")], events.EVENT)
     new = spark.createDataFrame([(None, "2", "r", "node_upserted", "{}", 0, "a", "k1"), (None, "3", "r", "rate_debit", "{}", 0, "a", "k2"), (None, "4", "r", "rate_debit", "{}", 0, "a", "k2"), (None, "5", "r", "rate_debit", "{}", 0, "a", "")], events.EVENT)
