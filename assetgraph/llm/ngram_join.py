@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetgraph.llm import words as W
@@ -340,17 +340,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = reps.join(known.select(F.col("v").alias("rid"), "root"), "rid", "left").select("fp1", "fp2", "n", F.coalesce("root", "rid").alias("root"))
     rooted = written(rooted, "rooted")
     member = written(living.join(rooted, ["fp1", "fp2", "n"]).select("rid", "id", "root"), "members")
-    heads = written(member.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("head")).select("root", F.col("head.id").alias("component_id"), F.col("head.rid").alias("head")), "heads")
+    heads = written(member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("head")).select("root", F.col("head.id").alias("component_id"), F.col("head.rid").alias("head")), "heads")
     placed = member.join(heads, "root").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("is_first"))
     out = documents.join(placed, "rid", "left")
     return out.select(F.col("id").alias(id_col), "th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("is_first", F.lit(True)).alias("is_first"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. Columns as before. Rows
-    that repeat it in full (id and text) all stay."""
-    first = jaccard_components(docs, id_col, text_col, percent).where("is_first").select(F.col(id_col).alias("__i"), F.col("th").alias("__t"))
-    return docs.join(first, docs[id_col].eqNullSafe(F.col("__i")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__t")), "left_semi")
+    """docs with one document of each component: the one with the smallest id (null only where all are
+    null). Of rows that repeat it in id and text one stays. Columns as before."""
+    rows = jaccard_components(docs, id_col, text_col, percent).select(F.col(id_col).alias("__i"), F.col("th").alias("__t"), "is_first")
+    first = written(rows.groupBy("__i", "__t").agg(F.max("is_first").alias("first"), F.count("*").alias("n")).where("first"), "first")
+    same = docs[id_col].eqNullSafe(F.col("__i")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__t"))
+    once = docs.join(first.where("n = 1"), same, "left_semi")
+    repeated = first.where("n > 1").select("__i", "__t")
+    if repeated.isEmpty():
+        return once
+    w = Window.partitionBy("__i", "__t").orderBy(F.lit(0))
+    return once.unionByName(docs.join(repeated, same).withColumn("__k", F.row_number().over(w)).where("__k = 1").select(*(docs[c] for c in docs.columns)))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

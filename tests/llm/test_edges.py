@@ -107,6 +107,15 @@ def test_ngram_join_on_copies_and_short_texts(docs):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.where("doc_id in (1, 6)").collect()) == [1]
 
 
+def test_near_copies_with_null_ids_and_repeated_rows(spark):
+    rows = [(None, PLAIN), (8, PLAIN + " x"), (7, PLAIN), (7, PLAIN), (9, "another text of more than five words"), (9, "another text of more than five words"), (None, "one more text without any id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == [(0, 0), (0, 7), (7, 7), (7, 7), (8, 7), (9, 9), (9, 9)]
+    left = ngram_join.drop_near_copies(docs)
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 7, 9] and left.columns == docs.columns
+
+
 def test_toxicity_restores_disguised_words(spark):
     pairs = [("idiot", "moron"), ("moron", "loser"), ("loser", "idiot")]
     clean = [(k, f"the day number{k} was fine you friend and every guest there") for k in range(60)]
