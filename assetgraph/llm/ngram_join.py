@@ -8,9 +8,12 @@ So a longer prefix (larger l) may ask for more shared shingles. Two orders are u
    text of which too few are found in another one is done: it has no link. Shingles go to the counting
    tasks as packed arrays; each mapper counts what repeats inside its own share and sends one of each, so
    a passage in every document costs one entry per mapper.
-2. Copies collapse to one set. The sets that are left are grouped by min-hashes, and each is verified
-   against a few hubs of its group (those with the fewest shingles of their own), not against all members: a large group of near copies becomes one
-   component with verifications in proportion to its members.
+2. Copies collapse to one set. The sets that are left meet by a short prefix in hash order (HEAD shingles,
+   of which HUB_MATCHES must be shared), and each is verified against a few hubs of every prefix shingle
+   (those with the fewest shingles of their own), not against all sets that hold it: a large group of near
+   copies becomes one component with verifications in proportion to its members. Of a member's verified
+   links only the one to its least hub is kept; its other hubs are linked with that hub instead, once for
+   all members, which leaves the same components. What was found is contracted before the next step.
 3. Join between components. Only shingles that occur in two components matter; the others come first in
    the order and match nothing. Partners are told apart by size: each bin of partner sizes has its own
    least overlap, a set with fewer such shingles than that skips the bin, and otherwise its prefix length l
@@ -41,15 +44,17 @@ SHINGLE = 5
 #: Similarity in hundredths.
 PERCENT = 75
 SCREEN = 6
-#: Counting tasks, at least.
-MIN_PARTS = 64
-#: Shingles that a mapper holds before it sends them.
-HELD = 400_000
-MINHASHES = 6
+#: Counting tasks: one for each PART_BYTES of text, between the two numbers.
+PART_BYTES = 8 << 20
+MIN_PARTS, MAX_PARTS = 64, 1 << 18
+#: Shingles that a mapper holds before it sends them, at least; and for each counting task.
+HELD, HELD_EACH = 400_000, 8
+#: Shingles of the short prefix by which sets meet their hubs.
+HEAD = 6
 HUB_ROUNDS = 2
-#: Hubs of a min-hash group, at most: one per slot, so the original is a hub even where near copies tie with it.
+#: Hubs of a prefix shingle, at most: one per slot, so the original is a hub even where near copies tie with it.
 HUB_SLOTS = 8
-#: Min-hashes that a set and a hub have in common, at least (others are left to the join).
+#: Prefix shingles that a set and a hub have in common, at least (others are left to the join).
 HUB_MATCHES = 2
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 20.0
@@ -128,7 +133,7 @@ def _scan(parts: int, percent: int):
             own, count = np.unique(r[many], return_counts=True)
             yield table(1, kind=pa.array([2], pa.int32()), a=pa.array([own.astype("<i8").tobytes()], pa.binary()), b=pa.array([count.astype("<i4").tobytes()], pa.binary()))
         t, r = t[first], np.where(many, -1, r)[first]
-        pid = ((t >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+        pid = ((t >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
         order = np.lexsort((r, pid))
         t, r, pid = t[order], r[order], pid[order]
         cut = np.searchsorted(pid, np.arange(parts + 1))
@@ -157,7 +162,7 @@ def _scan(parts: int, percent: int):
                 tokens.append(W.mix(s[take] + np.uint64(0x5851F42D4C957F2D)))
                 rids.append(np.repeat(rid, length))
                 held += len(tokens[-1])
-                if held >= HELD:
+                if held >= max(HELD, HELD_EACH * parts):
                     yield from flush(tokens, rids)
                     tokens, rids, held = [], [], 0
         if held:
@@ -186,8 +191,8 @@ def _unpack(it):
 def screen(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """(documents, survivors): documents (rid, id, th, n, fp1, fp2), survivors (rid, lack), lack being the
     share of prefix shingles that no other document has."""
-    spark = docs.sparkSession
-    parts = min(65536, max(MIN_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = docs.select(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    parts = min(MAX_PARTS, max(MIN_PARTS, size // PART_BYTES))
     rows = docs.select(docs[text_col].alias("text"), docs[id_col].cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(docs[text_col]).alias("th"))
     scanned = written(rows.mapInArrow(_scan(parts, percent), _SCAN), "shingles")
     documents = written(scanned.where("kind = 0").select("rid", "id", "th", "n", "fp1", "fp2"), "documents")
@@ -209,11 +214,9 @@ def _full_sets(it):
     for batch in it:
         for i, j, raw, off in W.chunks(batch.column(0)):
             s, begin = shingle_sets(raw, off)
-            n = np.diff(begin)
-            mins = [np.minimum.reduceat(W.mix(s ^ W.mix(np.uint64([k + 1]))), begin[:-1]).astype(np.int64) for k in range(MINHASHES)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.astype(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * MINHASHES), pa.array(np.stack(mins, axis=1).ravel()))],
-                names=["rid", "lack", "n", "s", "mins"],
+                [batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(begin).astype(np.int32)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.astype(np.int64)))],
+                names=["rid", "lack", "n", "s"],
             )
 
 
@@ -226,26 +229,40 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def hub_links(sets: DataFrame, percent: int, rounds: int = HUB_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): verified links of each set to one hub per min-hash group, and (rid, root)."""
-    keys = written(sets.select("rid", "lack", "n", "mins", F.posexplode("mins").alias("k", "m")), "min-hashes")
+def spanning(links: DataFrame) -> DataFrame:
+    """Fewer edges with the same components as the links (a, b) of members a with hubs b: a member keeps
+    its least hub, and each other hub that it has is joined to that one, once for all members."""
+    by = links.groupBy("a").agg(F.min("b").alias("hub"), F.collect_set("b").alias("hubs"))
+    rest = by.select(F.explode("hubs").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct()
+    return by.select("a", F.col("hub").alias("b")).unionByName(rest)
+
+
+def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (rid, root) once the components of the links (a, b) are one."""
+    ends = (roots.select(F.col("rid").alias(x), F.col("root").alias("r" + x)) for x in "ab")
+    lifted = links.join(next(ends), "a").join(next(ends), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b")
+    known = connected(lifted)
+    return written(roots.join(known.select(F.col("v").alias("root"), F.col("root").alias("up")), "root", "left").select("rid", F.coalesce("up", "root").alias("root")), "roots")
+
+
+def hub_links(sets: DataFrame, percent: int, rounds: int = HUB_ROUNDS) -> DataFrame:
+    """(rid, root): the components by verified links of sets with hubs of their prefix shingles."""
+    head = F.slice("s", 1, HEAD)
+    keys = written(sets.select("rid", "lack", "n", head.alias("head"), F.explode(head).alias("token")), "prefixes")
     roots = sets.select("rid", F.col("rid").alias("root"))
-    links = None
     for turn in range(rounds):
         # first the sets with the fewest shingles of their own: the likely originals
         first = F.col("lack") if turn == 0 else F.xxhash64("rid", F.lit(turn))
-        delegates = keys.join(roots, "rid").groupBy("k", "m", "root").agg(F.min(F.struct(first.alias("first"), "rid", "n", "mins")).alias("x"))
-        delegates = written(delegates.select("k", "m", "x"), "delegates")
-        slot = F.pmod(F.xxhash64("x.rid", "k"), F.lit(HUB_SLOTS))
-        hubs = written(delegates.groupBy("k", "m", slot.alias("slot")).agg(F.min("x").alias("hub")).select("k", "m", "hub"), "hubs")
-        both = delegates.join(hubs, ["k", "m"]).where("x.rid <> hub.rid").where(F.least("x.n", "hub.n") * 100 >= F.greatest("x.n", "hub.n") * percent)
-        alike = F.aggregate(F.zip_with("x.mins", "hub.mins", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, z: t + z)
-        pairs = both.where(alike >= HUB_MATCHES).select(F.least("x.rid", "hub.rid").alias("a"), F.greatest("x.rid", "hub.rid").alias("b")).distinct()
-        found = written(verify(written(pairs, "pairs"), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        known = connected(links)
-        roots = written(sets.select("rid").join(known.withColumnRenamed("v", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root")), "roots")
-    return links, roots
+        delegates = keys.join(roots, "rid").groupBy("token", "root").agg(F.min(F.struct(first.alias("first"), "rid", "n", "head")).alias("x"))
+        delegates = written(delegates.select("token", "x"), "delegates")
+        slot = F.pmod(F.xxhash64("x.rid", "token"), F.lit(HUB_SLOTS))
+        hubs = written(delegates.groupBy("token", slot.alias("slot")).agg(F.min("x").alias("hub")).select("token", "hub"), "hubs")
+        both = delegates.join(hubs, "token").where("x.rid <> hub.rid").where(F.least("x.n", "hub.n") * 100 >= F.greatest("x.n", "hub.n") * percent)
+        pairs = both.where(F.size(F.array_intersect("x.head", "hub.head")) >= HUB_MATCHES).select(F.col("x.rid").alias("a"), F.col("hub.rid").alias("b"))
+        pairs = pairs.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("b", "a")).alias("p"))  # of two hubs once
+        found = written(verify(written(pairs.select("p.a", "p.b"), "pairs"), sets, percent), "links")
+        roots = contracted(roots, spanning(found))
+    return roots
 
 
 def _cross(tokens: DataFrame) -> DataFrame:
@@ -333,12 +350,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = reps.select("rid", "lack", F.col("id").alias("i"), F.col("th").alias("t"))
     # a table that grows with the corpus: merged at every size, so that a small run tells of a large one
     texts = texts.join(wanted.hint("merge"), texts["id"].eqNullSafe(wanted["i"]) & (texts["th"] == wanted["t"])).select("text", "rid", "lack").dropDuplicates(["rid"])
-    sets = written(texts.mapInArrow(_full_sets, "rid long, lack double, n int, s array<long>, mins array<long>"), "sets")
-    links, roots = hub_links(sets, percent)
-    every = links.unionByName(cross_links(sets, roots, percent))
-    known = connected(every)
-    rooted = reps.join(known.select(F.col("v").alias("rid"), "root"), "rid", "left").select("fp1", "fp2", "n", F.coalesce("root", "rid").alias("root"))
-    rooted = written(rooted, "rooted")
+    sets = written(texts.mapInArrow(_full_sets, "rid long, lack double, n int, s array<long>"), "sets")
+    roots = hub_links(sets, percent)
+    roots = contracted(roots, cross_links(sets, roots, percent))
+    rooted = written(reps.join(roots, "rid").select("fp1", "fp2", "n", "root"), "rooted")
     member = written(living.join(rooted, ["fp1", "fp2", "n"]).select("rid", "id", "root"), "members")
     heads = written(member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("head")).select("root", F.col("head.id").alias("component_id"), F.col("head.rid").alias("head")), "heads")
     placed = member.join(heads, "root").select("rid", "component_id", (F.col("rid") == F.col("head")).alias("is_first"))
