@@ -194,19 +194,37 @@ def ipv4_number(ip: Column) -> Column:
     return sum((F.get(part, F.lit(k)).try_cast("long") * (256 ** (3 - k)) for k in range(1, 4)), F.get(part, F.lit(0)).try_cast("long") * 256**3)
 
 
-def ipv4_range(value: Column) -> Column:
-    """struct(lo, hi) of an IPv4 address or network (its host bits are ignored), else null."""
-    ip, bits = F.substring_index(value, "/", 1), F.regexp_extract(value, r"/([0-9]{1,2})$", 1).try_cast("int")
-    prefix = F.when(value.contains("/"), bits).otherwise(32)
-    size = F.pow(F.lit(2.0), 32 - prefix).cast("long")
-    lo = F.floor(ipv4_number(ip) / size) * size
-    good = ip.rlike(IPV4) & prefix.between(0, 32)
-    return F.when(good, F.struct(lo.cast("long").alias("lo"), (lo + size - 1).cast("long").alias("hi")))
+def _hex_groups(text: Column) -> Column:
+    """The eight groups of an IPv6 address, or null. :: stands for one group of zeros or more, and the last two
+    groups may be written as an IPv4 address."""
+    quad = F.regexp_extract(text, r"([0-9.]+)$", 1)
+    pair = F.when(quad.rlike(IPV4), F.concat(F.lower(F.hex(F.shiftright(ipv4_number(quad), 16))), F.lit(":"), F.lower(F.hex(ipv4_number(quad) % 65536))))
+    plain = F.when(quad.contains("."), F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), pair)).otherwise(text)
+    halves = F.split(plain, "::")
+    groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    given = F.size(groups(0)) + F.size(groups(1))
+    every = F.concat(groups(0), F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), groups(1))
+    shape = plain.rlike(r"^(::|(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*(::)?|::(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*|(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*::(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*)$")
+    return F.when(shape & F.when(plain.contains("::"), given <= 7).otherwise(given == 8), every)
+
+
+def ip_network(value: Column) -> Column:
+    """struct(version, bits, length) of an address or network of either family, else null: bits are the address
+    as a string of 0 and 1, of which the first length count. A zone (%eth0) of an address is ignored."""
+    text = F.regexp_replace(F.trim(value), r"\.+$", "")
+    net = text.contains("/")
+    ip = F.when(net, F.substring_index(text, "/", 1)).otherwise(F.regexp_replace(text, r"%[^/%]+$", ""))
+    given = F.when(net, F.regexp_extract(text, r"^[^/]*/([0-9]{1,3})$", 1).try_cast("int"))
+    number = F.lpad(F.conv(ipv4_number(ip).cast("string"), 10, 2), 32, "0")
+    groups = _hex_groups(ip)
+    six = F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    one = lambda version, bits, most: F.when(F.coalesce(given, F.when(~net, most)).between(0, most), F.struct(F.lit(version).alias("version"), bits.alias("bits"), F.coalesce(given, F.lit(most)).alias("length")))
+    return F.when(ip.rlike(IPV4), one(4, number, 32)).when(ip.contains(":") & groups.isNotNull(), one(6, six, 128))
 
 
 def classify_value(value: Column) -> Column:
-    """ip, network or host."""
-    return F.when(F.trim(value).rlike(IPV4), "ip").when(ipv4_range(F.trim(value)).isNotNull(), "network").otherwise("host")
+    """ip, network or host; addresses of both families."""
+    return F.when(ip_network(value).isNull(), "host").when(F.trim(value).contains("/"), "network").otherwise("ip")
 
 
 def parse_duration(text: Column) -> Column:

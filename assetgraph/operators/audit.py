@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Verbs that a schedule may contain, and those that touch the target.
-VERBS = {
-    "passive-collect": ("allowed", False), "enumerate": ("allowed", False), "fingerprint": ("allowed", False), "resolve": ("allowed", True), "port-scan": ("allowed", True), "http-HEAD": ("allowed", True),
-    "http-GET": ("allowed", True), "tls-handshake": ("allowed", True), "read-openapi": ("allowed", True), "graphql-introspect": ("allowed", True),
-}
-
+from assetgraph.functions import urls as U
+from assetgraph.functions import verbs as V
 
 def token_bucket(debits: DataFrame, qps: float, capacity: float) -> DataFrame:
     """Rows (target, seq, at seconds, cost) -> (target, seq, accepted, balance_after).
@@ -40,28 +38,67 @@ def token_bucket(debits: DataFrame, qps: float, capacity: float) -> DataFrame:
     return rows.repartition("target").sortWithinPartitions("target", "at", "seq").mapInArrow(run, f"target {kind}, seq long, accepted boolean, balance_after double")
 
 
-def gate_decisions(requests: DataFrame, active_on: bool, snapshot_fresh: bool) -> DataFrame:
-    """Requests (verb, verdict, ...) with decision and the first failing reason."""
-    verbs = list(VERBS)
-    active: Column = F.col("verb").isin([v for v in verbs if VERBS[v][1]])
+def spend(debits: DataFrame, qps: float, capacity: float, by: Column | None = None) -> DataFrame:
+    """The debits that a bucket accepts: (target, n, cost). One ledger charges targets by registrable domain; a
+    second one, for third parties, is the same call on the debits of passive queries, by their source."""
+    keyed = debits.withColumn("target", U.registrable_domain(U.canonical_host(F.col("target"))) if by is None else by)
+    accepted = token_bucket(keyed, qps, capacity).where("accepted").select("target", "seq")
+    return keyed.join(accepted, ["target", "seq"]).groupBy("target").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+
+
+def gate_decisions(requests: DataFrame, active_on: bool, snapshot: str | None, snapshot_stale: bool = False) -> DataFrame:
+    """Requests (verb, verdict, rule_matched, ...) with decision and the first reason to refuse, in this order: active
+    collection is off, no snapshot, a stale snapshot, a verb that may not be scheduled, one that is not active, a
+    verdict other than in_scope, and, where requests say what the rate ledger did (accepted), an empty budget."""
+    verb, verdict = F.coalesce("verb", F.lit("")), F.coalesce("verdict", F.lit("out_of_scope"))
+    quoted, kind = F.concat(F.lit("'"), verb, F.lit("'")), V.verb_class(F.col("verb"))
+    rule = F.coalesce("rule_matched", F.lit("")) if "rule_matched" in requests.columns else F.lit("")
+    # The reasons.
     reason = (
-        F.when(active & F.lit(not active_on), "active collection is off").when(F.lit(not snapshot_fresh), "policy snapshot is missing or stale").when(~F.col("verb").isin(verbs), "verb is not schedulable")
-        .when(F.col("verdict") != "in_scope", F.concat(F.lit("verdict is "), F.col("verdict")))
+        F.when(F.lit(not active_on), "active modules disabled (allow_active=false)").when(F.lit(snapshot is None), "no scope snapshot (verify live policy first)")
+        .when(F.lit(snapshot_stale), "scope snapshot is stale; re-fetch + re-bind required").when(kind == "blocked", F.concat(F.lit("verb "), quoted, F.lit(" is on the blocked list and can never be scheduled")))
+        .when(kind == "human_gated", F.concat(F.lit("verb "), quoted, F.lit(" is human-gated; enqueue for authorization, do not auto-run"))).when(kind == "unknown", F.concat(F.lit("verb "), quoted, F.lit(" is not on the recon-verb whitelist")))
+        .when(~V.is_active(F.col("verb")), F.concat(quoted, F.lit(" is not an active verb"))).when(verdict != "in_scope", F.concat(F.lit("not in scope: "), rule, F.lit(" ("), verdict, F.lit(")")))
     )
+    if "accepted" in requests.columns:
+        reason = reason.when(~F.coalesce("accepted", F.lit(False)), "rate budget exceeded")
     return requests.withColumns({"decision": F.when(reason.isNull(), "ALLOW").otherwise("REFUSE"), "reason": F.coalesce(reason, F.lit(""))})
 
 
-def invariants(nodes: DataFrame, edges: DataFrame, ledger: DataFrame, snapshot_id: str) -> DataFrame:
-    """(code, detail) of each violation: stale bindings, probes out of scope, negative balances, derivations
-    from something other than an artifact, edges to other people's data, and forks without a base."""
-    rows = lambda df, code: df.select(F.lit(code).alias("code"), F.col("id").alias("detail"))
-    stale = rows(nodes.where(F.col("snapshot_id") != snapshot_id), "I1")
-    probed = rows(nodes.where("active_probed and verdict <> 'in_scope'"), "I3")
-    negative = ledger.where("balance_after < 0").select(F.lit("I4").alias("code"), F.col("target").cast("string").alias("detail"))
+def _holds(name: str) -> Column:
+    return ~F.coalesce(F.col("attrs")[name], F.lit("")).isin("", "false", "null", '""', "0", "[]", "{}")
+
+
+def invariants(nodes: DataFrame, edges: DataFrame, ledger: DataFrame | None = None, snapshot_id: str | None = None, log: DataFrame | None = None, snapshot_stale: bool = False) -> DataFrame:
+    """(code, detail) of each violation; no row means clean.
+
+    nodes (id, type, snapshot_id, verdict, attrs, sensitivity, data_subject, forked_from), edges (id, type, frm, to,
+    forked_from), ledger (target, balance_after), log (kind, id, verb, decision). I1 a binding to another snapshot; I3 an
+    active probe out of scope; I4 a negative balance; I5 a derivation from something other than an Artifact; I6 and I7
+    circumvention; I8 a credential, token or other person's data without its label; I9 an edge to other people's data;
+    of the log: I10 a dispatched verb that may not be scheduled, I11 a fork that does not exist or does not name its base,
+    I12 an ALLOW under a stale snapshot (one row)."""
+    rows = lambda df, code: df.select(F.lit(code).alias("code"), F.col("id").cast("string").alias("detail"))
+    label = F.coalesce("sensitivity", F.lit("S0"))
+    found = [
+        rows(nodes.where(_holds("active_probed") & (F.col("verdict") != "in_scope")), "I3"), rows(nodes.where(F.col("attrs")["anti_cheat_action_mode"].isin("runtime_circumvent", '"runtime_circumvent"')), "I6"),
+        rows(nodes.where((F.col("type") == "Artifact") & (_holds("is_circumvention_tool") | _holds("published_externally"))), "I7"), rows(nodes.where(F.col("type").isin("Credential", "Token") & (label == "S0")), "I8"),
+        rows(nodes.where((F.col("data_subject") == "other") & (label != "S3")), "I8"),
+    ]
+    if snapshot_id is not None:
+        found.append(rows(nodes.where(~F.col("snapshot_id").eqNullSafe(F.lit(snapshot_id))), "I1"))
+    if ledger is not None:
+        found.append(ledger.where("balance_after < 0").select(F.lit("I4").alias("code"), F.col("target").cast("string").alias("detail")))
     artifacts = nodes.where("type = 'Artifact'").select(F.col("id").alias("to"))
-    derived = rows(edges.where("type = 'derived_from'").join(artifacts, "to", "left_anti"), "I5")
+    found.append(rows(edges.where("type = 'derived_from'").join(artifacts, "to", "left_anti"), "I5"))
     others = nodes.where("data_subject = 'other'").select(F.col("id").alias("end"))
     ends = edges.select("id", F.explode(F.array("frm", "to")).alias("end"))
-    foreign = rows(ends.join(others, "end", "left_semi").select("id").distinct(), "I9")
-    forks = rows(nodes.where(F.col("id").contains("#fork") & F.col("forked_from").isNull()), "I11")
-    return stale.unionByName(probed).unionByName(negative).unionByName(derived).unionByName(foreign).unionByName(forks)
+    found.append(rows(ends.join(others, "end", "left_semi").select("id"), "I9"))
+    if log is not None:
+        found.append(rows(log.where(F.col("kind") == "gap_dispatched").where(V.verb_class(F.col("verb")) != "allowed"), "I10"))
+        known = nodes.select("id", "forked_from").unionByName(edges.select("id", "forked_from")).where("forked_from is not null").select("id")
+        found.append(rows(log.where(F.col("kind") == "contradiction_forked").join(known, "id", "left_anti"), "I11"))
+        if snapshot_stale:
+            allowed = log.where("kind = 'gate_decision_recorded' and decision = 'ALLOW'").agg(F.count("*").alias("n")).where("n > 0")
+            found.append(allowed.select(F.lit("I12").alias("code"), F.col("n").cast("string").alias("detail")))
+    return functools.reduce(DataFrame.unionByName, found)

@@ -41,17 +41,52 @@ def oversized_clusters(prints: DataFrame, limit: int = MAX_CLUSTER) -> DataFrame
     return cluster_sizes(prints).where(F.col("n") > limit)
 
 
+#: Node types that carry fingerprints.
+TYPES = ("WebApp", "Host", "Service")
+#: What two agreeing body fingerprints add.
+BONUS = 0.6
+
+
+def node_prints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(signal, id, fingerprint) of nodes in scope (id, type, verdict, attrs) and their certificates: by attribute for
+    the types that carry fingerprints, by presents_certificate edges for all."""
+    scoped = nodes.where("verdict = 'in_scope'")
+    names = [s for s, _, _ in SIGNALS if s not in ("spki", "kid")]
+    text = lambda v: F.regexp_replace(v, r'^"(.*)"$', "$1")  # noqa: E731  values of a log are JSON text
+    told = F.array(*(F.struct(F.lit(s).alias("signal"), F.lower(F.trim(text(F.col("attrs")[s]))).alias("fingerprint")) for s in names))
+    kids = F.transform(F.from_json(F.col("attrs")["kids"], "array<string>"), lambda k: F.struct(F.lit("kid").alias("signal"), F.trim(k).alias("fingerprint")))
+    typed = scoped.where(F.col("type").isin(*TYPES)).select("id", F.explode(F.concat(told, F.coalesce(kids, F.array().cast("array<struct<signal:string,fingerprint:string>>")))).alias("p")).select("p.signal", "id", "p.fingerprint")
+    certs = edges.where("type = 'presents_certificate'").select(F.lit("spki").alias("signal"), F.col("frm").alias("id"), F.col("to").alias("fingerprint")).join(scoped.select("id"), "id", "left_semi")
+    return typed.unionByName(certs).where(F.col("fingerprint").isNotNull() & ~F.col("fingerprint").isin(*TRIVIAL)).distinct()
+
+
 def correlate(prints: DataFrame, limit: int = MAX_CLUSTER) -> DataFrame:
-    """Rows (signal, id, fingerprint) -> edges (a, b, type, signal, log_odds): the strongest signal of a pair."""
+    """Rows (signal, id, fingerprint) -> edges (a, b, type, signal, log_odds), a < b: of each type the strongest signal of a
+    pair. Icon and error-page clusters with the same members get BONUS."""
     spark = prints.sparkSession
-    table = F.broadcast(spark.createDataFrame([(k, *s) for k, s in enumerate(SIGNALS)], "strength int, signal string, type string, log_odds double"))
-    keyed = drop_trivial_fingerprints(prints, "fingerprint").select("id", F.concat_ws("\x1f", "signal", "fingerprint").alias("fingerprint"))
+    table = F.broadcast(spark.createDataFrame([(k, *s) for k, s in enumerate(SIGNALS)], "strength int, signal string, type string, log_odds double"))  # seven rows
+    keyed = drop_trivial_fingerprints(prints.where("signal <> 'kid'"), "fingerprint").unionByName(prints.where("signal = 'kid'"))
+    keyed = keyed.select("id", F.concat_ws("\x1f", "signal", "fingerprint").alias("fingerprint"))
     pairs = cluster_pairs(keyed, limit).withColumn("signal", F.substring_index("fingerprint", "\x1f", 1)).join(table, "signal")
-    w = Window.partitionBy("a", "b").orderBy("strength")
-    return pairs.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("a", "b", "type", "signal", "log_odds")
-
-
-def corroborated_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b) pairs that share both icon and error-page fingerprints."""
-    pick = lambda s: cluster_pairs(prints.where(F.col("signal") == s).select("id", "fingerprint")).select("a", "b")
-    return pick("favicon_hash").intersect(pick("default_404_hash"))
+    twice = corroborated_clusters(keyed, limit).withColumn("bonus", F.lit(BONUS))
+    scored = pairs.join(twice, "fingerprint", "left").withColumn("log_odds", F.col("log_odds") + F.coalesce("bonus", F.lit(0.0)))
+    w = Window.partitionBy("type", "a", "b").orderBy("strength", F.desc("log_odds"))
+    return scored.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("a", "b", "type", "signal", "log_odds")
+
+
+def corroborated_clusters(keyed: DataFrame, limit: int = MAX_CLUSTER) -> DataFrame:
+    """(fingerprint) of icon and error-page clusters that have one and the same set of members, of (id, signal and
+    fingerprint in one). Sets are listed for clusters of up to limit members only: larger ones are never linked."""
+    both = keyed.where(F.substring_index("fingerprint", "\x1f", 1).isin("favicon_hash", "default_404_hash"))
+    small = cluster_sizes(both).where(F.col("n") <= limit).select("fingerprint")
+    sets = both.join(small, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.array_sort(F.collect_set("id")).alias("members"))
+    sets = sets.withColumn("icon", F.col("fingerprint").startswith("favicon_hash"))
+    shared = sets.groupBy("members").agg(F.count_if("icon").alias("icons"), F.count_if(~F.col("icon")).alias("pages")).where("icons > 0 and pages > 0").select("members")
+    return sets.join(shared, "members", "left_semi").select("fingerprint")
+
+
+def identity_edges(nodes: DataFrame, edges: DataFrame, limit: int = MAX_CLUSTER) -> DataFrame:
+    """correlate() of a graph, in both directions: (type, frm, to, signal, log_odds)."""
+    found = correlate(node_prints(nodes, edges), limit)
+    both = F.explode(F.array(F.struct(F.col("a").alias("frm"), F.col("b").alias("to")), F.struct(F.col("b").alias("frm"), F.col("a").alias("to"))))
+    return found.select("type", both.alias("e"), "signal", "log_odds").select("type", "e.frm", "e.to", "signal", "log_odds")

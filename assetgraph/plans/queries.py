@@ -105,11 +105,11 @@ def pii_minimise(spark, sf_dir):
 _SECRET_SQL = r"^(?:ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}|[A-Za-z0-9+/]{32,}={0,2}|[0-9a-fA-F]{32,})$"
 
 
-@query(rf"""WITH w AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), '"', ' '), ' ')) AS word FROM documents)
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '["\s]')) AS word FROM documents)
 SELECT doc_id, count(*) AS n_secrets, string_agg(DISTINCT substr(word, 1, 4) || '…+' || substr(sha256(word), 1, 16), ' ' ORDER BY substr(word, 1, 4) || '…+' || substr(sha256(word), 1, 16)) AS redacted
 FROM w WHERE regexp_matches(word, '{_SECRET_SQL}') GROUP BY doc_id""")
 def secret_redact(spark, sf_dir):
-    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), '"', " "), " "), lambda x: x.rlike(C.SECRET))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r'["\s]'), lambda x: x.rlike(C.SECRET))
     found = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where(F.size("words") > 0)
     return found.select("doc_id", F.size("words").cast("long").alias("n_secrets"), F.array_join(F.array_sort(F.array_distinct(C.redact_secret_shaped(F.col("words")))), " ").alias("redacted"))
 
@@ -144,15 +144,28 @@ def verdict_histogram(spark, sf_dir):
 
 @query(rf"""WITH a AS (SELECT DISTINCT value FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{_IP_SQL}')) AS value FROM documents) WHERE regexp_matches(value, '{_IPV4_SQL}')),
 n AS (SELECT value, CAST(split_part(value, '.', 1) AS INT) AS o FROM a)
-SELECT value, CASE WHEN o >= 224 THEN 'out_of_scope' WHEN o = 10 OR o BETWEEN 100 AND 103 OR o >= 192 THEN 'in_scope' ELSE 'out_of_scope' END AS verdict,
-  CASE WHEN o >= 224 THEN 'excluded by ''224.0.0.0/4''' WHEN o = 10 THEN 'included by ''10.0.0.0/8''' WHEN o BETWEEN 100 AND 103 THEN 'included by ''100.0.0.0/6''' WHEN o >= 192 THEN 'included by ''192.0.0.0/3'''
-  ELSE 'not matched by any include rule (default deny)' END AS rule_matched FROM n WHERE o < 240""")
+SELECT value, CASE WHEN o BETWEEN 224 AND 239 THEN 'out_of_scope' WHEN o = 10 OR o BETWEEN 100 AND 103 OR o >= 192 THEN 'in_scope' ELSE 'out_of_scope' END AS verdict,
+  CASE WHEN o BETWEEN 224 AND 239 THEN 'excluded by ''224.0.0.0/4''' WHEN o = 10 THEN 'included by ''10.0.0.0/8''' WHEN o BETWEEN 100 AND 103 THEN 'included by ''100.0.0.0/6''' WHEN o >= 192 THEN 'included by ''192.0.0.0/3'''
+  ELSE 'not matched by any include rule (default deny)' END AS rule_matched FROM n""")
 def cidr_verdicts(spark, sf_dir):
     rules = scope.scope_rules(spark, NETWORKS, ["224.0.0.0/4"])
-    ips = document_addresses(spark, sf_dir).select("value").where(U.is_ipv4(F.col("value"))).distinct().where(U.ipv4_number(F.col("value")) < 240 * 256**3)
+    ips = document_addresses(spark, sf_dir).select("value").where(U.is_ipv4(F.col("value"))).distinct()
     return scope.bind_scope(ips, "value", rules).select("value", "verdict", "rule_matched")
 
 
+@query("""WITH v AS (SELECT s_suppkey AS k, s_nationkey AS n, printf('2001:db8:%x::%x', s_nationkey, s_suppkey) AS value, 128 AS len FROM supplier
+UNION ALL SELECT s_suppkey, s_nationkey, printf('2001:db8:%x::/%d', s_nationkey, 32 + s_suppkey % 33), 32 + s_suppkey % 33 FROM supplier),
+w AS (SELECT DISTINCT value, len, CASE WHEN len >= 48 THEN n WHEN len > 32 THEN (n // CAST(2 ** (48 - len) AS BIGINT)) * CAST(2 ** (48 - len) AS BIGINT) ELSE 0 END AS lo, CASE WHEN len >= 48 THEN n WHEN len > 32 THEN (n // CAST(2 ** (48 - len) AS BIGINT) + 1) * CAST(2 ** (48 - len) AS BIGINT) - 1 ELSE 65535 END AS hi FROM v)
+SELECT value, CASE WHEN (lo <= 3 AND hi >= 3) OR (lo <= 7 AND hi >= 4) THEN 'out_of_scope' WHEN hi <= 15 THEN 'in_scope' WHEN lo >= 16 AND hi <= 19 THEN 'prefilter_only' ELSE 'out_of_scope' END AS verdict FROM w""")
+def ipv6_verdicts(spark, sf_dir):
+    """Addresses and networks of suppliers: one /48 of each nation, and networks around it of /32 to /64."""
+    rules = scope.scope_rules(spark, ["2001:DB8::/44"], ["2001:db8:3::/48", "2001:db8:0004::/46"], ["2001:db8:10::/46"])
+    nation, own = F.lower(F.hex("s_nationkey")), F.lower(F.hex("s_suppkey"))
+    base = F.concat(F.lit("2001:db8:"), nation, F.lit("::"))
+    rows = table(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(base, own), F.concat(base, F.lit("/"), (32 + F.col("s_suppkey") % 33).cast("string")))).alias("value")).distinct()
+    return scope.bind_scope(rows, "value", rules).select("value", "verdict")
+
+
 def observations(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     return rows.select(
@@ -178,6 +191,54 @@ def graph_forks(spark, sf_dir):
     return forks.select("id", "base", F.col("attrs")["k"].alias("k"), "first_seen")
 
 
+def order_log(spark, sf_dir):
+    """Orders as a log: each is a sight of its customer, whose status contradicts for every tenth one, and of an edge between
+    both; some customers are bound anew at the end, and returned line items are upserts without a datum."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    cid, oid = F.concat(F.lit("cust:"), F.col("o_custkey").cast("string")), F.concat(F.lit("ord:"), F.col("o_orderkey").cast("string"))
+    ts = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    step = F.struct(F.col("o_orderstatus").alias("evidence_id"), F.substring("o_orderpriority", 1, 1).alias("tool"), F.lit("1").alias("tool_version"), F.lit("r").alias("rule_id"), F.lit("1").alias("rule_version"), F.lit("").alias("config_hash"))
+    common = [
+        F.struct(F.array(step).alias("chain")).alias("provenance"), F.struct(F.lit(0.5).alias("log_odds")).alias("confidence"), F.struct(ts.alias("first_seen"), ts.alias("last_seen"), ts.alias("last_verified"), F.lit("P7D").alias("decay_half_life")).alias("temporal"),
+        F.struct(F.lit("in_scope").alias("verdict"), F.lit("snap:1").alias("snapshot_id"), ts.alias("observed_at"), F.lit("r1").alias("rule_matched")).alias("scope_binding"),
+        F.array(F.struct(F.sha2("o_orderstatus", 256).alias("sha256"), F.lit("eu").alias("region"), F.lit(True).alias("encrypted_at_rest"))).alias("evidence"),
+        F.struct((F.col("o_totalprice") > 400000).alias("enumerated")).alias("coverage"),
+    ]
+    attrs = F.struct(F.col("c_nationkey").alias("nation"), F.when(F.col("o_custkey") % 10 == 0, F.col("o_orderstatus")).alias("status"), F.array(F.col("o_orderstatus")).alias("seen"))
+    node = F.struct(cid.alias("id"), F.lit("Organization").alias("type"), attrs.alias("attrs"), *common)
+    edge = F.struct(F.concat(F.lit("attributed_to:"), oid, F.lit("->"), cid).alias("id"), F.lit("attributed_to").alias("type"), oid.alias("frm"), cid.alias("to"), *common)
+    row = lambda df, seq, kind, payload: df.select(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), F.to_json(payload).alias("payload"))
+    log = row(orders, 2 * F.col("o_orderkey"), "node_upserted", F.struct(node.alias("node"))).unionByName(row(orders, 2 * F.col("o_orderkey") + 1, "edge_upserted", F.struct(edge.alias("edge"))))
+    new = F.struct(F.lit("out_of_scope").alias("verdict"), F.lit("snap:2").alias("snapshot_id"), F.lit("2026-01-10").alias("observed_at"), F.lit("x").alias("rule_matched"))
+    moved = table(spark, sf_dir, "customer").where("c_nationkey % 4 = 0")
+    log = log.unionByName(row(moved, F.lit(1 << 40) + F.col("c_custkey"), "scope_binding_set", F.struct(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("id"), new.alias("binding"))))
+    bare = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return log.unionByName(row(bare, F.lit(1 << 41) + F.col("l_orderkey"), "node_upserted", F.struct(F.col("l_orderkey").alias("id"))))
+
+
+_REPLAY = """o AS (SELECT *, 'cust:' || o_custkey AS cid, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts, substr(o_orderpriority, 1, 1) AS tool, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS s0 FROM orders JOIN customer ON c_custkey = o_custkey),
+k AS (SELECT *, o_custkey % 10 = 0 AND o_orderstatus <> s0 AS forked FROM o),
+n AS (SELECT *, CASE WHEN forked THEN row_number() OVER (PARTITION BY o_custkey, forked ORDER BY o_orderkey) ELSE 0 END AS fork FROM k),
+m AS (SELECT cid, fork, any_value(c_nationkey) AS nation, arg_min(o_orderstatus, o_orderkey) AS status, bool_or(o_custkey % 10 = 0) AS told, count(DISTINCT tool) AS tools, count(DISTINCT o_orderstatus) AS proofs, count(DISTINCT (o_orderstatus, tool)) AS steps,
+  bool_or(o_totalprice > 400000) AS enumerated, arg_min(ts, o_orderkey) AS first_seen, arg_max(ts, o_orderkey) AS last_verified, count(*) AS observations FROM n GROUP BY cid, fork)"""
+
+
+@query(f"""WITH {_REPLAY} SELECT CASE WHEN fork = 0 THEN cid ELSE cid || '#fork' || fork END AS id, CASE WHEN fork > 0 THEN cid END AS forked_from, CAST(nation AS VARCHAR) AS nation, CASE WHEN told THEN '"' || status || '"' END AS status, '["' || status || '"]' AS seen,
+round(0.5 + 0.8::DOUBLE * (tools - 1), 9) AS log_odds, tools AS independent_sources, proofs, steps, enumerated, first_seen, last_verified, observations, CASE WHEN fork = 0 AND nation % 4 = 0 THEN 'out_of_scope' ELSE 'in_scope' END AS verdict,
+CASE WHEN fork = 0 AND nation % 4 = 0 THEN 'snap:2' ELSE 'snap:1' END AS snapshot_id FROM m
+UNION ALL SELECT 'attributed_to:ord:' || o_orderkey || '->' || cid, NULL, NULL, NULL, NULL, 0.5, 1, 1, 1, o_totalprice > 400000, ts, ts, 1, 'in_scope', 'snap:1' FROM o
+UNION ALL SELECT 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*), NULL, NULL FROM lineitem WHERE l_returnflag = 'R'""")
+def graph_replay(spark, sf_dir):
+    """The graph of order_log(), and one row that counts the upserts without a datum."""
+    graph, skipped = fold.replay(order_log(spark, sf_dir))
+    size = lambda c: F.size(c).cast("long").alias(c)
+    rows = graph.select(
+        "id", "forked_from", F.col("attrs")["nation"].alias("nation"), F.col("attrs")["status"].alias("status"), F.col("attrs")["seen"].alias("seen"), F.round("log_odds", 9).alias("log_odds"), F.col("independent_sources").cast("long").alias("independent_sources"),
+        size("evidence").alias("proofs"), size("chain").alias("steps"), F.col("coverage")["enumerated"].alias("enumerated"), "first_seen", "last_verified", "observations", "verdict", "snapshot_id",
+    )
+    return rows.unionByName(skipped.agg(F.count("*").alias("observations")).withColumn("id", F.lit("skipped")), allowMissingColumns=True)
+
+
 @query("SELECT 'host:' || user_id AS id, count(DISTINCT event_type) AS n_sources, round(0.8::DOUBLE * (count(DISTINCT event_type) - 1), 9) AS log_odds FROM events GROUP BY 1")
 def corroboration(spark, sf_dir):
     return fold.corroboration(observations(spark, sf_dir).drop("attrs"))
@@ -189,33 +250,64 @@ def evidence_store(spark, sf_dir):
 
 
 def event_log(spark, sf_dir):
-    """The events table in the log's shape: a day is a run, and event types stand for kinds."""
-    kind = F.when(F.col("event_type") == "click", "gap_dispatched").when(F.col("event_type") == "error", "contradiction_forked").when(F.col("event_type") == "purchase", "rate_debit").otherwise("node_upserted")
+    """The events table in the log's shape: a day is a run; type and user stand for kind and payload."""
+    user, day = F.col("user_id"), F.dayofmonth("ts")
+    views = {0: "edge_upserted", 1: "gate_decision_recorded", 2: "third_party_debit", 3: "evidence_captured"}
+    view = F.lit("node_upserted")
+    for k, name in views.items():
+        view = F.when(user % 7 == k, name).otherwise(view)
+    view = F.when((user % 7 == 3) & (day % 6 == 5), "scope_drift_detected").when((user % 7 == 3) & (day % 6 == 4), "invariant_violation").when((user % 7 == 3) & (day % 6 == 3), "loop_halted").otherwise(view)
+    kind = F.when(F.col("event_type") == "click", "gap_dispatched").when(F.col("event_type") == "error", "contradiction_forked").when(F.col("event_type") == "purchase", "rate_debit").when(F.col("event_type") == "view", view).otherwise("node_upserted")
+    text = user.cast("string")
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.date_format("ts", "yyyy-MM-dd").alias("run_id"), kind.alias("kind"), F.concat(F.lit("gap:"), F.col("user_id").cast("string")).alias("id"),
-        F.when(F.col("value") > 20, "created").otherwise("merged").alias("outcome"), F.col("event_type").alias("type"), F.lit(None).cast("string").alias("decision"),
+        F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.date_format("ts", "yyyy-MM-dd").alias("run_id"), kind.alias("kind"),
+        F.when((user % 10 == 0) & (F.col("event_type") == "signup"), F.concat(F.lit("hyp:dangling-cname:"), text)).otherwise(F.concat(F.lit("gap:"), text)).alias("id"), F.when(F.col("value") > 20, "created").otherwise("merged").alias("outcome"),
+        F.col("event_type").alias("type"), F.when(F.col("value") > 10, "REFUSE").otherwise("ALLOW").alias("decision"), F.concat(F.lit("I"), (1 + user % 12).cast("string")).alias("code"), F.concat(F.lit("user "), text).alias("reason"),
+        F.concat(F.lit("t"), (user % 5).cast("string")).alias("target"), F.concat(F.lit("s"), (user % 3).cast("string")).alias("source"),
     )
 
 
-_LOG = """l AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d') AS run_id, 'gap:' || user_id AS id, event_type AS type,
-  CASE event_type WHEN 'click' THEN 'gap_dispatched' WHEN 'error' THEN 'contradiction_forked' WHEN 'purchase' THEN 'rate_debit' ELSE 'node_upserted' END AS kind,
-  CASE WHEN value > 20 THEN 'created' ELSE 'merged' END AS outcome FROM events)"""
-_DELTA = """SELECT run_id, count(*) FILTER (WHERE kind = 'node_upserted' AND outcome = 'created') AS nodes_created, count(*) FILTER (WHERE kind = 'node_upserted' AND outcome <> 'created') AS nodes_merged,
-  CAST(0 AS BIGINT) AS edges_created, count(*) FILTER (WHERE kind = 'contradiction_forked') AS forks, count(*) FILTER (WHERE kind = 'gap_dispatched') AS gaps_dispatched, CAST(0 AS BIGINT) AS refusals,
-  count(*) FILTER (WHERE kind = 'rate_debit') AS rate_debits, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts FROM {} GROUP BY run_id"""
+_LOG = """l AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d') AS run_id, CASE WHEN user_id % 10 = 0 AND event_type = 'signup' THEN 'hyp:dangling-cname:' || user_id ELSE 'gap:' || user_id END AS id, event_type AS type,
+  CASE event_type WHEN 'click' THEN 'gap_dispatched' WHEN 'error' THEN 'contradiction_forked' WHEN 'purchase' THEN 'rate_debit' WHEN 'view' THEN CASE user_id % 7 WHEN 0 THEN 'edge_upserted' WHEN 1 THEN 'gate_decision_recorded' WHEN 2 THEN 'third_party_debit'
+    WHEN 3 THEN CASE day(ts) % 6 WHEN 5 THEN 'scope_drift_detected' WHEN 4 THEN 'invariant_violation' WHEN 3 THEN 'loop_halted' ELSE 'evidence_captured' END ELSE 'node_upserted' END ELSE 'node_upserted' END AS kind,
+  CASE WHEN value > 20 THEN 'created' ELSE 'merged' END AS outcome, CASE WHEN value > 10 THEN 'REFUSE' ELSE 'ALLOW' END AS decision, 'I' || (1 + user_id % 12) AS code, 'user ' || user_id AS reason, 't' || (user_id % 5) AS target, 's' || (user_id % 3) AS source FROM events)"""
+_DELTA = """d AS (SELECT run_id, count(*) FILTER (WHERE kind = 'node_upserted' AND outcome = 'created') AS nodes_created, count(*) FILTER (WHERE kind = 'node_upserted' AND outcome <> 'created') AS nodes_merged,
+  count(*) FILTER (WHERE kind = 'edge_upserted' AND outcome = 'created') AS edges_created, count(*) FILTER (WHERE kind = 'contradiction_forked') AS forks, count(*) FILTER (WHERE kind = 'gap_dispatched') AS gaps_dispatched,
+  count(*) FILTER (WHERE kind = 'gate_decision_recorded' AND decision = 'REFUSE') AS refusals, count(*) FILTER (WHERE kind = 'rate_debit') AS rate_debits, count(*) FILTER (WHERE kind = 'third_party_debit') AS third_party_debits,
+  count(*) FILTER (WHERE kind = 'invariant_violation') AS violations, arg_min(code, seq) FILTER (WHERE kind = 'invariant_violation') AS first_violation, count(*) FILTER (WHERE kind = 'scope_drift_detected') AS drifts,
+  coalesce(arg_max(reason, seq) FILTER (WHERE kind = 'loop_halted'), '') AS halted_because, count(*) FILTER (WHERE kind = 'node_upserted' AND outcome = 'created' AND id LIKE 'hyp:dangling-cname:%') AS notable,
+  arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts FROM {} GROUP BY run_id)"""
+_QUIET = "nodes_created = 0 AND edges_created = 0 AND forks = 0 AND notable = 0 AND drifts = 0"
 
 
-@query(f"WITH {_LOG} " + _DELTA.format("l"))
+@query(f"WITH {_LOG}, {_DELTA.format('l')} SELECT *, {_QUIET} AS quiet FROM d")
 def run_delta(spark, sf_dir):
     return report.run_delta(event_log(spark, sf_dir))
 
 
+@query(f"""WITH {_LOG}, {_DELTA.format('l')}, n AS (SELECT run_id, type, count(*) AS n FROM l WHERE kind = 'node_upserted' AND outcome = 'created' GROUP BY ALL), b AS (SELECT run_id, string_agg(n || ' new ' || type, '; ' ORDER BY type) AS new FROM n GROUP BY run_id)
+SELECT run_id, CASE WHEN drifts > 0 THEN 'SCOPE DRIFT detected — re-bind before acting' WHEN violations > 0 THEN 'HALTED on a safety invariant (' || first_violation || ')' WHEN {_QUIET} THEN 'no change since the previous run'
+  ELSE concat_ws('; ', new, CASE WHEN forks > 0 THEN forks || ' contradiction(s) forked' END, CASE WHEN notable = 1 THEN 'subdomain-takeover candidate' WHEN notable > 1 THEN notable || ' x subdomain-takeover candidate' END) END AS headline FROM d LEFT JOIN b USING (run_id)""")
+def delta_headline(spark, sf_dir):
+    return report.delta_headline(event_log(spark, sf_dir))
+
+
+@query(f"""WITH {_LOG} SELECT run_id, CASE kind WHEN 'rate_debit' THEN 'target' ELSE 'third_party' END AS ledger, CASE kind WHEN 'rate_debit' THEN target ELSE source END AS target, count(*) AS n FROM l WHERE kind IN ('rate_debit', 'third_party_debit') GROUP BY ALL""")
+def run_spend(spark, sf_dir):
+    return report.run_spend(event_log(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT run_id, seq, id, 'subdomain-takeover candidate' AS what FROM l WHERE kind = 'node_upserted' AND outcome = 'created' AND id LIKE 'hyp:dangling-cname:%'")
+def notable_hypotheses(spark, sf_dir):
+    return report.notable_hypotheses(event_log(spark, sf_dir))
+
+
 @query(f"WITH {_LOG} SELECT run_id, type, count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome <> 'created') AS merged FROM l WHERE kind = 'node_upserted' GROUP BY run_id, type")
 def run_delta_by_type(spark, sf_dir):
     return report.run_delta_by_type(event_log(spark, sf_dir))
 
 
-@query(f"WITH {_LOG}, s AS (SELECT * FROM l WHERE run_id > '2024-01-10') " + _DELTA.format("s"))
+@query(f"WITH {_LOG}, s AS (SELECT * FROM l WHERE run_id > '2024-01-10'), {_DELTA.format('s')} SELECT *, {_QUIET} AS quiet FROM d")
 def delta_since(spark, sf_dir):
     return report.run_delta(report.events_since(event_log(spark, sf_dir), run_id="2024-01-10"))
 
@@ -237,17 +329,23 @@ def cycle_diff(spark, sf_dir):
     return report.cycle_diff(report.type_counts(rows.where("value <= 20")), report.type_counts(rows.where("value > 20")))
 
 
-@query("""WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (WHERE value <= 20))) AS o, list_sort(list_distinct(list(event_type) FILTER (WHERE value > 20))) AS n FROM events GROUP BY user_id),
-c AS (SELECT user_id, coalesce(o, []) AS o, coalesce(n, []) AS n FROM s)
-SELECT user_id, array_to_string(list_filter(n, lambda x: NOT list_contains(o, x)), ',') AS added, array_to_string(list_filter(o, lambda x: NOT list_contains(n, x)), ',') AS removed, o <> n AS drifted FROM c""")
+_SIDES = ", ".join(f"list_sort(list_distinct(coalesce(list(event_type) FILTER (WHERE {c}), []))) AS {n}" for n, c in (("oi", "value <= 20"), ("ni", "value > 20"), ("oe", "value <= 5"), ("ne", "value > 60"), ("op", "value <= 40"), ("np", "value > 40")))
+
+
+@query(f"""WITH s AS (SELECT user_id, {_SIDES}, sha256(CAST(user_id % 2 AS VARCHAR)) AS oh, sha256(CAST(user_id % 3 AS VARCHAR)) AS nh FROM events GROUP BY user_id),
+c AS (SELECT user_id, list_filter(ni, lambda x: NOT list_contains(oi, x)) AS a, list_filter(oi, lambda x: NOT list_contains(ni, x)) AS r, list_filter(ne, lambda x: NOT list_contains(oe, x)) AS x, list_filter(oe, lambda x: NOT list_contains(ne, x)) AS u, op <> np AS prefilter_changed, oh <> nh AS policy_text_changed FROM s),
+d AS (SELECT *, len(a) > 0 OR len(r) > 0 OR len(x) > 0 OR len(u) > 0 OR prefilter_changed OR policy_text_changed AS drifted, concat_ws('; ', CASE WHEN len(a) > 0 THEN len(a) || ' added' END, CASE WHEN len(r) > 0 THEN len(r) || ' removed' END,
+  CASE WHEN len(x) > 0 THEN len(x) || ' newly excluded' END, CASE WHEN len(u) > 0 THEN len(u) || ' un-excluded' END) AS bits FROM c)
+SELECT user_id, array_to_string(a, ',') AS added, array_to_string(r, ',') AS removed, array_to_string(x, ',') AS newly_excluded, array_to_string(u, ',') AS no_longer_excluded, prefilter_changed, policy_text_changed, drifted,
+  CASE WHEN NOT drifted THEN 'no scope drift' WHEN bits <> '' THEN bits WHEN policy_text_changed THEN 'policy text changed (asset list unchanged)' ELSE 'scope drift' END AS summary FROM d""")
 def policy_drift(spark, sf_dir):
-    """Each user's event types of small and of large value, as an old and a new policy."""
-    none = F.array().cast("array<string>")
-    old, new = (F.collect_set(F.when(c, F.col("event_type"))) for c in (F.col("value") <= 20, F.col("value") > 20))
-    pairs = table(spark, sf_dir, "events").groupBy("user_id").agg(old.alias("old_include"), new.alias("new_include"))
-    fixed = {f"{w}_{c}": none for w in ("old", "new") for c in ("exclude", "prefilter")} | {f"{w}_content_sha256": F.lit("") for w in ("old", "new")}
-    drift = report.detect_drift(pairs.withColumns(fixed))
-    return drift.select("user_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), "drifted")
+    """Each user's event types of small and of large value, as the rules of an old and a new policy."""
+    sides = {"old_include": F.col("value") <= 20, "new_include": F.col("value") > 20, "old_exclude": F.col("value") <= 5, "new_exclude": F.col("value") > 60, "old_prefilter": F.col("value") <= 40, "new_prefilter": F.col("value") > 40}
+    pairs = table(spark, sf_dir, "events").groupBy("user_id").agg(*(F.collect_set(F.when(c, F.col("event_type"))).alias(n) for n, c in sides.items()))
+    text = lambda k: F.sha2((F.col("user_id") % k).cast("string"), 256)
+    drift = report.detect_drift(pairs.withColumns({"old_content_sha256": text(2), "new_content_sha256": text(3)}))
+    listed = [F.array_join(c, ",").alias(c) for c in ("added", "removed", "newly_excluded", "no_longer_excluded")]
+    return drift.select("user_id", *listed, "prefilter_changed", "policy_text_changed", "drifted", "summary")
 
 
 def order_graph(spark, sf_dir):
@@ -267,43 +365,86 @@ def lacks_two_hop(spark, sf_dir):
     return gaps.lacks_two_hop(nodes, edges, returned)
 
 
-@query("SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def lacks_out_edge(spark, sf_dir):
-    edges, _ = order_graph(spark, sf_dir)
+    """Customers without an urgent order."""
+    orders = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderpriority").startswith("1"), "urgent").otherwise("plain").alias("type"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("frm"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("to"))
     nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
-    return gaps.lacks_out_edge(nodes, edges.withColumn("type", F.lit("has")), "has")
-
-
-def customer_nodes(spark, sf_dir):
-    edges, _ = order_graph(spark, sf_dir)
-    seen = edges.select(F.col("frm").alias("id"), F.lit(True).alias("has")).distinct()
-    rows = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_nationkey") % 2 == 0, "WebApp").otherwise("Domain").alias("type"), F.when(F.col("c_acctbal") >= 0, "in_scope").otherwise("out_of_scope").alias("verdict"),
-        (F.col("c_nationkey") / 10.0).alias("log_odds"), F.date_format(F.date_sub(F.lit("2026-01-10").cast("date"), F.col("c_nationkey") * 2), "yyyy-MM-dd").alias("last_verified"), F.lit("P14D").alias("half_life"),
+    return gaps.lacks_out_edge(nodes, orders, "urgent")
+
+
+def customer_graph(spark, sf_dir):
+    """Customers as nodes of five types with what their orders tell: orders are edges by status and priority, and the things
+    that edges of exposure lead to, some of which are typed; suppliers are web applications."""
+    kinds = ("Domain", "DNSName", "WebApp", "Host", "Hypothesis")
+    key = F.col("c_custkey").cast("string")
+    names = (F.concat(F.lit("domain:c"), key), F.concat(F.lit("dns:c"), key, F.lit(".example.com")), F.concat(F.lit("web:https://c"), key, F.lit(".example.org")), F.concat(F.lit("host:"), key), F.concat(F.lit("hyp:dns-candidate:c"), key))
+    pick = lambda values: F.element_at(F.array(*values), (F.col("c_custkey") % 5 + 1).cast("int"))
+    node = pick(names)
+    flag = lambda x: F.when(x, "true").otherwise("false")
+    tell = lambda n, v: F.struct(F.lit(n).alias("key"), v.alias("value"))
+    customers = table(spark, sf_dir, "customer")
+    day = F.date_format(F.date_sub(F.lit("2026-01-10").cast("date"), F.col("c_nationkey") * 2), "yyyy-MM-dd")
+    rows = customers.select(
+        node.alias("id"), pick([F.lit(k) for k in kinds]).alias("type"), F.when(F.col("c_nationkey") % 4 == 0, "out_of_scope").when(F.col("c_nationkey") % 4 == 1, "prefilter_only").otherwise("in_scope").alias("verdict"),
+        (F.col("c_nationkey") / 10.0).alias("log_odds"), day.alias("last_verified"), F.lit("P14D").alias("half_life"), F.map_from_entries(F.array(tell("permuted", flag(F.col("c_mktsegment") == "MACHINERY")), tell("email_assessed", flag(F.col("c_mktsegment") == "BUILDING")))).alias("attrs"),
+        F.map_from_entries(F.array(tell("enumerated", F.col("c_acctbal") > 3000), tell("fingerprinted", F.col("c_acctbal") > 6000), tell("artifact_correlated", F.col("c_mktsegment") == "HOUSEHOLD"))).alias("coverage"),
     )
-    flags = F.array_compact(F.array(F.lit("not_enumerated"), F.when(F.col("has").isNull(), F.lit("no_auth")), F.when(F.col("type") == "WebApp", F.lit("no_contract"))))
-    return rows.join(seen, "id", "left").withColumn("flags", flags)
-
-
-_GAPS = """n AS (SELECT 'c:' || c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN 'WebApp' ELSE 'Domain' END AS type, 1 + c_nationkey * 2 / 14.0 AS stale,
-  greatest(0.05, 1 - 1 / (1 + exp(-(c_nationkey / 10.0)))) AS deficit, c_custkey NOT IN (SELECT o_custkey FROM orders) AS no_auth FROM customer WHERE c_acctbal >= 0),
-r(rule, type, value, cost) AS (VALUES ('enumerate-ct', 'Domain', 5.0, 1.0), ('auth-model', 'WebApp', 5.0, 1.5), ('mobile-association', 'WebApp', 4.0, 1.5), ('api-contract', 'WebApp', 6.0, 2.0), ('graphql-contract', 'WebApp', 6.0, 2.0)),
-g AS (SELECT rule || ':' || id AS gap_id, rule, id AS node_id, value * stale * deficit / cost AS priority FROM n JOIN r USING (type) WHERE rule NOT IN ('auth-model', 'mobile-association') OR no_auth
-UNION ALL SELECT 'reverify:' || id, 'reverify', id, stale * deficit / 2 FROM n WHERE stale > 3)"""
-
-
-@query(f"WITH {_GAPS} SELECT gap_id, rule, node_id, round(priority, 9) AS priority FROM g")
+    orders = table(spark, sf_dir, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey"), node.alias("cid")), "o_custkey").withColumn("oid", F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")))
+    status = F.when(F.col("o_orderstatus") == "F", "authenticates_with").when(F.col("o_orderstatus") == "O", "resolves_to").otherwise("same_as")
+    urgent, high = F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority").startswith("2")
+    edges = orders.where("o_totalprice > 350000").select(status.alias("type"), F.col("cid").alias("frm"), F.col("oid").alias("to"))
+    edges = edges.unionByName(orders.where(urgent).select(F.lit("hosted_on").alias("type"), F.col("oid").alias("frm"), F.col("cid").alias("to")))
+    edges = edges.unionByName(orders.where(high).select(F.lit("exposes").alias("type"), F.col("cid").alias("frm"), F.col("oid").alias("to")))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("frm"), F.concat_ws(":", F.lit("l"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("to"), "l_quantity")
+    edges = edges.unionByName(lines.select(F.lit("exposes").alias("type"), "frm", "to"))
+    other = lambda id_, kind, mined: (id_.alias("id"), F.lit(kind).alias("type"), F.lit("out_of_scope").alias("verdict"), F.lit(0.0).alias("log_odds"), F.lit("2026-01-10").alias("last_verified"), F.lit("P14D").alias("half_life"), F.create_map().cast("map<string,string>").alias("attrs"), F.create_map(F.lit("param_mined"), mined).alias("coverage"))
+    rows = rows.unionByName(orders.select(*other(F.col("oid"), "Route", F.col("o_totalprice") > 400000))).unionByName(lines.groupBy("to").agg(F.max("l_quantity").alias("l_quantity")).select(*other(F.col("to"), "Operation", F.col("l_quantity") > 49)))
+    apps = table(spark, sf_dir, "supplier").select(*other(F.concat(F.lit("web:https://c"), F.col("s_suppkey").cast("string"), F.lit(".example.com")), "WebApp", F.lit(False)))
+    return rows.unionByName(apps), edges
+
+
+def gap_history(spark, sf_dir):
+    """Gaps of customers that were dispatched within the last day, or before it."""
+    key = F.concat(F.lit("enumerate-ct:domain:c"), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(key.alias("gap_id"), F.when(F.col("c_custkey") % 2 == 0, "2026-01-09 12:00:00").otherwise("2026-01-08 12:00:00").alias("last_dispatch"))
+
+
+_GAPS = """n AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'domain:c' || c_custkey WHEN 1 THEN 'dns:c' || c_custkey || '.example.com' WHEN 2 THEN 'web:https://c' || c_custkey || '.example.org' WHEN 3 THEN 'host:' || c_custkey ELSE 'hyp:dns-candidate:c' || c_custkey END AS id,
+  ['Domain', 'DNSName', 'WebApp', 'Host', 'Hypothesis'][c_custkey % 5 + 1] AS type, 1 + c_nationkey * 2 / 14.0 AS stale, greatest(0.05, 1 - 1 / (1 + exp(-(c_nationkey / 10.0)))) AS deficit, c_nationkey % 4 = 1 AS pre,
+  c_acctbal > 3000 AS enumerated, c_acctbal > 6000 AS fingerprinted, c_mktsegment AS seg FROM customer WHERE c_nationkey % 4 <> 0),
+o AS (SELECT o_custkey AS k, bool_or(o_totalprice > 350000 AND o_orderstatus = 'F') AS auth, bool_or(o_totalprice > 350000 AND o_orderstatus = 'O') AS resolved, bool_or(o_totalprice > 350000 AND o_orderstatus = 'P') AS same,
+  bool_or(o_orderpriority LIKE '1%') AS served, bool_or(o_orderpriority LIKE '2%' AND (o_totalprice > 400000 OR coalesce(q, 0) > 49)) AS typed FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1),
+f AS (SELECT n.*, coalesce(auth, FALSE) AS auth, coalesce(resolved, FALSE) AS resolved, coalesce(same, FALSE) AS same, coalesce(served, FALSE) AS served, coalesce(typed, FALSE) AS typed, n.k IN (SELECT s_suppkey FROM supplier) AS app FROM n LEFT JOIN o USING (k)),
+r(rule, type, passive, value, cost) AS (VALUES ('enumerate-ct', 'Domain', TRUE, 5.0, 1.0), ('enumerate-ct-host', 'DNSName', TRUE, 3.0, 1.0), ('archive-mine', 'Domain', TRUE, 2.5, 1.0), ('generate-candidates', 'DNSName', TRUE, 1.5, 0.5), ('resolve-identity', 'WebApp', TRUE, 2.0, 0.5),
+  ('confirm-candidate', 'Hypothesis', FALSE, 2.0, 1.0), ('resolve-name', 'DNSName', FALSE, 4.0, 1.0), ('scan-host', 'Host', FALSE, 2.0, 3.0), ('email-posture', 'Domain', FALSE, 3.5, 1.0), ('probe-http', 'DNSName', FALSE, 4.0, 1.5), ('tls-fingerprint', 'WebApp', FALSE, 3.0, 1.5),
+  ('auth-model', 'WebApp', FALSE, 5.0, 1.5), ('mobile-association', 'WebApp', FALSE, 4.0, 1.5), ('api-contract', 'WebApp', FALSE, 6.0, 2.0), ('graphql-contract', 'WebApp', FALSE, 6.0, 2.0)),
+g AS (SELECT rule || ':' || id AS gap_id, rule, id AS node_id, passive, value * stale * deficit / cost AS priority FROM f JOIN r USING (type) WHERE (passive OR NOT pre) AND CASE rule WHEN 'enumerate-ct' THEN NOT enumerated WHEN 'enumerate-ct-host' THEN NOT enumerated
+  WHEN 'archive-mine' THEN seg <> 'HOUSEHOLD' WHEN 'generate-candidates' THEN enumerated AND seg <> 'MACHINERY' WHEN 'resolve-identity' THEN fingerprinted AND NOT same WHEN 'confirm-candidate' THEN TRUE WHEN 'resolve-name' THEN NOT resolved WHEN 'scan-host' THEN NOT served
+  WHEN 'email-posture' THEN NOT auth AND seg <> 'BUILDING' WHEN 'probe-http' THEN NOT app WHEN 'tls-fingerprint' THEN NOT fingerprinted WHEN 'auth-model' THEN NOT auth WHEN 'mobile-association' THEN NOT auth ELSE NOT typed END
+  AND NOT (rule = 'enumerate-ct' AND k % 6 = 0)
+UNION ALL SELECT 'reverify:' || id, 'reverify', id, TRUE, stale * deficit / 2 FROM f WHERE stale > 3 AND NOT pre)"""
+
+
+@query(f"WITH {_GAPS} SELECT gap_id, rule, node_id, passive, round(priority, 9) AS priority FROM g")
 def gap_rank(spark, sf_dir):
-    found = gaps.rank_gaps(gaps.plan_gaps(customer_nodes(spark, sf_dir), None, NOW, allow_active=True))
-    return found.select("gap_id", "rule", "node_id", F.round("priority", 9).alias("priority"))
+    found = gaps.rank_gaps(gaps.plan_gaps(*customer_graph(spark, sf_dir), gap_history(spark, sf_dir), NOW, allow_active=True, include_prefilter=True))
+    return found.select("gap_id", "rule", "node_id", "passive", F.round("priority", 9).alias("priority"))
 
 
-@query(f"WITH {_GAPS} SELECT gap_id, round(priority, 9) AS priority FROM g WHERE rule IN ('enumerate-ct', 'reverify') ORDER BY g.priority DESC, gap_id LIMIT 1")
+@query(f"WITH {_GAPS} SELECT gap_id, round(priority, 9) AS priority FROM g WHERE passive AND NOT (rule = 'enumerate-ct' AND TRY_CAST(split_part(node_id, ':c', 2) AS INT) % 2 = 1) ORDER BY g.priority DESC, gap_id LIMIT 1")
 def next_gap(spark, sf_dir):
-    found = gaps.next_gap(gaps.plan_gaps(customer_nodes(spark, sf_dir), None, NOW, allow_active=True))
+    attempted = table(spark, sf_dir, "customer").where("c_custkey % 2 = 1").select(F.concat(F.lit("enumerate-ct:domain:c"), F.col("c_custkey").cast("string")).alias("gap_id"))
+    found = gaps.next_gap(gaps.plan_gaps(*customer_graph(spark, sf_dir), gap_history(spark, sf_dir), NOW, allow_active=True, include_prefilter=True), attempted)
     return found.select("gap_id", F.round("priority", 9).alias("priority"))
 
 
+@query("SELECT 'dns:c' || c_custkey || '.example.com' AS id FROM customer WHERE c_custkey % 5 = 1 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def lacks_webapp(spark, sf_dir):
+    nodes, _ = customer_graph(spark, sf_dir)
+    return gaps.lacks_webapp(gaps.nodes_of_type(nodes, "DNSName"), nodes).select("id")
+
+
 @query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS type, count(*) AS n, round(avg(CASE WHEN o_totalprice > 100000 THEN 0.20 ELSE 0 END + CASE WHEN o_orderpriority LIKE '1%' THEN 0.15 ELSE 0 END), 3) AS avg_score FROM orders GROUP BY 1""")
 def coverage_report(spark, sf_dir):
     signals = F.create_map(F.lit("fingerprinted"), F.col("o_totalprice") > 100000, F.lit("enumerated"), F.col("o_orderpriority").startswith("1"))
@@ -342,18 +483,33 @@ def token_bucket(spark, sf_dir):
 @query("""SELECT 'I3' AS code, 'c:' || c_custkey AS detail FROM customer WHERE c_acctbal < 0 AND c_nationkey > 10
 UNION ALL SELECT 'I1', 'c:' || c_custkey FROM customer WHERE c_nationkey = 3
 UNION ALL SELECT 'I4', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < -500
-UNION ALL SELECT 'I5', 'o:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 2 = 1
-UNION ALL SELECT 'I9', 'o:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+UNION ALL SELECT 'I5', 'o:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 3 <> 0
+UNION ALL SELECT 'I6', 'c:' || c_custkey FROM customer WHERE c_nationkey = 7
+UNION ALL SELECT 'I7', 'c:' || c_custkey FROM customer WHERE c_nationkey % 3 = 0 AND c_acctbal > 9000
+UNION ALL SELECT 'I8', 'c:' || c_custkey FROM customer WHERE c_nationkey % 3 = 1 AND c_acctbal <= 5000
+UNION ALL SELECT 'I8', 'c:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal <= 8000
+UNION ALL SELECT 'I9', 'o:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'I10', 'c:' || user_id FROM events WHERE event_type = 'click' AND user_id % 4 <> 0
+UNION ALL SELECT 'I11', 'c:' || user_id FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'error' AND coalesce(c_nationkey % 2 = 0, TRUE)
+UNION ALL SELECT 'I12', CAST(count(*) AS VARCHAR) FROM events WHERE event_type = 'view'""")
 def invariant_violations(spark, sf_dir):
+    """Customers as nodes, orders as edges to them, balances as a ledger, and events as a log under a stale snapshot."""
     customers = table(spark, sf_dir, "customer")
     cid = lambda c: F.concat(F.lit("c:"), F.col(c).cast("string"))
+    flag = lambda n, x: F.struct(F.lit(n).alias("key"), F.when(x, "true").alias("value"))
+    balance, nation = F.col("c_acctbal"), F.col("c_nationkey")
+    mode = F.struct(F.lit("anti_cheat_action_mode").alias("key"), F.when(nation == 7, '"runtime_circumvent"').alias("value"))
     nodes = customers.select(
-        cid("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 2 == 0, "Artifact").otherwise("Host").alias("type"), F.when(F.col("c_nationkey") == 3, "snap:old").otherwise("snap:new").alias("snapshot_id"), (F.col("c_nationkey") > 10).alias("active_probed"),
-        F.when(F.col("c_acctbal") < 0, "out_of_scope").otherwise("in_scope").alias("verdict"), F.when(F.col("c_mktsegment") == "BUILDING", "other").alias("data_subject"), F.lit(None).cast("string").alias("forked_from"),
+        cid("c_custkey").alias("id"), F.when(nation % 3 == 0, "Artifact").when(nation % 3 == 1, "Token").otherwise("Host").alias("type"), F.when(nation == 3, "snap:old").otherwise("snap:new").alias("snapshot_id"),
+        F.map_from_entries(F.array(flag("active_probed", nation > 10), flag("published_externally", balance > 9000), mode)).alias("attrs"), F.when(balance < 0, "out_of_scope").otherwise("in_scope").alias("verdict"),
+        F.when(balance > 8000, "S3").when(balance > 5000, "S1").otherwise("S0").alias("sensitivity"), F.when(F.col("c_mktsegment") == "BUILDING", "other").alias("data_subject"), F.when(nation % 2 == 1, "c:base").alias("forked_from"),
     )
-    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("derived_from").alias("type"), F.lit("x").alias("frm"), cid("o_custkey").alias("to"))
-    ledger = customers.select(F.col("c_custkey").alias("target"), (F.col("c_acctbal") + 500).alias("balance_after"))
-    return audit.invariants(nodes, edges, ledger, "snap:new")
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("derived_from").alias("type"), F.lit("x").alias("frm"), cid("o_custkey").alias("to"), F.lit(None).cast("string").alias("forked_from"))
+    ledger = customers.select(F.col("c_custkey").alias("target"), (balance + 500).alias("balance_after"))
+    kinds = F.when(F.col("event_type") == "click", "gap_dispatched").when(F.col("event_type") == "error", "contradiction_forked").when(F.col("event_type") == "view", "gate_decision_recorded").otherwise("node_upserted")
+    verb = F.element_at(F.array(*map(F.lit, ("resolve", "exploit", "content-discovery-wordlist", "teleport"))), (F.col("user_id") % 4 + 1).cast("int"))
+    log = table(spark, sf_dir, "events").select(kinds.alias("kind"), cid("user_id").alias("id"), verb.alias("verb"), F.lit("ALLOW").alias("decision"))
+    return audit.invariants(nodes, edges, ledger, "snap:new", log, snapshot_stale=True)
 
 
 @query(rf"""WITH {_URLS}, h AS (SELECT DISTINCT host FROM u), d AS (SELECT DISTINCT CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS apex FROM h),
@@ -375,12 +531,14 @@ def top_per_user(spark, sf_dir):
     return kept.select("user_id", "event_id", "value")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'REFUSE' WHEN c_acctbal < 0 THEN 'REFUSE' ELSE 'ALLOW' END AS decision,
-CASE WHEN c_nationkey % 3 = 0 THEN 'verb is not schedulable' WHEN c_acctbal < 0 THEN 'verdict is out_of_scope' ELSE '' END AS reason FROM customer""")
+@query("""WITH r AS (SELECT c_custkey, ['exploit', 'resolve', 'fingerprint', 'content-discovery-wordlist', 'teleport', 'http-GET'][c_nationkey % 6 + 1] AS verb, CASE WHEN c_acctbal < 0 THEN 'out_of_scope' ELSE 'in_scope' END AS verdict FROM customer),
+s AS (SELECT *, CASE verb WHEN 'exploit' THEN 'verb ''exploit'' is on the blocked list and can never be scheduled' WHEN 'content-discovery-wordlist' THEN 'verb ''content-discovery-wordlist'' is human-gated; enqueue for authorization, do not auto-run'
+  WHEN 'teleport' THEN 'verb ''teleport'' is not on the recon-verb whitelist' WHEN 'fingerprint' THEN chr(39) || 'fingerprint' || chr(39) || ' is not an active verb' ELSE CASE WHEN verdict = 'in_scope' THEN '' ELSE 'not in scope: rule (out_of_scope)' END END AS reason FROM r)
+SELECT c_custkey, CASE WHEN reason = '' THEN 'ALLOW' ELSE 'REFUSE' END AS decision, reason FROM s""")
 def gate_decisions(spark, sf_dir):
-    verb = F.when(F.col("c_nationkey") % 3 == 0, "exploit").when(F.col("c_nationkey") % 3 == 1, "resolve").otherwise("fingerprint")
-    requests = table(spark, sf_dir, "customer").select("c_custkey", verb.alias("verb"), F.when(F.col("c_acctbal") < 0, "out_of_scope").otherwise("in_scope").alias("verdict"))
-    return audit.gate_decisions(requests, True, True).select("c_custkey", "decision", "reason")
+    verbs = F.array(*map(F.lit, ("exploit", "resolve", "fingerprint", "content-discovery-wordlist", "teleport", "http-GET")))
+    requests = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(verbs, (F.col("c_nationkey") % 6 + 1).cast("int")).alias("verb"), F.when(F.col("c_acctbal") < 0, "out_of_scope").otherwise("in_scope").alias("verdict"), F.lit("rule").alias("rule_matched"))
+    return audit.gate_decisions(requests, True, "snap:1").select("c_custkey", "decision", "reason")
 
 
 @query("""WITH o AS (SELECT event_id, 'host:' || user_id AS id, event_type AS tool, sha256(props) AS sha256, strftime(ts, '%Y-%m-%d') AS day FROM events)

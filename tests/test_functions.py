@@ -1,3 +1,5 @@
+import ipaddress
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +65,16 @@ def test_minimise_pii_replaces_each_address(spark):
     assert got.startswith("to …+") and "@" not in got and got.endswith("!") and got.count("…+") == 2
 
 
-def test_network_ranges(spark):
-    r = one(spark, U.ipv4_range(F.lit("203.0.113.77/24")))
-    assert (r.lo, r.hi - r.lo) == (203 * 2**24 + 113 * 256, 255)
-    assert one(spark, U.ipv4_range(F.lit("a.example.com"))) is None
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("203.0.113.77/24", (4, 24, "11001011")), ("10.0.0.1", (4, 32, "00001010")), ("2001:db8::1", (6, 128, "00100000")), ("::", (6, 128, "00000000")), ("1:2:3:4:5:6:7::", (6, 128, "00000000")), ("::ffff:1.2.3.4", (6, 128, "00000000")), ("fe80::/10", (6, 10, "11111110")),
+        ("a.example.com", None), ("2001:db8::1::2", None), ("1:2:3:4:5:6:7:8:9", None), ("10.0.0.0/33", None), ("10.0.0.0/", None), ("12345::", None), (":1::", None), ("", None), (None, None),
+    ],
+)
+def test_networks(spark, value, want):
+    r = one(spark, U.ip_network(F.lit(value).cast("string")))
+    assert (r if r is None else (r.version, r.length, r.bits[:8])) == want
+    if r is not None:
+        net = ipaddress.ip_interface(value)
+        assert int(r.bits, 2) == int(net.ip)

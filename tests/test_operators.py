@@ -1,6 +1,9 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from assetgraph.functions import ontology, verbs
 from assetgraph.operators import audit, correlate, extract, fold, gaps, report, scope
 from assetgraph.sources import events, responses
 
@@ -47,38 +50,59 @@ def test_fold_merges_and_forks(spark):
     assert got["g"].attrs == {"a": "1", "b": "2"} and got["g"].log_odds == 0
 
 
-def test_fold_fast_path_equals_the_ordered_fold(spark):
-    rows = [(k, f"n{k % 5}", "Host", f"t{k % 3}", "r", str(k), {f"a{k % 4}": str(k % 5)}) for k in range(60)]
-    obs = spark.createDataFrame(rows, OBS)
-    plain = {r.id: (r.attrs, r.log_odds, r.observations) for r in fold.merge_plain(obs).collect()}
-    slow = {r.id: (r.attrs, pytest.approx(r.log_odds), r.observations) for r in obs.withColumn("source", fold._source()).groupBy("id").applyInArrow(fold._fold, fold.NODES).collect()}
-    assert plain == slow
-
-
-def test_fold_holds_no_id_as_a_whole(spark):
-    rows = [(k, "hot" if k % 3 else f"n{k % 7}", "Host", f"t{k % 4}", "r", str(k), {"a": str(k % 5), f"b{k % 11}": str(k % 2)}) for k in range(3000)]
+def test_fold_equals_a_plain_replay(spark):
+    rows = [(k, "hot" if k % 3 else f"n{k % 7}", "Host", f"t{k % 4}", "r", str(k), {"a": str(k % 5) if k % 2 else "", f"b{k % 11}": str(k % 2)}) for k in range(3000)]
     got = fold.project_graph(spark.createDataFrame(rows, OBS))
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     want, base = {}, {}
     for _, i, _, tool, _, ts, attrs in rows:
         if i not in base:
             base[i] = [dict(attrs), {tool}, ts, ts, 1, 0]
-        elif any(base[i][0].get(k, v) != v for k, v in attrs.items()):
+        elif any(base[i][0].get(k) not in (None, "", v) and v for k, v in attrs.items()):
             base[i][5] += 1
-            want[f"{i}#fork{base[i][5]}"] = (i, base[i][5], attrs, [f"{tool}/r"], ts, ts, 1)
+            want[f"{i}#fork{base[i][5]}"] = (i, base[i][5], attrs, [f"{tool}/r"], 0.0, ts, ts, 1)
         else:
             base[i][0] = attrs | base[i][0]
             base[i][1].add(tool)
             base[i][3] = ts
             base[i][4] += 1
-    want |= {i: (i, 0, a, sorted(f"{t}/r" for t in s), lo, hi, n) for i, (a, s, lo, hi, n, _) in base.items()}
-    assert {r.id: (r.base, r.fork, r.attrs, r.sources, r.first_seen, r.last_seen, r.observations) for r in got.collect()} == want
-    # forks leave before the next rows are read
+    want |= {i: (i, 0, a, sorted(f"{t}/r" for t in s), round(0.8 * (len(s) - 1), 6), lo, hi, n) for i, (a, s, lo, hi, n, _) in base.items()}
+    assert {r.id: (r.base, r.fork, r.attrs, r.sources, round(r.log_odds, 6), r.first_seen, r.last_seen, r.observations) for r in got.collect()} == want
+
+
+def test_forks_leave_before_the_next_rows_are_read(spark):
     read = []
-    schema = "seq long, id string, type string, ts string, attrs map<string,string>, source string"
-    table = spark.createDataFrame([(k, "hot", "Host", str(k), {"a": str(k)}, "t") for k in range(50)], schema).toArrow().combine_chunks()
-    nodes = fold._fold_batches(read.append(k) or b for k, b in enumerate(table.to_batches(max_chunksize=10)))
-    assert next(nodes).num_rows == 9 and read == [0] and sum(x.num_rows for x in nodes) == 41
+    table = spark.createDataFrame([("hot", k, {"a": str(k)}) for k in range(50)], "id string, seq long, attrs map<string,string>").toArrow().combine_chunks()
+    out = fold._number_forks(read.append(k) or b for k, b in enumerate(table.to_batches(max_chunksize=10)))
+    assert next(out).column("fork").to_pylist() == list(range(10)) and read == [0] and sum(x.num_rows for x in out) == 40
+
+
+def datum(i, ts, tool="t", attrs=None, coverage=None, proof=None, **more):
+    step = {"evidence_id": proof or "", "tool": tool, "tool_version": "1", "rule_id": "r", "rule_version": "1", "config_hash": ""}
+    times = {"first_seen": ts, "last_seen": ts, "last_verified": ts, "decay_half_life": "P7D"}
+    binding = {"verdict": "in_scope", "snapshot_id": "s1", "observed_at": ts, "rule_matched": "x"}
+    proofs = [{"sha256": proof, "region": "", "encrypted_at_rest": True}] if proof else []
+    return {"id": i, "type": "Host", "provenance": {"chain": [step]}, "confidence": {"log_odds": 1.0}, "temporal": times, "scope_binding": binding, "attrs": attrs or {}, "coverage": coverage or {}, "evidence": proofs} | more
+
+
+def test_replay_of_a_log(spark):
+    ends = {"frm": "a", "to": "b", "type": "exposes"}
+    rows = [
+        (0, "node_upserted", {"node": datum("h", "1", attrs={"ip": "1.1.1.1", "n": 1}, coverage={"enumerated": False}, proof="p1")}), (1, "scope_binding_set", {"id": "late", "binding": {"verdict": "out_of_scope", "snapshot_id": "s2", "observed_at": "1"}}),
+        (2, "node_upserted", {"node": datum("h", "2", "u", {"os": "x", "n": "1", "ip": ""}, {"enumerated": True, "x": False}, "p2")}), (3, "contradiction_forked", {"node": datum("h", "3", "u", {"ip": "2.2.2.2"}, proof="p3")}),
+        (4, "node_upserted", {"node": datum("late", "4")}), (5, "scope_binding_set", {"id": "h", "binding": {"verdict": "out_of_scope", "snapshot_id": "s2", "observed_at": "5", "rule_matched": "y"}}), (6, "node_upserted", {"id": "h"}),
+        (7, "edge_upserted", {"edge": datum("h", "1", attrs={"w": 1}, **ends)}), (8, "contradiction_forked", {"edge": datum("h", "2", attrs={"w": 2}, **ends)}), (9, "contradiction_forked", {"edge": datum("h", "3", attrs={"w": 3}, **ends)}),
+        (10, "node_upserted", {"node": datum("h", "9", "u", {"n": 1}, proof="p2")}),
+    ]
+    graph, skipped = fold.replay(spark.createDataFrame([(k, kind, json.dumps(p)) for k, kind, p in rows], "seq long, kind string, payload string"))
+    got = {(r.kind, r.id): r for r in graph.collect()}
+    assert set(got) == {("node", "h"), ("node", "h#fork1"), ("node", "h#fork2"), ("node", "late"), ("edge", "h"), ("edge", "h#fork1")}
+    h = got["node", "h"]
+    # "1" and 1 differ, so the second sight is a fork; the last one agrees
+    assert h.attrs == {"ip": '"1.1.1.1"', "n": "1"} and h.coverage == {"enumerated": False} and [e.sha256 for e in h.evidence] == ["p1", "p2"]
+    assert (h.log_odds, h.independent_sources, h.first_seen, h.last_verified, h.verdict, h.snapshot_id, h.rule_matched) == (1.8, 2, "1", "9", "out_of_scope", "s2", "y")
+    assert got["node", "h#fork1"].forked_from == "h" and got["node", "h#fork1"].coverage == {"enumerated": True, "x": False} and got["node", "h#fork2"].attrs == {"ip": '"2.2.2.2"'}
+    assert got["node", "late"].verdict == "in_scope" and got["edge", "h#fork1"].attrs == {"w": "3"} and [r.seq for r in skipped.collect()] == [6]
 
 
 def test_append_continues_seq_and_drops_seen_keys(spark):
@@ -86,6 +110,8 @@ def test_append_continues_seq_and_drops_seen_keys(spark):
     new = spark.createDataFrame([(None, "2", "r", "node_upserted", "{}", 0, "a", "k1"), (None, "3", "r", "rate_debit", "{}", 0, "a", "k2"), (None, "4", "r", "rate_debit", "{}", 0, "a", "k2"), (None, "5", "r", "rate_debit", "{}", 0, "a", "")], events.EVENT)
     got = sorted((r.seq, r.ts) for r in events.append_events(new, log).collect())
     assert got == [(8, "3"), (9, "5")]
+    first = events.append_events(new.where("ts > '2'"), log.limit(0))
+    assert sorted((r.seq, r.ts) for r in first.collect()) == [(0, "3"), (1, "5")]
     with pytest.raises(Exception, match="unknown event kind"):
         events.append_events(new.withColumn("kind", F.lit("nope")), log).collect()
 
@@ -133,3 +159,78 @@ def test_email_posture(spark):
     rows = spark.createDataFrame([("a.com", "TXT", ["v=spf1 include:_spf.b.com ~all"]), ("_dmarc.a.com", "TXT", ["v=DMARC1; p=none"])], "name string, rrtype string, rdata array<string>")
     r = extract.email_posture(rows).first()
     assert (r.spf_qualifier, r.spf_enforcing, r.spf_includes, r.dmarc_policy, r.dmarc_enforcing) == ("~", False, ["_spf.b.com"], "none", False)
+
+
+def test_scope_of_both_families(spark):
+    got = verdicts(
+        spark, ["2001:db8::1", "2001:DB8:0:1::/64", "2001:db8::/31", "2001:db8:ffff::1", "::ffff:10.0.0.1", "10.0.0.1", "fe80::1%eth0", "2001:db9::1", "a::b::c", "10.1.0.0/8"], include=["2001:db8::/32", "10.0.0.0/8", "fe80::/10"], exclude=["2001:db8:ffff::/48"],
+        prefilter=["2001:db9::/32"],
+    )
+    assert got == {
+        "2001:db8::1": "in_scope", "2001:DB8:0:1::/64": "in_scope", "2001:db8::/31": "out_of_scope", "2001:db8:ffff::1": "out_of_scope", "::ffff:10.0.0.1": "out_of_scope", "10.0.0.1": "in_scope", "fe80::1%eth0": "in_scope",
+        "2001:db9::1": "prefilter_only", "a::b::c": "out_of_scope", "10.1.0.0/8": "in_scope",
+    }
+
+
+def test_an_exclusion_meets_wider_networks(spark):
+    got = verdicts(spark, ["2001:db8::/32", "2001:db8:1::/48"], include=["2001:db8::/16"], exclude=["2001:db8:ffff::/48"])
+    assert got == {"2001:db8::/32": "out_of_scope", "2001:db8:1::/48": "in_scope"}
+
+
+def test_network_rules_join_by_equality(spark):
+    bound = scope.bind_scope(spark.createDataFrame([("10.0.0.1",)], "value string"), "value", scope.scope_rules(spark, ["10.0.0.0/8"]))
+    plan = bound._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize(("on", "snapshot", "stale", "verb", "verdict", "want"), [
+    (False, "s", False, "passive-collect", "in_scope", "active modules disabled"), (True, None, False, "resolve", "in_scope", "no scope snapshot"), (True, "s", True, "resolve", "in_scope", "stale"), (True, "s", False, "inject", "in_scope", "blocked list"),
+    (True, "s", False, "content-discovery-wordlist", "in_scope", "human-gated"), (True, "s", False, "x", "in_scope", "whitelist"), (True, "s", False, "passive-collect", "in_scope", "not an active verb"), (True, "s", False, "resolve", "prefilter_only", "not in scope"),
+    (True, "s", False, "resolve", "in_scope", ""),
+])
+def test_gate(spark, on, snapshot, stale, verb, verdict, want):
+    r = audit.gate_decisions(spark.createDataFrame([(verb, verdict)], "verb string, verdict string"), on, snapshot, stale).first()
+    assert (r.decision == "ALLOW") == (want == "") and want in r.reason
+
+
+def test_gated_gaps_wait(spark):
+    rows = spark.createDataFrame([("a", "resolve", False), ("b", "content-discovery-wordlist", False), ("c", "resolve", True)], "gap_id string, verb string, human_gated boolean")
+    free, wait = verbs.gated_split(rows)
+    assert [r.gap_id for r in free.collect()] == ["a"] and sorted(r.gap_id for r in wait.collect()) == ["b", "c"]
+
+
+def test_types_are_closed(spark):
+    rows = [("node", "Host", None, None), ("node", "Nope", None, None), ("edge", "exposes", "a", "b"), ("edge", "exposes", "a", ""), ("edge", "originated_by", "a", "b"), ("edge", "x", "a", "b"), ("node", None, None, None)]
+    good, bad = ontology.validate_types(spark.createDataFrame(rows, "kind string, type string, frm string, to string"))
+    assert good.count() == 2 and sorted(r.type_error.split(":")[0] for r in bad.collect()) == ["an edge needs both ends", "edge type is only proposed", "unknown edge type x", "unknown node type Nope", "unknown node type null"]
+
+
+def test_half_lives_and_stale_snapshots(spark, tmp_path):
+    from assetgraph.functions import confidence as C
+
+    assert [r[0] for r in spark.createDataFrame([("Token",), ("Other",), (None,)], "t string").select(C.half_life_for(F.col("t"))).collect()] == ["PT12H", "P14D", "P14D"]
+    path = str(tmp_path / "snapshots")
+    assert events.load_snapshots(spark, path).count() == 0
+    for day in ("2026-01-01", "2026-01-09"):
+        events.save_snapshot(events.take_snapshot(spark, day, ["b", "a"], [], [], f"{day} 12:00:00"), path)
+    saved = events.load_snapshots(spark, path)
+    last = events.latest_snapshot(saved, "2026-01-10 00:00:00").first()
+    assert saved.count() == 2 and last.include == ["a", "b"] and last.half_life == "PT24H" and not last.stale
+    rows = spark.range(3)
+    assert events.require_snapshot(rows, events.latest_snapshot(saved, "2026-01-10 00:00:00")).count() == 3
+    assert events.require_snapshot(rows, events.latest_snapshot(saved, "2026-01-11 00:00:00")).count() == 0
+
+
+def test_agreeing_body_fingerprints_count_more(spark):
+    rows = [("w1", "WebApp", "in_scope", {"favicon_hash": '"F"', "default_404_hash": '"p"', "kids": '["k"]'}), ("w2", "WebApp", "in_scope", {"favicon_hash": '"f"', "default_404_hash": '"p"', "kids": '["k", ""]'}), ("w3", "WebApp", "out_of_scope", {"favicon_hash": '"f"'}), ("d", "Domain", "in_scope", {"favicon_hash": '"f"'})]
+    nodes = spark.createDataFrame(rows, "id string, type string, verdict string, attrs map<string,string>")
+    edges = spark.createDataFrame([("presents_certificate", "w1", "c"), ("presents_certificate", "d", "c"), ("presents_certificate", "w3", "c")], "type string, frm string, to string")
+    got = {(r.type, r.frm, r.to): (r.signal, round(r.log_odds, 3)) for r in correlate.identity_edges(nodes, edges).collect()}
+    want = {("same_as", "w1", "w2"): ("favicon_hash", 2.2), ("shared_trust_domain", "w1", "w2"): ("kid", 1.2), ("same_as", "d", "w1"): ("spki", 2.4)}
+    assert got == want | {(t, b, a): v for (t, a, b), v in want.items()}
+
+
+def test_new_sources(spark):
+    shape = "id string, tool string, rule_id string"
+    got = report.new_sources(spark.createDataFrame([("a", "t", "r")], shape), spark.createDataFrame([("a", "t", "r"), ("a", "u", "r"), ("b", "t", "r")], shape))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "u", "r"), ("b", "t", "r")]
