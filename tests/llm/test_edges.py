@@ -88,14 +88,17 @@ def test_decontamination(docs, benchmark):
 
 
 def test_proximity_matches(spark):
-    rows = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x x x beta"), (3, "alpha beta " + "x " * 40 + "gamma")], "doc_id long, text string")
-    word = lambda w: int(decontamination.W.span_hashes(*(lambda b: (b, decontamination.np.array([0]), decontamination.np.array([len(b)])))(decontamination.np.frombuffer(w.encode(), "uint8")))[0])
-    a, b = (int(decontamination.np.int64(decontamination.np.uint64(word(w)))) for w in ("alpha", "beta"))
-    index = decontamination.index_terms(rows, decontamination.np.array([a, b]))
-    anchors = spark.createDataFrame([(7, a, 0, 1), (7, b, 1, 2)], "phrase long, term long, at int, rank int")
-    got = {r.id: r.distance for r in decontamination.proximity_matches(index, anchors, slack=2).collect()}
-    assert got == {1: 1, 3: 0}
-    assert [r.id for r in decontamination.phrase_candidates(index, anchors).collect()] == [3]
+    docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x x x x x x x beta"), (3, "alpha beta " + "x " * 40 + "gamma"), (4, "beta alpha"), (5, "alpha x beta"), (5, "alpha x beta")], "doc_id long, text string")
+    items = spark.createDataFrame([("p", "Alpha beta"), ("q", "gamma"), ("r", "beta zeta"), (None, "gamma")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.items, r.near_items) for r in decontamination.decontaminate(docs, items).collect()}
+    assert got == {1: (0, [], ["p"]), 2: (0, [], []), 3: (3, ["p", "q"], []), 4: (0, [], ["p"]), 5: (0, [], ["p"])}
+
+
+def test_one_index_serves_many_benchmarks(spark, docs, benchmark):
+    index = decontamination.build_index(docs)
+    for part in (benchmark, benchmark.where("item_id = 4"), benchmark.where("false")):
+        given, own = (sorted((r.doc_id or 0, r.n_hit, r.items) for r in decontamination.decontaminate(docs, part, index=i).collect()) for i in (index, None))
+        assert given == own
 
 
 def test_ngram_join_on_copies_and_short_texts(docs):
