@@ -3,13 +3,14 @@
 A token that looks disguised (digits or symbols in place of letters, letters drawn out three times or
 more, letters set apart by spaces or punctuation) becomes a lattice of the letters that each character
 may stand for; repeated characters may be one or two letters, separators none. Viterbi decoding under a
-letter-trigram model of the corpus restores the likeliest word, and the restored text is scored. A row of
+letter-trigram model of the corpus, in which words of the lexicon are PRIOR likelier, restores the likeliest word, and
+the restored text is scored. A row of
 three single characters or more, each a letter or one that stands for a letter and at least one a letter, is
 one lattice in which a word may end after any character; each lexicon word of its likeliest path counts.
 
 The score is a logistic regression on how many words carry a feature of the learned lexicon. Features are
 whole words and their leading 4 to 7 bytes (which stand for inflected forms). The lexicon is learned from
-labelled rows whose crc32(id as text) mod 3 is not 1, of these a hash-chosen sample of about MAX_TRAIN:
+labelled rows whose crc32(id as text) mod 3 is not 1, of these a hash-chosen sample of about MAX_TRAIN, half of it for each label:
 features at least RATIO times as frequent in toxic texts are taken greedily, as long as one adds to toxic
 texts with fewer than two hits, so words that merely accompany others (as in copies) are left out. The
 trigram model counts all documents.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.llm import words as W
-from assetgraph.llm.language_id import held_out
+from assetgraph.llm.language_id import hash_share, held_out
 
 #: Labelled rows that the lexicon is learned from, at most (in expectation).
 MAX_TRAIN = 20_000
@@ -38,7 +39,7 @@ RATIO = 20.0
 THRESHOLD = 0.7
 #: Letters that a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-#: A lexicon word is taken where it is at most this much less likely than the best decoding.
+#: How much likelier (in log-probability) a lexicon word is than the trigram model alone has it.
 PRIOR = 6.0
 #: Bytes of tokens and rows whose results a worker keeps.
 CACHE_BYTES = 1 << 23
@@ -64,8 +65,9 @@ class Channel:
         self.log = np.log(c / c.sum(axis=2, keepdims=True)).tolist()
 
     def decodings(self, token: str) -> list[tuple[float, str]]:
-        """(log-probability, word), best first: the best path to each final state of the lattice."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """(log-probability, word), best first: the best path to each final state of the lattice, a state being the last
+        two letters. Paths are kept as back-pointers, so the work is in proportion to the token."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         i, n = 0, len(token)
         while i < n:
             c, j = token[i], i
@@ -75,18 +77,27 @@ class Channel:
             options = [x * k for x in stands for k in range(1, 1 + min(2, j - i))]
             if not stands or c.isdigit() and j == n:
                 options.append("")
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, word) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (p, path) in states.items():
                 for option in options:
                     s, q, r = p - (1.0 if stands and not option else 0.0), a, b
                     for x in option:
-                        k = ord(x) - 96 if "a" <= x <= "z" else 0
+                        k = _code(x)
                         s += self.log[q][r][k]
                         q, r = r, k
                     if (q, r) not in after or after[q, r][0] < s:
-                        after[q, r] = (s, word + option)
+                        after[q, r] = (s, (option, path) if option else path)
             states, i = after, j
-        return sorted(((p + self.log[a][b][0], w) for (a, b), (p, w) in states.items()), reverse=True)
+        return sorted(((p + self.log[a][b][0], _spell(path)) for (a, b), (p, path) in states.items()), reverse=True)
+
+    def restore(self, token: str, known) -> str:
+        """The likeliest word of decodings(), where words for which known(words) is true are PRIOR likelier than the
+        model alone has them."""
+        paths = [(p, w) for p, w in self.decodings(token) if w]
+        if not paths:
+            return ""
+        toxic = known([w.encode() for _, w in paths])[0]
+        return max((p + PRIOR * bool(t), w) for (p, w), t in zip(paths, toxic))[1]
 
     def spelled(self, row: str, longest: int, known) -> int:
         """Number of words of two letters or more on the row's likeliest path for which known(words) is
@@ -171,6 +182,14 @@ class Channel:
         return out
 
 
+def _spell(path: tuple | None) -> str:
+    out = []
+    while path:
+        option, path = path
+        out.append(option)
+    return "".join(reversed(out))
+
+
 def _code(x: str) -> int:
     return ord(x) - 96 if "a" <= x <= "z" else 0
 
@@ -220,10 +239,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """Sorted feature hashes, the coefficients of the regression (empty without both labels), and the bytes of
     the longest feature."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(~held_out("id") & F.col("y").isin(0, 1))
-    n = known.count()
-    if n > max_train:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
+    total = dict(known.groupBy("y").count().collect())
+    # an equal part of the sample for each label; what one leaves over goes to the other
+    few = min(total.values(), default=0)
+    part = max(max_train // 2, max_train - few)
+    known = known.where(F.when(F.col("y") == 1, hash_share(F.col("id"), part, total.get(1, 0))).otherwise(hash_share(F.col("id"), part, total.get(0, 0))))
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     rows = rows.join(F.broadcast(known), "id")  # about max_train small rows
     rows = rows.dropDuplicates(["text"]).select("text", "y")
@@ -288,7 +309,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         np.add.at(hits, doc[(feature == best) & ~taken][at], 1)
         taken |= np.isin(word, new)
     lexicon = candidates[np.sort(np.array(chosen, dtype=np.int64))]
-    return lexicon, _regress(_inputs(hits), y), int(size[np.isin(feature, chosen)].max(initial=0))
+    weights = _regress(_inputs(hits), y)
+    # the labels' odds in the sample are not those of all labelled rows
+    weights[0] += math.log(total[1] / total[0]) - math.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))
+    return lexicon, weights, int(size[np.isin(feature, chosen)].max(initial=0))
 
 
 def _look_up(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -395,13 +419,8 @@ def scorer(lexicon: np.ndarray, weights: np.ndarray, counts: np.ndarray, longest
         if row:
             hits = channel[0].spelled(token.decode("utf-8", "replace"), longest, known)
         else:
-            found = channel[0].decodings(token.decode("utf-8", "replace"))[:8]
-            found = [w.encode() for p, w in found if p >= found[0][0] - PRIOR and w]
-            raw = np.frombuffer(b" ".join(found), np.uint8)
-            hits = 0
-            if len(raw):
-                s, e, _ = W.spans(raw, np.array([0, len(raw)]), W.LETTERS)
-                hits = int(_look_up(lexicon, features(raw, s, e))[1].any())
+            word = channel[0].restore(token.decode("utf-8", "replace"), known)
+            hits = int(known([word.encode()])[0].any()) if word else 0
         size = len(token) + 200  # and what Python adds to a key and an entry
         if size <= CACHE_BYTES:
             if held[0] + size > CACHE_BYTES:
