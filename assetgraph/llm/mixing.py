@@ -4,8 +4,9 @@ Each source gets a target in words; a document's wished number of copies is targ
 source. The whole part is taken outright; the fraction is rounded by the pivotal method: two documents
 with fractional probabilities p and q and sizes s and t meet, and mass s*dp = t*dq moves between them, at
 random in one of the two directions with the odds that keep both expectations, until one probability is
-0 or 1. So the words taken by a source change by nothing when two documents meet, and every source ends
-within half a document of its target.
+0 or 1. So the words taken by a source change by nothing when two documents meet, and only the last one open
+of a source, once rounded, leaves it off its target. Documents of its last meeting are then swapped between taken
+and not taken, longest first, as long as each swap brings the source nearer; both ways of rounding are tried.
 
 The meetings form a reduction tree: rows are dealt by a hash into leaves of about ``leaf`` rows, each
 leaf leaves one unsettled document over, and these meet again level by level until one is left per
@@ -83,6 +84,20 @@ def pivot(p: np.ndarray, size: np.ndarray, chance: np.random.Generator) -> tuple
     return p, open_
 
 
+def swapped(p: np.ndarray, before: np.ndarray, size: np.ndarray, left: int, side: float) -> np.ndarray:
+    """p, whose entries but left are 0 or 1, with left at the side and others flipped, largest size first, where this brings
+    sum(p * size) nearer to sum(before * size); only those that were open before may flip."""
+    p = p.copy()
+    p[left] = side
+    off = float((p * size).sum() - (before * size).sum())
+    for k in np.lexsort((np.arange(len(p)), -size)):
+        if k != left and 1e-12 < before[k] < 1 - 1e-12:
+            moved = off + (1 - 2 * p[k]) * size[k]
+            if abs(moved) < abs(off):
+                p[k], off = 1 - p[k], moved
+    return p
+
+
 def _settle(seed: int, last: bool):
     """For applyInArrow on (source key, node): settled rows, with is_open marking the one left over."""
 
@@ -90,10 +105,12 @@ def _settle(seed: int, last: bool):
         order = pa.compute.sort_indices(table, sort_keys=[("words", "descending"), ("h", "ascending"), ("row_key", "ascending")])
         table = table.take(order)
         chance = np.random.default_rng(xxhash.xxh64_intdigest(repr([seed, *(k.as_py() for k in key)])))
-        p, left = pivot(table["p"].to_numpy(), table["words"].to_numpy(), chance)
+        before, words = table["p"].to_numpy(), table["words"].to_numpy()
+        p, left = pivot(before, words, chance)
         is_open = np.zeros(len(p), dtype=bool)
         if left >= 0 and last:
-            p[left] = float(p[left] >= 0.5)
+            near = float(p[left] >= 0.5)
+            p = min((swapped(p, before, words, left, x) for x in (near, 1 - near)), key=lambda q: abs(((q - before) * words).sum()))
         elif left >= 0:
             is_open[left] = True
         names = table.column_names
