@@ -8,12 +8,17 @@ ring owner only where that owner is full.
 
 The number of arcs is a parameter (shards * vnodes), never a matter of the data: only one count per
 arc reaches the driver, which deals out each arc as a few (shard, first slot, rows) runs. Rows are then
-numbered inside their arc, and the run that holds a row's number gives shard and slot, so no task sees
-a whole shard. Hashing spreads a hot source or group of copies over all arcs.
+numbered along their arc, and the run that holds a row's number gives shard and slot. They are numbered in
+cells of about CELL_ROWS rows, cut by the leading bits of the hash, each cell starting at the count of the cells
+before it on its arc: so the size of a group is the same for any number of rows, and what rows carry moves once.
+Hashing spreads a hot source or group of copies over all cells.
+
+Another shard takes about its share of rows out of the others; overflow moves few more, as capacities shrink by
+as much (with 10,000 rows, from 40 to 41 shards, 4 to 5 % of the rows move, 2.4 % of them to the new shard).
 
 Null and empty texts have size 16 and crc32 0 (null counts as empty). Rows with equal keys, and
-repeated rows, share an arc and are told apart by their number in it (ordered by hash, key, crc32).
-A null key hashes like any other. An empty table gives an empty table.
+repeated rows, share a cell and are told apart by their number in it (ordered by hash, key, crc32); keys are
+taken to be mostly different. A null key hashes like any other. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 
 SHARDS = 40
 VNODES = 128
+#: Rows that are numbered together, about.
+CELL_ROWS = 4096
 
 
 def ring(shards: int, vnodes: int = VNODES) -> tuple[np.ndarray, list[int]]:
@@ -90,19 +97,22 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     points, owner = ring(shards, vnodes)
     arc = _arc_of(points)
     h = F.xxhash64(F.col(key).cast("string"))
-    counts = dict(df.select(arc(h).alias("arc")).groupBy("arc").count().collect())
+    placed = df.select(h.alias("__h")).withColumn("__arc", arc("__h"))
+    counts = dict(placed.groupBy("__arc").count().collect())
     runs = deal([counts.get(a, 0) for a in range(len(owner))], owner, shards)
+    # cells keep the order of the hash, so their number changes no row's place
+    bits = max(0, (sum(counts.values()) // CELL_ROWS).bit_length())
+    cell = F.shiftright("__h", 64 - bits) if bits else F.lit(0).cast("long")
+    cells = placed.groupBy("__arc", cell.alias("__cell")).agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("__arc").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col("__arc").alias("__a"), F.col("__cell").alias("__c"), before.alias("__before"))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(
-        F.col(key), (F.octet_length(body) + F.lit(16)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), h.alias("__h"), arc(h).alias("__arc"), *(carry or [])
-    )
-    w = Window.partitionBy("__arc").orderBy("__h", key, "text_crc32")
-    placed = rows.withColumn("__n", (F.row_number().over(w) - 1).cast("long")).withColumn("__at", _slot_of(runs)("__arc", "__n"))
-    drop = {"__h", "__arc", "__n", "__at"}
-    return placed.select(
-        *(c for c in rows.columns[:3] if c not in drop), F.lit("rows").alias("law"), F.col("__at.shard").alias("shard"), F.col("__at.slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        *(c for c in rows.columns[3:] if c not in drop),
-    )
+    rows = df.select(F.col(key), (F.octet_length(body) + F.lit(16)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), h.alias("__h"), *(carry or [])).withColumn("__arc", arc("__h")).withColumn("__cell", cell)
+    w = Window.partitionBy("__arc", "__cell").orderBy("__h", key, "text_crc32")
+    numbered = rows.withColumn("__n", F.row_number().over(w) - 1).join(cells, (F.col("__arc") == F.col("__a")) & (F.col("__cell") == F.col("__c")))
+    out = numbered.withColumn("__at", _slot_of(runs)("__arc", (F.col("__n") + F.col("__before")).cast("long")))
+    held = {key, "size", "text_crc32", "__h", "__arc", "__cell"}
+    return out.select(key, "size", "text_crc32", F.lit("rows").alias("law"), F.col("__at.shard").alias("shard"), F.col("__at.slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(c for c in rows.columns if c not in held))
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
