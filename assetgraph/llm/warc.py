@@ -15,8 +15,10 @@ is never read. A row of the html must fit a task, a bundle need not: it is writt
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -29,7 +31,7 @@ from assetgraph.llm.scratch import fresh_path, written
 FRAME_BYTES = 1 << 16
 MIN_REVISIT = 100
 #: Frames that one reading task takes of a bundle.
-FRAMES_PER_TASK = 256
+FRAMES_PER_TASK = 64
 LEVEL = 3
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -37,25 +39,29 @@ DATE = "1970-01-01T00:00:00Z"
 
 
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Of a local path or a URI that pyarrow knows; s3a and s3n are Hadoop's names for s3."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def record_id(page_id: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, page_id)}>"
+def record_id(page_id: str | None) -> str:
+    """By the id as text; a null id, which no text equals, has the record id of its name space."""
+    return f"<urn:uuid:{uuid.NAMESPACE_OID if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, page_id)}>"
 
 
-def make_record(page_id: str, url: str | None, payload: bytes, digest: str, refers: str | None) -> bytes:
-    """One WARC/1.1 record; payload_length and digest always speak of the full payload."""
+def make_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers: str | None) -> bytes:
+    """One WARC/1.1 record; payload_length and digest always speak of the full payload. Ids are percent-encoded in
+    headers, and a null id has no header."""
     uri = "".join(c for c in (url or "urn:unknown") if c.isprintable())
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {uri}", f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {page_id}",
+        f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", *([] if page_id is None else [f"X-Page-ID: {quote(page_id, safe='')}"]),
     ]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if refers is None:
         block += payload
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers)}", f"X-Refers-To-Page: {refers}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers)}", f"X-Refers-To-Page: {quote(refers, safe='')}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -127,14 +133,14 @@ def _write(folder: str):
         bundle, path = None, ""
         for batch in it:
             rows = []
-            for page, url, html, digest, refers in zip(*(batch.column(k) for k in range(5))):
+            for page, url, html, digest, refers, name in zip(*(batch.column(k) for k in range(6))):
                 if bundle is None:
                     system, root = _file_system(folder)
                     system.create_dir(root, recursive=True)
                     path = f"{uuid.uuid4().hex}.warc.zst"
                     bundle = Bundle(system.open_output_stream(f"{root}/{path}", compression=None))
                 payload = (html.as_py() or "").encode()
-                name = str(page.as_py())
+                name = name.as_py()
                 frame, offset = bundle.add(make_record(name, url.as_py(), payload, digest.as_py(), refers.as_py()))
                 rows.append((page.as_py(), record_id(name), path, frame, offset))
             cols = list(zip(*rows)) or [()] * 5
@@ -161,7 +167,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     known = revisits(rows).select(F.col("page_id").alias("__i"), F.col("digest").alias("__d"), F.col("refers").cast("string").alias("refers"))
-    rows = rows.join(known, F.col("page_id").eqNullSafe(F.col("__i")) & (F.col("digest") == F.col("__d")), "left").select("page_id", "url", "payload", "digest", "refers")
+    rows = rows.join(known, F.col("page_id").eqNullSafe(F.col("__i")) & (F.col("digest") == F.col("__d")), "left").select("page_id", "url", "payload", "digest", "refers", F.col("page_id").cast("string").alias("name"))
     kind = rows.schema["page_id"].dataType.simpleString()
     return folder, written(rows.mapInArrow(_write(folder), f"page_id {kind}, record_id string, bundle string, frame int, offset int"), "warc-index")
 
@@ -190,15 +196,18 @@ def read_archives(folder: str, index: DataFrame) -> DataFrame:
                 if head["WARC-Type"] == "response":
                     if hashlib.sha256(payload).hexdigest() != digest or len(payload) != size:
                         raise ValueError(f"{bundle}: record {head['WARC-Record-ID']} is damaged")
-                out.append((head["X-Page-ID"], size, digest, head["WARC-Type"], head.get("X-Refers-To-Page")))
+                ids = (unquote(head[k]) if k in head else None for k in ("X-Page-ID", "X-Refers-To-Page"))
+                out.append((next(ids), size, digest, head["WARC-Type"], next(ids)))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if file is not None:
             file.close()
 
-    dealt = index.select("bundle", "frame", "offset").repartition("bundle", F.floor(F.col("frame") / FRAMES_PER_TASK)).sortWithinPartitions("bundle", "frame", "offset")
+    # a row of the small index is a read of an archive, so the number of tasks follows the frames
+    frames = index.groupBy("bundle").agg((F.max("frame") + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
+    dealt = index.select("bundle", "frame", "offset").repartition(max(1, -(-frames // FRAMES_PER_TASK)), "bundle", F.floor(F.col("frame") / FRAMES_PER_TASK)).sortWithinPartitions("bundle", "frame", "offset")
     got = dealt.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    return got.select(F.when(F.col("page_id") != "None", F.col("page_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return got.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
