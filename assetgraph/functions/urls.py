@@ -7,6 +7,8 @@ on the rows that need it.
 
 from __future__ import annotations
 
+import ipaddress
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +137,13 @@ def path_template(path: Column) -> Column:
     return F.when(bad, "").otherwise(shown)
 
 
+def parse_webapp(url: Column) -> Column:
+    """struct(scheme, host, port, id) of a web URL's application, else null. Readers of contracts take only those whose
+    port is null."""
+    host, scheme, port = canonical_host(netloc_of(url)), scheme_of(url), port_of(url)
+    return F.when(scheme.isin("http", "https") & (host != ""), F.struct(scheme.alias("scheme"), host.alias("host"), port.alias("port"), webapp_id(scheme, host, port).alias("id")))
+
+
 def webapp_id(scheme: Column, host: Column, port: Column | None = None) -> Column:
     return F.concat(F.lit("web:"), scheme, F.lit("://"), authority(host, port if port is not None else F.lit(None).cast("int"), scheme))
 
@@ -183,10 +192,15 @@ def archived_url(url: Column) -> Column:
 
 
 def redirect_target(location: Column) -> Column:
-    """A redirect without query and fragment, at most 300 characters; null for @, unprintable and other schemes."""
-    bare = F.regexp_replace(location, r"[?#].*$", "")
-    bad = bare.contains("@") | ~bare.rlike(r"^[\x21-\x7e]+$") | (bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~bare.rlike(r"(?i)^https?:"))
-    return F.when(~bad, F.substring(bare, 1, 300))
+    """A redirect as scheme, authority without a port, and path, at most 300 characters. Null where there is none, for @,
+    unprintable characters and other schemes. Query and fragment may hold secrets and are left out."""
+    text = F.trim(location)
+    shape = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
+    scheme, host, path = F.lower(F.regexp_extract(text, shape, 1)), canonical_host(F.regexp_extract(text, shape, 2)), F.regexp_extract(text, shape, 3)
+    bad = text.contains("@") | ~text.rlike(r"^[\x21-\x7e]+$") | ~scheme.isin("", "http", "https")
+    shown = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    target = F.when((host != "") & (scheme != ""), F.concat(scheme, F.lit("://"), shown, path)).when(host != "", F.concat(F.lit("//"), shown, path)).when(path == "", "/").otherwise(path)
+    return F.when(~bad, F.substring(target, 1, 300))
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -194,32 +208,32 @@ def ipv4_number(ip: Column) -> Column:
     return sum((F.get(part, F.lit(k)).try_cast("long") * (256 ** (3 - k)) for k in range(1, 4)), F.get(part, F.lit(0)).try_cast("long") * 256**3)
 
 
-def _hex_groups(text: Column) -> Column:
-    """The eight groups of an IPv6 address, or null. :: stands for one group of zeros or more, and the last two
-    groups may be written as an IPv4 address."""
-    quad = F.regexp_extract(text, r"([0-9.]+)$", 1)
-    pair = F.when(quad.rlike(IPV4), F.concat(F.lower(F.hex(F.shiftright(ipv4_number(quad), 16))), F.lit(":"), F.lower(F.hex(ipv4_number(quad) % 65536))))
-    plain = F.when(quad.contains("."), F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), pair)).otherwise(text)
-    halves = F.split(plain, "::")
-    groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
-    given = F.size(groups(0)) + F.size(groups(1))
-    every = F.concat(groups(0), F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), groups(1))
-    shape = plain.rlike(r"^(::|(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*(::)?|::(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*|(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*::(?i:[0-9a-f]{1,4})(:(?i:[0-9a-f]{1,4}))*)$")
-    return F.when(shape & F.when(plain.contains("::"), given <= 7).otherwise(given == 8), every)
+def _ipv6_all(ip: pd.Series) -> pd.Series:
+    """Bits of IPv6 addresses; null stays null, and so becomes anything else."""
+
+    def one(x):
+        try:
+            return f"{int(ipaddress.IPv6Address(x)):0128b}"
+        except ValueError:
+            return None
+
+    return ip.map(one, na_action="ignore")
 
 
 def ip_network(value: Column) -> Column:
     """struct(version, bits, length) of an address or network of either family, else null: bits are the address
-    as a string of 0 and 1, of which the first length count. A zone (%eth0) of an address is ignored."""
+    as a string of 0 and 1, of which the first length count. A zone (%eth0) of an address is ignored. IPv4 is worked
+    out natively; only what holds a colon reaches Python."""
     text = F.regexp_replace(F.trim(value), r"\.+$", "")
     net = text.contains("/")
     ip = F.when(net, F.substring_index(text, "/", 1)).otherwise(F.regexp_replace(text, r"%[^/%]+$", ""))
-    given = F.when(net, F.regexp_extract(text, r"^[^/]*/([0-9]{1,3})$", 1).try_cast("int"))
-    number = F.lpad(F.conv(ipv4_number(ip).cast("string"), 10, 2), 32, "0")
-    groups = _hex_groups(ip)
-    six = F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
-    one = lambda version, bits, most: F.when(F.coalesce(given, F.when(~net, most)).between(0, most), F.struct(F.lit(version).alias("version"), bits.alias("bits"), F.coalesce(given, F.lit(most)).alias("length")))
-    return F.when(ip.rlike(IPV4), one(4, number, 32)).when(ip.contains(":") & groups.isNotNull(), one(6, six, 128))
+    given = F.regexp_extract(text, r"^[^/]*/([0-9]{1,3})$", 1).try_cast("int")
+    four = F.when(ip.rlike(IPV4), F.lpad(F.conv(ipv4_number(ip).cast("string"), 10, 2), 32, "0"))
+    six = F.pandas_udf(_ipv6_all, "string")(F.when(ip.contains(":"), ip))
+    most = F.when(ip.contains(":"), 128).otherwise(32)
+    length = F.when(net, given).otherwise(most)
+    bits = F.when(ip.contains(":"), six).otherwise(four)
+    return F.when(bits.isNotNull() & length.between(0, most), F.struct(F.when(ip.contains(":"), 6).otherwise(4).alias("version"), bits.alias("bits"), length.alias("length")))
 
 
 def classify_value(value: Column) -> Column:

@@ -59,8 +59,47 @@ r AS (SELECT *, CASE WHEN host LIKE '%.example.com' OR host = 'example.com' THEN
 SELECT app AS id, 'WebApp' AS type, host, scheme, '' AS template, min(ts) AS archived_timestamp, rule_matched FROM r GROUP BY ALL
 UNION ALL SELECT 'route:' || app || template, 'Route', host, scheme, template, min(ts), rule_matched FROM r GROUP BY app, host, scheme, template, rule_matched""")
 def archive_routes(spark, sf_dir):
-    captures = table(spark, sf_dir, "pages").select(F.col("url").alias("original"), F.lpad(F.col("page_id").cast("string"), 14, "0").alias("timestamp"))
-    return extract.archive_routes(captures, scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER))
+    return extract.archive_routes(page_captures(spark, sf_dir), scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER))
+
+
+def page_captures(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("original"), F.lpad(F.col("page_id").cast("string"), 14, "0").alias("timestamp"))
+
+
+@query(rf"""WITH {_URLS}, {_TEMPLATES},
+ok AS (SELECT 'web:' || scheme || '://' || host AS app, 'route:web:' || scheme || '://' || host || template AS route, lpad(CAST(page_id AS VARCHAR), 14, '0') AS ts FROM t WHERE scheme IN ('http', 'https') AND template <> '' AND {_VERDICT} = 'in_scope')
+SELECT 'node' AS kind, app AS id, 'WebApp' AS type, NULL AS frm, NULL AS "to", '"' || min(ts) || '"' AS stamp FROM ok GROUP BY app
+UNION ALL SELECT 'node', route, 'Route', NULL, NULL, '"' || min(ts) || '"' FROM ok GROUP BY route
+UNION ALL SELECT DISTINCT 'edge', 'exposes:' || app || '->' || route, 'exposes', app, route, NULL FROM ok""")
+def archive_observations(spark, sf_dir):
+    found = extract.archive_observations(page_captures(spark, sf_dir), scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER))
+    return found.select("kind", "id", "type", "frm", "to", F.col("attrs")["archived_timestamp"].alias("stamp"))
+
+
+_VALID = r"regexp_matches(host, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$')"
+
+
+@query(rf"""WITH {_URLS}, h AS (SELECT DISTINCT host, {_VERDICT} AS verdict FROM u WHERE {_VALID})
+SELECT 'dns:' || host AS id, 'kept' AS outcome FROM h WHERE verdict = 'in_scope' UNION ALL SELECT 'dns:' || host, verdict FROM h WHERE verdict <> 'in_scope'""")
+def certificate_names(spark, sf_dir):
+    """A certificate per page that names its host, also as a wildcard, and a mail address; logged by registrable domain."""
+    host = F.col("host")
+    names = F.struct(F.concat(host, F.lit("\n*."), host, F.lit("\nadmin@"), host).alias("name_value"))
+    logged = page_hosts(spark, sf_dir).select("host").groupBy(U.registrable_domain(host).alias("apex")).agg(F.to_json(F.collect_list(names)).alias("body"))
+    rules = scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER)
+    kept = extract.ct_names(logged, rules).select("id", F.lit("kept").alias("outcome"))
+    return kept.unionByName(extract.ct_drops(logged, rules).select(F.concat(F.lit("dns:"), "host").alias("id"), F.col("verdict").alias("outcome")))
+
+
+@query(rf"""WITH {_URLS}, h AS (SELECT host, {_VERDICT} AS verdict, count(DISTINCT scheme) AS n FROM u WHERE {_VALID} GROUP BY ALL)
+SELECT 'dns:' || host AS id, 'host' AS kind, TRUE AS wildcard, 2 + n AS n_spellings, verdict FROM h""")
+def seed_verdicts(spark, sf_dir):
+    """The hosts of pages as seeds in several spellings, with comments between them."""
+    host = F.col("host")
+    spelled = F.array(F.concat(F.upper(host), F.lit(".")), F.concat(F.lit("*."), host), F.concat("scheme", F.lit("://"), host, F.lit("/x")), F.concat(F.lit("# "), host))
+    seeds = page_hosts(spark, sf_dir).select(F.explode(spelled).alias("value"))
+    found = extract.ingest_seeds(seeds, scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER))
+    return found.select("id", "kind", "wildcard", F.size("spellings").cast("long").alias("n_spellings"), "verdict")
 
 
 @query(rf"""WITH {_URLS}, q AS (SELECT page_id, scheme, host, path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> '')) AS args FROM u)
@@ -512,12 +551,15 @@ def invariant_violations(spark, sf_dir):
     return audit.invariants(nodes, edges, ledger, "snap:new", log, snapshot_stale=True)
 
 
-@query(rf"""WITH {_URLS}, h AS (SELECT DISTINCT host FROM u), d AS (SELECT DISTINCT CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS apex FROM h),
-w(word) AS (SELECT unnest(['api', 'dev', 'stage', 'staging', 'test', 'qa', 'internal', 'admin', 'auth', 'cdn', 'static', 'gateway', 'graphql', 'ws', 'mobile']))
-SELECT word || '.' || apex AS fqdn, 'prefix' AS generator FROM d, w WHERE word || '.' || apex NOT IN (SELECT host FROM h)""")
+@query(rf"""WITH {_URLS}, h AS (SELECT DISTINCT 'w' || (page_id % 97) || 'x.' || host AS host FROM u WHERE {_VALID}), k AS (SELECT host, string_split(host, '.') AS l FROM h), d AS (SELECT DISTINCT array_to_string(list_slice(l, -2, -1), '.') AS apex FROM k),
+w(word) AS (SELECT unnest(['api', 'dev', 'stage', 'staging', 'test', 'qa', 'internal', 'admin', 'auth', 'cdn', 'static', 'gateway', 'graphql', 'ws', 'mobile'])),
+o(d) AS (VALUES (-2), (-1), (1), (2)), c AS (SELECT word || '.' || apex AS fqdn, 'prefix' AS generator FROM d, w
+UNION SELECT 'w' || (CAST(regexp_extract(l[1], '^w([0-9]+)x$', 1) AS INT) + o.d) || 'x' || substr(host, len(l[1]) + 1), 'numeric' FROM k, o WHERE CAST(regexp_extract(l[1], '^w([0-9]+)x$', 1) AS INT) + o.d >= 0)
+SELECT fqdn, generator FROM c WHERE fqdn NOT IN (SELECT host FROM h)""")
 def candidate_names(spark, sf_dir):
-    """The hosts of pages hold no digits, so all candidates come from prefixes; siblings are in the tests."""
-    return extract.candidate_names(page_hosts(spark, sf_dir).select("host"))
+    """Numbered names below the hosts of pages: prefixes of their domains, and numbers beside theirs."""
+    hosts = page_hosts(spark, sf_dir).where(U.valid_fqdn(F.col("host")))
+    return extract.candidate_names(hosts.select(F.concat(F.lit("w"), (F.col("page_id") % 97).cast("string"), F.lit("x."), F.col("host")).alias("host")))
 
 
 @query(r"""SELECT page_id, substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 200) AS title FROM pages""")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from assetgraph.functions.confidence import parse_duration
+from assetgraph.operators.fold import CORROBORATION, contradicts
 
 
 def stream_dedupe(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -14,3 +21,66 @@ def stream_dedupe(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> D
 def stream_run_delta(events: DataFrame) -> DataFrame:
     """Running counts per run and kind; write in update or complete mode."""
     return events.groupBy("run_id", "kind").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+
+
+UPSERTS = "id string, seq long, outcome string, node_id string, log_odds double, independent_sources int"
+_NODE = "seq long, keys array<string>, values array<string>, sources array<string>, log_odds double, forks int"
+
+
+def stream_project(observations: DataFrame) -> DataFrame:
+    """The fold of a stream of observations (seq, id, tool, rule_id, attrs map<string,string>): for each row whether it created,
+    merged or forked a node, by the rules of the batch fold. Rows of a batch are taken in order of seq; one that comes after
+    a later seq of its id is told as late, changes nothing, and is for the caller to keep. Write in append mode.
+
+    The state of an id is its base node: attributes, sources, log-odds and the number of forks."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, known, sources, log_odds, forks = -1, {}, set(), 0.0, 0
+        if state.exists:
+            seq, names, values, held, log_odds, forks = state.get
+            known, sources = dict(zip(names, values)), set(held)
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        out = []
+        for at, names, values, source in zip(rows["seq"], rows["names"], rows["texts"], rows["source"]):
+            if at <= seq:
+                out.append((key[0], at, "late", key[0], log_odds, len(sources)))
+                continue
+            attrs = list(zip(names, values))
+            if seq >= 0 and contradicts(known, attrs):
+                forks += 1
+                out.append((key[0], at, "forked", f"{key[0]}#fork{forks}", 0.0, 1))
+            else:
+                outcome = "created" if seq < 0 else "merged"
+                log_odds += CORROBORATION if seq >= 0 and source not in sources else 0.0
+                sources.add(source)
+                for k, v in attrs:
+                    known.setdefault(k, v)
+                out.append((key[0], at, outcome, key[0], log_odds, len(sources)))
+            seq = int(at)
+        state.update((seq, list(known), list(known.values()), sorted(sources), log_odds, forks))
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in UPSERTS.split(", ")])
+
+    attrs = F.coalesce("attrs", F.create_map().cast("map<string,string>"))
+    rows = observations.select("id", F.col("seq").cast("long").alias("seq"), F.map_keys(attrs).alias("names"), F.map_values(attrs).alias("texts"), F.concat_ws("/", "tool", "rule_id").alias("source"))
+    return rows.groupBy("id").applyInPandasWithState(run, UPSERTS, _NODE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_decay(nodes: DataFrame, half_lives: float = 2.0, delay: str = "0 seconds") -> DataFrame:
+    """(id, gap_id, due) for each node (id, last_verified timestamp, half_life) that was not verified again within so many
+    half-lives, once per time it falls due, as the watermark of last_verified passes. Write in append mode."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        due = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "gap_id": [f"reverify:{key[0]}"], "due": [due]})
+            return
+        due = max([due, *(int(x["due"].max()) for x in batches)])
+        state.update((due,))
+        # what the watermark has passed already falls due at its next step
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    due = (F.col("last_verified").cast("double") * 1000 + parse_duration(F.col("half_life")) * 1000 * half_lives).cast("long")
+    rows = nodes.withWatermark("last_verified", delay).select("id", "last_verified", due.alias("due"))
+    found = rows.groupBy("id").applyInPandasWithState(run, "id string, gap_id string, due long", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("id", "gap_id", F.timestamp_millis("due").alias("due"))

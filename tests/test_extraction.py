@@ -2,7 +2,9 @@
 
 import json
 
-from assetgraph.operators import contracts, known, probes, scope
+import pytest
+
+from assetgraph.operators import contracts, extract, known, probes, scope
 
 
 def ids(df, type_=None):
@@ -131,3 +133,85 @@ def test_guards(spark):
     assert known.already_recorded(new, seen).count() == 3
     kids = spark.createDataFrame([("r1", "w1"), ("r2", "w2"), ("r3", None)], "id string, webapp string")
     assert [r.id for r in known.orphan_guard(kids, spark.createDataFrame([("w1",)], "id string"), "webapp").collect()] == ["r1"]
+
+
+def both(spark):
+    return scope.scope_rules(spark, ["*.example.com", "203.0.113.0/24", "2001:db8::/32"], ["x.example.com"], ["*.example.net"], wildcard_includes_apex=False)
+
+
+def test_seeds(spark):
+    values = ["a.example.com", "A.example.com.", "*.b.example.com", "https://a.example.com/x", "# note", "", None, "203.0.113.7", "203.0.113.0/25", "2001:db8::1", "10.0.0.1", "w.example.net", "x.example.com", "not a host", "*.10.0.0.1"]
+    seeds = spark.createDataFrame([(v,) for v in values], "value string")
+    rows = {r.canonical: r for r in extract.ingest_seeds(seeds, both(spark)).collect()}
+    assert set(rows) == {"a.example.com", "b.example.com", "203.0.113.7", "203.0.113.0/25", "2001:db8::1", "10.0.0.1", "w.example.net", "x.example.com"}
+    assert rows["a.example.com"].spellings == ["A.example.com.", "a.example.com", "https://a.example.com/x"] and rows["b.example.com"].wildcard
+    found = extract.seed_observations(seeds, both(spark))
+    # the apex example.com has a verdict of its own, which refuses it
+    assert ids(found, "DNSName") == ["dns:a.example.com", "dns:b.example.com", "dns:w.example.net"] and ids(found, "Domain") == [] and ids(found, "subdomain_of") == []
+    assert ids(found, "Host") == ["host:2001:db8::1", "host:203.0.113.7"] and ids(found, "NetBlock") == ["net:203.0.113.0/25"]
+    attrs = {r.id: r.attrs for r in found.collect()}
+    assert attrs["net:203.0.113.0/25"]["prefixlen"] == "25" and attrs["dns:b.example.com"]["wildcard_seed"] == "true" and "wildcard_seed" not in attrs["dns:a.example.com"]
+    apex = extract.seed_observations(spark.createDataFrame([("a.example.com",), ("example.com",)], "value string"), rules(spark))
+    assert ids(apex, "Domain") == ["domain:example.com"] and ids(apex, "subdomain_of") == ["subdomain_of:dns:a.example.com->domain:example.com"]
+
+
+def test_certificate_names(spark):
+    body = json.dumps([{"name_value": "a.example.com\n*.b.example.com\nc.*.example.com\nme@example.com"}, {"name_value": "x.example.com\n203.0.113.9\nevil.org"}])
+    rows = spark.createDataFrame([("example.com", body), ("example.com", "<html>"), ("y", None)], "apex string, body string")
+    assert ids(extract.ct_observations(rows, both(spark))) == ["dns:a.example.com", "dns:b.example.com"]
+    assert {r.host: r.verdict for r in extract.ct_drops(rows, both(spark)).collect()} == {"x.example.com": "out_of_scope", "evil.org": "out_of_scope"}
+    kept = {r.pii_redactions: r.raw for r in extract.ct_evidence(rows).collect()}
+    assert set(kept) == {0, 1} and "me@" not in kept[1]
+
+
+def test_archives_expose_their_routes(spark):
+    captures = spark.createDataFrame([("https://a.example.com/x/1", "20200101000000"), ("https://a.example.com/x/2", "20190101000000"), ("https://evil.org/", "20190101000000"), ("ftp://a.example.com/", "bad")], "original string, timestamp string")
+    found = extract.archive_observations(captures, rules(spark))
+    route = "route:web:https://a.example.com/x/{id}"
+    assert ids(found) == sorted(["web:https://a.example.com", route, f"exposes:web:https://a.example.com->{route}"])
+    assert {r.attrs["archived_timestamp"] for r in found.collect() if r.kind == "node"} == {'"20190101000000"'}
+
+
+def test_candidates_are_new_and_in_scope(spark):
+    hosts = spark.createDataFrame([("web1.example.com",), ("web1.evil.org",)], "host string")
+    nodes = spark.createDataFrame([("dns:api.example.com",), ("hyp:dns-candidate:dev.example.com",)], "id string")
+    found = ids(extract.candidate_observations(hosts, nodes, rules(spark)))
+    assert "hyp:dns-candidate:web2.example.com" in found and not any("evil" in i or "api." in i or "dev." in i for i in found) and "hyp:dns-candidate:qa.example.com" in found
+
+
+def test_responses(spark):
+    head = {"CF-Ray": "1", "Server": "nginx", "Location": "https://b.example.com:8443/p?code=1", "Strict-Transport-Security": "x"}
+    rows = [
+        ("https://a.example.com/", "get", 200, {"server": "AkamaiGHost"}, "<title> Hi  there</title>"), ("https://a.example.com/", "HEAD", 301, head, None), ("https://b.example.com:8443/", "HEAD", 302, head, None), ("https://evil.org/", "GET", 200, {}, ""),
+        ("https://c.example.com/", "HEAD", 302, {"Location": "https://u:p@c.example.com/", "x-varnish": ""}, None),
+    ]
+    table = spark.createDataFrame(rows, "url string, method string, status int, headers map<string,string>, body string")
+    found = {r.id: r for r in extract.http_observations(table, rules(spark)).collect()}
+    a, b, c = (found[f"web:https://{h}"].attrs for h in ("a.example.com", "b.example.com:8443", "c.example.com"))
+    assert a["cdn_or_waf"] == '"akamai"' and a["title"] == '"Hi there"' and a["hsts"] == "false" and "redirect_to" not in a
+    assert b["cdn_or_waf"] == '"cloudflare"' and b["redirect_to"] == '"https://b.example.com/p"' and b["hsts"] == "true"
+    assert c["cdn_or_waf"] == '"varnish"' and "redirect_to" not in c
+    assert {i for i in found if i.startswith("op:")} == {"op:GET:route:web:https://a.example.com/", "op:HEAD:route:web:https://a.example.com/", "op:HEAD:route:web:https://b.example.com:8443/", "op:HEAD:route:web:https://c.example.com/"}
+    assert sum(i.startswith("exposes:") for i in found) == 4 and not any("evil" in i for i in found)
+
+
+def test_mail_leads(spark):
+    rows = [
+        ("a.example.com", "TXT", ["v=spf1 include:_spf.gone.com redirect=OK.com. ~all", "other"]), ("_dmarc.a.example.com.", "TXT", ["v=DMARC1; p=none; sp=reject; pct=50; rua=mailto:x@y"]), ("_mta-sts.a.example.com", "TXT", ["v=STSv1; id=1"]),
+        ("a.example.com", "MX", ["10 mx.gone.com.", "20 mx.ok.com"]), ("b.example.com", "TXT", ["v=spf1 -all"]), ("_dmarc.b.example.com", "TXT", ["v=DMARC1; p=reject"]), ("evil.org", "TXT", ["v=spf1 +all"]),
+    ]
+    records = spark.createDataFrame(rows, "name string, rrtype string, rdata array<string>")
+    resolvable = spark.createDataFrame([("ok.com",), ("mx.ok.com",)], "name string")
+    found = extract.email_observations(records, resolvable, rules(spark))
+    assert ids(found, "Hypothesis") == ["hyp:email-spoofable:a.example.com", "hyp:mx-dangling:a.example.com|mx.gone.com", "hyp:spf-dangling-include:a.example.com|_spf.gone.com"] or ids(found, "Hypothesis") == ["hyp:email-spoofable:a.example.com", "hyp:mx-dangling:a.example.com|mx.gone.com"]
+    attrs = {r.id: r.attrs for r in found.collect()}["auth:a.example.com:email"]
+    assert attrs["mx_hosts"] == '["mx.gone.com","mx.ok.com"]' and attrs["spf_includes"] == '["_spf.gone.com","ok.com"]' and attrs["mta_sts_present"] == attrs["dmarc_has_reporting"] == "true" and attrs["dmarc_subdomain_policy"] == '"reject"'
+    assert not any("@" in str(v) for v in attrs.values()) and ids(found, "AuthScheme") == ["auth:a.example.com:email", "auth:b.example.com:email"]
+
+
+def test_extractors_have_one_name_each():
+    assert extract.get_extractor("wayback") is extract.archive_observations and {"seeds", "crtsh", "permutations", "http_probe", "email_posture"} <= set(extract.EXTRACTORS)
+    with pytest.raises(ValueError):
+        extract.register_extractor("wayback", (), print)
+    with pytest.raises(KeyError):
+        extract.get_extractor("nope")

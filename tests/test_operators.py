@@ -158,7 +158,7 @@ def test_collected_responses(spark):
 def test_email_posture(spark):
     rows = spark.createDataFrame([("a.com", "TXT", ["v=spf1 include:_spf.b.com ~all"]), ("_dmarc.a.com", "TXT", ["v=DMARC1; p=none"])], "name string, rrtype string, rdata array<string>")
     r = extract.email_posture(rows).first()
-    assert (r.spf_qualifier, r.spf_enforcing, r.spf_includes, r.dmarc_policy, r.dmarc_enforcing) == ("~", False, ["_spf.b.com"], "none", False)
+    assert (r.spf_qualifier, r.spf_enforcing, r.spf_includes, r.dmarc_policy, r.dmarc_enforcing, r.mx_hosts, r.mta_sts_present) == ("~", False, ["_spf.b.com"], "none", False, [], False)
 
 
 def test_scope_of_both_families(spark):
