@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetgraph.llm import words as W
-from assetgraph.llm.scratch import written
+from assetgraph.llm.scratch import discard, written
 
 WINDOW = 13
 #: Rows of the benchmark's side that are broadcast, at most; each has some 100 bytes.
@@ -68,16 +68,21 @@ def _held(df: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional index, written. Rows of kind 0: a row of docs, numbered (rid, id, th the text's hash, n words). Rows of
-    kind 1: n postings of a term, as the documents' numbers from rid on (int32) and their positions (int32)."""
+    kind 1: n postings of a term, as the documents' numbers, counted from rid, and their positions: two bytes each where all of
+    a task's fit, else four."""
     rows = docs.select(docs[text_col].alias("text"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), F.monotonically_increasing_id().alias("rid"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def flush(terms, owners, places):
         t, d, p = np.concatenate(terms), np.concatenate(owners), np.concatenate(places)
         order = np.argsort(t, kind="stable")  # documents and positions stay in order
-        t, d, p = t[order], d[order].astype("<i4"), p[order].astype("<i4")
+        t, d, p = t[order], d[order], p[order]
         cut = np.r_[np.flatnonzero(np.r_[True, t[1:] != t[:-1]]), len(t)].astype(np.int64)
-        binary = lambda x: pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(x)])
+
+        def binary(x):
+            x = x.astype("<u2" if x.max() < 1 << 16 else "<u4")
+            return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
         return t[cut[:-1]].astype(np.int64), np.diff(cut).astype(np.int32), binary(d), binary(p)
 
     def run(it):
@@ -111,7 +116,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if held:
             yield postings()
 
-    return written(rows.mapInArrow(run, f"kind int, rid long, id {kind}, th long, n int, term long, docs binary, places binary"), "positional-index")
+    return written(rows.mapInArrow(run, f"kind int, rid long, id {kind}, th long, n int, term long, docs binary, places binary"), "positional-index", "zstd")
 
 
 def choose_anchors(index: DataFrame, found: DataFrame) -> DataFrame:
@@ -128,13 +133,14 @@ def choose_anchors(index: DataFrame, found: DataFrame) -> DataFrame:
 
 def anchored(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """(phrase, rank, need, rid, start): where a phrase would start if its anchor is at a posting."""
-    met = index.where("kind = 1").select("term", "rid", "docs", "places").join(_held(anchors), "term")
+    met = index.where("kind = 1").select("term", "rid", "n", "docs", "places").join(_held(anchors), "term")
 
     def shift(it):
         for batch in it:
-            rid, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3)
+            rid, n, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(4).to_pylist(), batch.column(3)
             for k in range(len(rid)):
-                docs, places = (np.frombuffer(batch.column(c)[k].as_buffer(), "<i4").astype(np.int64) for c in (1, 2))
+                packed = (batch.column(c)[k].as_buffer() for c in (1, 2))
+                docs, places = (np.frombuffer(x, f"<u{x.size // n[k]}").astype(np.int64) for x in packed)
                 at = lists[k].values
                 phrase, rank, offset, need = (at.field(c).to_numpy(zero_copy_only=False) for c in range(4))
                 each = max(1, (1 << 20) // len(docs))
@@ -146,7 +152,7 @@ def anchored(index: DataFrame, anchors: DataFrame) -> DataFrame:
                         names=["phrase", "rank", "need", "rid", "start"],
                     )
 
-    return met.select("rid", "docs", "places", "at").mapInArrow(shift, "phrase long, rank int, need int, rid long, start long")
+    return met.select("rid", "docs", "places", "at", "n").mapInArrow(shift, "phrase long, rank int, need int, rid long, start long")
 
 
 def phrase_candidates(lists: DataFrame) -> DataFrame:
@@ -192,10 +198,13 @@ def _verify(it):
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, index: DataFrame | None = None, slack: int = SLACK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, hits, near): rows (id, th, n_words) one per row of docs; hits (id, th, hit_at, items), the word positions inside any
     phrase and the items that it is from; near (id, th, item) by proximity."""
-    index = build_index(docs, id_col, text_col) if index is None else index
-    rows = index.where("kind = 0").select("rid", "id", "th", F.col("n").cast("long").alias("n_words"))
+    own = index is None
+    index = build_index(docs, id_col, text_col) if own else index
+    rows = written(index.where("kind = 0").select("rid", "id", "th", F.col("n").cast("long").alias("n_words")), "rows")
     found = written(phrases(benchmark, item_col, item_text, window), "phrases")
-    lists = written(anchored(index, choose_anchors(index, found)), "lists")
+    lists = written(anchored(index, choose_anchors(index, found)), "lists", "zstd")
+    if own:
+        discard(index)
     candidates = written(phrase_candidates(lists), "candidates")
     told = _held(found.select("phrase", "terms", "items"))
     numbered = rows.select("rid", "id", "th")
@@ -227,9 +236,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated rows; columns as before."""
-    bad = decontaminate(docs, benchmark, id_col, text_col, proximity=False).where("contaminated").select(F.col(id_col).alias("__i"), F.col("th").alias("__t"))
-    return docs.join(bad.hint("merge"), docs[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left_anti")
+    """docs without the contaminated rows; columns as before, whatever their names."""
+    bad = decontaminate(docs, benchmark, id_col, text_col, proximity=False).where("contaminated").select(F.col(id_col).alias("i"), F.col("th").alias("t"))
+    whole = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    return whole.join(bad.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_anti").select("row.*")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
