@@ -268,7 +268,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return np.zeros(0, np.uint64), np.zeros(0), 0
-    least = max(3, n1 // 500)
+    least = max(2, min(3, n1 // 100), n1 // 500)
     counted = rows.mapInArrow(count, "f long, toxic long, seen long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
     rate = (F.col("toxic") + 0.5) / n1 / ((F.col("seen") - F.col("toxic") + 0.5) / n0)
     found = counted.where((F.col("toxic") >= least) & (rate >= RATIO)).select("f").toPandas()
