@@ -363,16 +363,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: the one with the smallest id (null only where all are
-    null). Of rows that repeat it in id and text one stays. Columns as before."""
-    rows = jaccard_components(docs, id_col, text_col, percent).select(F.col(id_col).alias("__i"), F.col("th").alias("__t"), "is_first")
-    first = written(rows.groupBy("__i", "__t").agg(F.max("is_first").alias("first"), F.count("*").alias("n")).where("first"), "first")
-    same = docs[id_col].eqNullSafe(F.col("__i")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__t"))
-    once = docs.join(first.where("n = 1"), same, "left_semi")
-    repeated = first.where("n > 1").select("__i", "__t")
+    null). Of rows that repeat it in id and text one stays. Columns as before, whatever their names."""
+    rows = jaccard_components(docs, id_col, text_col, percent).select(F.col(id_col).alias("i"), F.col("th").alias("t"), "is_first")
+    first = written(rows.groupBy("i", "t").agg(F.max("is_first").alias("first"), F.count("*").alias("n")).where("first"), "first")
+    whole = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
+    once = whole.join(first.where("n = 1"), same, "left_semi").select("row.*")
+    repeated = first.where("n > 1")
     if repeated.isEmpty():
         return once
-    w = Window.partitionBy("__i", "__t").orderBy(F.lit(0))
-    return once.unionByName(docs.join(repeated, same).withColumn("__k", F.row_number().over(w)).where("__k = 1").select(*(docs[c] for c in docs.columns)))
+    w = Window.partitionBy("id", "th").orderBy(F.lit(0))
+    return once.unionByName(whole.join(repeated, same).withColumn("k", F.row_number().over(w)).where("k = 1").select("row.*"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

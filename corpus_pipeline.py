@@ -48,8 +48,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, with the shard and the slot in it."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    """The columns of documents, with the shard and the slot in it, which replace columns of these names. Repeated rows
+    and rows with a null id have places of their own."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
     return shard_rows(docs, carry=[F.struct(*columns).alias("row")]).select("row.*", "shard", "slot")
 
 
