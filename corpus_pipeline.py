@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each takes the documents that the one before kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's docs. Empty tables pass through all stages.
+written as Parquet and read again as the next one's docs. Empty tables pass through all stages; columns of other names
+than doc_id, text and source are carried, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,24 +19,27 @@ from assetgraph.llm.sharding import shard_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, among them those whose text is null, empty or of fewer than ten words.
+    Repeated rows and null ids are judged like others."""
     return filter_quality(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays (one without an id only if none has one), and of
+    rows that repeat it one. Null and empty texts are linked with nothing."""
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
+    """Documents contaminated by the benchmark go, repeated ones and those without an id too. Null and empty texts stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times.
 
-    Equal rows (id and text) are told apart by a number, so each gets a decision of its own."""
+    Equal rows (id and text) are told apart by a number, so each gets a decision of its own. A null source is a source of its
+    own. Texts without words take no share and stay as often as the whole part of their source's rate says."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     w = Window.partitionBy("__i", "__t")
     taken = mix_sources(docs, carry=[F.xxhash64("text").alias("__t")]).select(F.col("doc_id").alias("__i"), "__t", "copies")
