@@ -120,12 +120,22 @@ def path_templates(spark, sf_dir):
     return page_hosts(spark, sf_dir).select("page_id", U.path_template(F.col("path")).alias("template"))
 
 
-@query(rf"""WITH {_URLS} SELECT page_id, 'dns:' || host AS dns_id, 'web:' || scheme || '://' || host AS webapp_id, 'op:GET:route:web:' || scheme || '://' || host || '/' AS operation_id, 'cert:' || sha256(host) AS certificate_id,
-regexp_matches(host, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$') AS valid FROM u""")
+@query(rf"""WITH {_URLS}, {_TEMPLATES}, w AS (SELECT *, 'web:' || scheme || '://' || host AS app, ['10', CAST(page_id // 256 % 256 AS VARCHAR), CAST(page_id % 256 AS VARCHAR), '1'] AS quad, page_id % 3 AS m FROM t),
+o AS (SELECT *, array_to_string(quad, '.') AS ip, 'op:' || CASE m WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'HEAD' END || ':route:' || app || template AS op FROM w)
+SELECT page_id, 'dns:' || host AS dns_id, 'domain:' || array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain_id, app || CASE WHEN m = 0 THEN '' WHEN m = 1 THEN ':8443' WHEN scheme = 'https' THEN '' ELSE ':443' END AS webapp_id, 'host:' || ip AS host_id,
+'svc:' || ip || ':' || (page_id % 9) || '/tcp' AS service_id, op AS operation_id, 'param:' || op || '#query:p' || m AS parameter_id, 'cert:' || sha256(host) AS certificate_id, 'hyp:dns-candidate:' || host AS hypothesis_id,
+regexp_matches(host, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$') AS valid FROM o""")
 def node_ids(spark, sf_dir):
-    host, scheme = F.col("host"), F.col("scheme")
-    app = U.webapp_id(scheme, host)
-    return page_hosts(spark, sf_dir).select("page_id", U.dns_id(host).alias("dns_id"), app.alias("webapp_id"), U.operation_id(F.lit("get"), U.route_id(app, F.lit("/"))).alias("operation_id"), U.certificate_id(host.cast("binary")).alias("certificate_id"), U.valid_fqdn(host).alias("valid"))
+    """Every id of a page's host, route and the things made up from its number."""
+    host, scheme, n = F.col("host"), F.col("scheme"), F.col("page_id")
+    pages = page_hosts(spark, sf_dir).withColumn("template", U.path_template(F.col("path")))
+    ip = F.concat(F.lit("10."), (F.floor(n / 256) % 256).cast("string"), F.lit("."), (n % 256).cast("string"), F.lit(".1"))
+    port = F.when(n % 3 == 1, 8443).when(n % 3 == 2, 443)
+    operation = U.operation_id(F.when(n % 3 == 0, "get").when(n % 3 == 1, "Post").otherwise("HEAD"), U.route_id(U.webapp_id(scheme, host), F.col("template")))
+    return pages.select(
+        "page_id", U.dns_id(host).alias("dns_id"), U.domain_id(host).alias("domain_id"), U.webapp_id(scheme, host, port).alias("webapp_id"), U.host_id(ip).alias("host_id"), U.service_id(ip, n % 9, F.lit("TCP")).alias("service_id"), operation.alias("operation_id"),
+        U.parameter_id(operation, F.concat(F.lit("p"), (n % 3).cast("string")), F.lit("Query")).alias("parameter_id"), U.certificate_id(host.cast("binary")).alias("certificate_id"), U.hypothesis_id(F.lit("dns-candidate"), host).alias("hypothesis_id"), U.valid_fqdn(host).alias("valid"),
+    )
 
 
 _EMAIL_SQL = C.EMAIL.replace("'", "''")
