@@ -234,3 +234,24 @@ def test_new_sources(spark):
     shape = "id string, tool string, rule_id string"
     got = report.new_sources(spark.createDataFrame([("a", "t", "r")], shape), spark.createDataFrame([("a", "t", "r"), ("a", "u", "r"), ("b", "t", "r")], shape))
     assert sorted(tuple(r) for r in got.collect()) == [("a", "u", "r"), ("b", "t", "r")]
+
+
+def test_ledgers_charge_registrable_domains_or_sources(spark):
+    rows = spark.createDataFrame([("a.example.com", "s", 1, 0.0, 1.0), ("b.example.com", "s", 2, 0.0, 1.0), ("c.example.com", "s", 3, 0.0, 1.0), ("x.org", "t", 4, 0.0, 1.0)], "target string, source string, seq long, at double, cost double")
+    assert {r.target: (r.n, r.cost) for r in audit.spend(rows, 1.0, 2.0).collect()} == {"example.com": (2, 2.0), "x.org": (1, 1.0)}
+    assert {r.target: r.n for r in audit.spend(rows, 1.0, 2.0, F.col("source")).collect()} == {"s": 2, "t": 1}
+
+
+def test_deltas_of_a_log(spark):
+    rows = [
+        (0, "1", "r1", "node_upserted", {"type": "Host", "outcome": "created", "id": "host:1"}), (1, "2", "r1", "node_upserted", {"type": "Hypothesis", "outcome": "created", "id": "hyp:dangling-cname:a"}), (2, "3", "r1", "rate_debit", {"target": "a.com"}),
+        (3, "4", "r2", "loop_halted", {"reason": "gap queue dry"}), (4, "5", "r3", "invariant_violation", {"code": "I4", "detail": "x"}), (5, "6", "r4", "scope_drift_detected", {}), (6, "7", "r4", "node_upserted", {"type": "Host", "outcome": "merged", "id": "host:1"}),
+    ]
+    log = report.flat_log(spark.createDataFrame([(*r[:4], json.dumps(r[4])) for r in rows], "seq long, ts string, run_id string, kind string, payload string"))
+    assert {r.run_id: r.headline for r in report.delta_headline(log).collect()} == {
+        "r1": "1 new Host; 1 new Hypothesis; subdomain-takeover candidate", "r2": "no change since the previous run", "r3": "HALTED on a safety invariant (I4)", "r4": "SCOPE DRIFT detected — re-bind before acting",
+    }
+    delta = {r.run_id: r for r in report.run_delta(log).collect()}
+    assert delta["r2"].halted_because == "gap queue dry" and delta["r1"].notable == 1 and delta["r2"].quiet and not delta["r4"].quiet and delta["r4"].nodes_merged == 1
+    leads = report.hypothesis_leads(spark.createDataFrame([("hyp:dangling-cname:a", "Hypothesis"), ("hyp:other:b", "Hypothesis"), ("host:1", "Host")], "id string, type string"))
+    assert sorted((r.hypothesis, r.what) for r in leads.collect()) == [("dangling-cname", "subdomain-takeover candidate"), ("other", "other")]
