@@ -57,7 +57,7 @@ def gate_decisions(requests: DataFrame, active_on: bool, snapshot: str | None, s
     reason = (
         F.when(F.lit(not active_on), "active modules disabled (allow_active=false)").when(F.lit(snapshot is None), "no scope snapshot (verify live policy first)")
         .when(F.lit(snapshot_stale), "scope snapshot is stale; re-fetch + re-bind required").when(kind == "blocked", F.concat(F.lit("verb "), quoted, F.lit(" is on the blocked list and can never be scheduled")))
-        .when(kind == "human_gated", F.concat(F.lit("verb "), quoted, F.lit(" is human-gated; enqueue for authorization, do not auto-run"))).when(kind == "unknown", F.concat(F.lit("verb "), quoted, F.lit(" is not on the recon-verb whitelist")))
+        .when(kind == "human_gated", F.concat(F.lit("verb "), quoted, F.lit(" is human-gated; enqueue for authorization, do not auto-run"))).when(kind == "unknown", F.concat(F.lit("verb "), quoted, F.lit(" is not on the verb whitelist")))
         .when(~V.is_active(F.col("verb")), F.concat(quoted, F.lit(" is not an active verb"))).when(verdict != "in_scope", F.concat(F.lit("not in scope: "), rule, F.lit(" ("), verdict, F.lit(")")))
     )
     if "accepted" in requests.columns:

@@ -585,7 +585,7 @@ def top_per_user(spark, sf_dir):
 
 @query("""WITH r AS (SELECT c_custkey, ['exploit', 'resolve', 'fingerprint', 'content-discovery-wordlist', 'teleport', 'http-GET'][c_nationkey % 6 + 1] AS verb, CASE WHEN c_acctbal < 0 THEN 'out_of_scope' ELSE 'in_scope' END AS verdict FROM customer),
 s AS (SELECT *, CASE verb WHEN 'exploit' THEN 'verb ''exploit'' is on the blocked list and can never be scheduled' WHEN 'content-discovery-wordlist' THEN 'verb ''content-discovery-wordlist'' is human-gated; enqueue for authorization, do not auto-run'
-  WHEN 'teleport' THEN 'verb ''teleport'' is not on the recon-verb whitelist' WHEN 'fingerprint' THEN chr(39) || 'fingerprint' || chr(39) || ' is not an active verb' ELSE CASE WHEN verdict = 'in_scope' THEN '' ELSE 'not in scope: rule (out_of_scope)' END END AS reason FROM r)
+  WHEN 'teleport' THEN 'verb ''teleport'' is not on the verb whitelist' WHEN 'fingerprint' THEN chr(39) || 'fingerprint' || chr(39) || ' is not an active verb' ELSE CASE WHEN verdict = 'in_scope' THEN '' ELSE 'not in scope: rule (out_of_scope)' END END AS reason FROM r)
 SELECT c_custkey, CASE WHEN reason = '' THEN 'ALLOW' ELSE 'REFUSE' END AS decision, reason FROM s""")
 def gate_decisions(spark, sf_dir):
     verbs = F.array(*map(F.lit, ("exploit", "resolve", "fingerprint", "content-discovery-wordlist", "teleport", "http-GET")))
