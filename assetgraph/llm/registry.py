@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetgraph.llm import decontamination, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, toxicity, warc
+from assetgraph.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         quality_rules.op8_quality_rules,
         warc.op9_warc,
         language_id.op10_language_id,
+        exact_dedup.op13_exact_dedup,
     )
 }
 
-SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op9_warc": warc.OP9_SQL}
+SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op9_warc": warc.OP9_SQL, "op13_exact_dedup": exact_dedup.OP13_SQL}
