@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetgraph.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, toxicity, warc
+from assetgraph.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,8 +17,9 @@ QUERIES = {
         quality_rules.op8_quality_rules,
         warc.op9_warc,
         language_id.op10_language_id,
+        prefix_trie.op12_prefix_trie,
         exact_dedup.op13_exact_dedup,
     )
 }
 
-SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op9_warc": warc.OP9_SQL, "op13_exact_dedup": exact_dedup.OP13_SQL}
+SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op9_warc": warc.OP9_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL, "op13_exact_dedup": exact_dedup.OP13_SQL}
