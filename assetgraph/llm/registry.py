@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assetgraph.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, sharding, toxicity, warc
+from assetgraph.llm import alignment, decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         quality_rules.op8_quality_rules,
         warc.op9_warc,
         language_id.op10_language_id,
+        alignment.op11_alignment,
         prefix_trie.op12_prefix_trie,
         exact_dedup.op13_exact_dedup,
     )
