@@ -270,7 +270,7 @@ def pair_counts(docs: DataFrame, text_col: str = "text", a: str = TOKENIZER_A, b
     most = vectors.agg(F.max("part")).first()[0] or 0
     while most:
         most //= fan
-        vectors = written(vectors.groupBy("block", (F.col("part") / fan).cast("int").alias("part")).applyInArrow(_summed, "block int, part int, sums binary"), "pair-vectors")
+        vectors = written(vectors.withColumn("part", (F.col("part") / fan).cast("int")).groupBy("block", "part").applyInArrow(_summed, "block int, part int, sums binary"), "pair-vectors")
     counts = np.zeros(math.ceil(len(table) / BLOCK) * BLOCK, np.int64)
     for r in vectors.collect():
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.sums, np.int64)
