@@ -7,12 +7,13 @@ before anything is exploded, so no copy of a document is made per parameter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from assetgraph.functions import urls as U
 from assetgraph.functions.confidence import redact, redact_secret_shaped
 from assetgraph.operators import observe as O
+from assetgraph.operators.extract import ENUMERATED, FINGERPRINTED, extractor, retainable
 from assetgraph.operators.scope import bind_scope
 
 # Methods of a path item, in order; depth of references; metadata fields; members of private keys.
@@ -29,6 +30,23 @@ _OBJECT, _LIST = "map<string,string>", "array<string>"
 _PARAMETERS = "array<struct<name:string,location:string,type:string,required:boolean,enum:array<string>,level:int>>"
 
 
+def in_scope(docs: DataFrame, rules: DataFrame | None, tool: str, drops: Observation | None = None, portless: bool = False) -> DataFrame:
+    """docs (url, body, ...) of web applications whose host is in scope, with webapp (a struct of urls.parse_webapp), verdict,
+    proof (the body's hash) and region. Without rules all are kept, and bound to nothing. portless: an application on a port
+    of its own is refused, as its contract would speak for another."""
+    rows = docs.withColumn("app", F.explode(F.array_compact(F.array(U.parse_webapp(F.col("url"))))))
+    rows = rows.where("app.port is null") if portless else rows
+    rows = rows.withColumns({"webapp": F.col("app.id"), "host": F.col("app.host"), "proof": F.array(F.sha2("body", 256)), "region": F.concat(F.lit(f"{tool}:GET "), "url")}).drop("app")
+    return rows if rules is None else retainable(bind_scope(rows, "host", rules), drops=drops)
+
+
+_BOUND = ("verdict", "rule_matched", "proof", "region")
+
+
+def _bound(df: DataFrame) -> list[str]:
+    return [c for c in _BOUND if c in df.columns]
+
+
 def member(json: Column, name: str) -> Column:
     """A member of a JSON object: text as it is, other values as JSON; null where there is none."""
     return F.get_json_object(json, f"$['{name}']")
@@ -88,8 +106,9 @@ def contract_operations(specs: DataFrame) -> DataFrame:
     parameter, that of OpenAPI 3 the first typed media type by name; both give their schema's properties."""
     body = F.col("body")
     version = F.coalesce(member(body, "openapi"), member(body, "swagger"))
-    app = U.webapp_id(U.scheme_of(F.col("url")), U.canonical_host(U.netloc_of(F.col("url"))), U.port_of(F.col("url")))
-    docs = specs.where(F.trim("body").startswith("{")).select("body", app.alias("webapp"), version.alias("spec_version"), as_object(member(body, "paths")).alias("paths")).where("spec_version is not null and paths is not null")
+    docs = specs if "webapp" in specs.columns else in_scope(specs, None, "openapi_discovery", portless=True)
+    kept = _bound(docs)
+    docs = docs.where(F.trim("body").startswith("{")).select("body", "webapp", *kept, version.alias("spec_version"), as_object(member(body, "paths")).alias("paths")).where("spec_version is not null and paths is not null")
 
     # each level is opened once: path items, then the declared operations with their parameters, then what these say
     good = F.filter(F.map_entries("paths"), lambda p: F.trim(p["key"]).rlike(TEMPLATE) & ~p["key"].contains("://"))
@@ -115,29 +134,46 @@ def contract_operations(specs: DataFrame) -> DataFrame:
         )
 
     every = F.transform(F.flatten(F.transform(items, lambda i: F.transform(declared(i), lambda m: opened(i, m)))), told)
-    return docs.select("webapp", "spec_version", F.explode(every).alias("o")).select("webapp", "spec_version", "o.template", "o.method", "o.summary", "o.operation_id", "o.parameters")
+    return docs.select("webapp", *kept, "spec_version", F.explode(every).alias("o")).select("webapp", *kept, "spec_version", "o.template", "o.method", "o.summary", "o.operation_id", "o.parameters")
 
 
 def contract_parameters(operations: DataFrame) -> DataFrame:
     """One row per parameter of contract_operations(): the operation's declaration wins over the path's."""
-    rows = operations.select("webapp", "template", "method", F.explode("parameters").alias("p")).where(F.col("p.name").rlike(NAME))
+    kept = _bound(operations)
+    rows = operations.select("webapp", "template", "method", *kept, F.explode("parameters").alias("p")).where(F.col("p.name").rlike(NAME))
     op = U.operation_id(F.col("method"), U.route_id(F.col("webapp"), F.col("template")))
-    best = rows.groupBy(op.alias("operation"), F.col("p.location").alias("location"), F.col("p.name").alias("name")).agg(F.max_by(F.col("p"), F.col("p.level")).alias("p"))
-    return best.select("operation", "location", "name", "p.type", "p.required", "p.enum")
+    best = rows.groupBy(op.alias("operation"), F.col("p.location").alias("location"), F.col("p.name").alias("name")).agg(F.max_by(F.struct("p", *kept), F.col("p.level")).alias("x"))
+    return best.select("operation", "location", "name", "x.p.type", "x.p.required", "x.p.enum", *(f"x.{c}" for c in kept))
+
 
+def _once(rows: DataFrame, *by: str) -> DataFrame:
+    """One of the rows that share the columns by."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("x")).select(*by, "x.*")
 
-def api_contracts(specs: DataFrame) -> DataFrame:
-    """Observations of routes, operations and parameters that contracts declare, with their edges."""
-    ops = contract_operations(specs)
+
+@extractor("openapi_discovery", "Route", "Operation", "Parameter")
+def api_contracts(specs: DataFrame, rules: DataFrame | None = None, drops: Observation | None = None) -> DataFrame:
+    """Observations of routes, operations and parameters that contracts (url, body) declare, with their edges. Contracts on ports
+    of their own are refused."""
+    ops = contract_operations(in_scope(specs, rules, "openapi_discovery", drops, portless=True))
     route = U.route_id(F.col("webapp"), F.col("template"))
     op = U.operation_id(F.col("method"), route)
-    routes = ops.select("webapp", "template", "spec_version").distinct()
+    kept = _bound(ops)
+    ops = _once(ops, "webapp", "template", "method")
+    routes = _once(ops.select("webapp", "template", "spec_version", *kept), "webapp", "template")
     params = contract_parameters(ops)
-    pid = U.parameter_id(F.col("operation"), F.col("name"), F.col("location"))
+    pid, probed = U.parameter_id(F.col("operation"), F.col("name"), F.col("location")), F.lit(True)
+    mined = {"enumerated": True, "param_mined": True}
     return O.union_observations(
-        O.nodes(routes, "Route", route, 2.0, path_template=F.col("template"), webapp=F.col("webapp"), spec_version=F.col("spec_version")), O.edges(routes, "exposes", F.col("webapp"), route, 2.0),
-        O.nodes(ops, "Operation", op, 2.0, method=F.col("method"), path_template=F.col("template"), webapp=F.col("webapp"), spec_version=F.col("spec_version"), summary=F.col("summary"), operation_id=F.col("operation_id")), O.edges(ops, "exposes", route, op, 2.0),
-        O.nodes(params, "Parameter", pid, 2.0, name=F.col("name"), type=F.col("type"), required=F.col("required"), enum=F.col("enum")), O.edges(params, "takes", F.col("operation"), pid, 2.0),
+        O.nodes(routes, "Route", route, 2.0, mined, active_probed=probed, path_template=F.col("template"), webapp=F.col("webapp"), spec_version=F.col("spec_version")), O.edges(routes, "exposes", F.col("webapp"), route, 2.0, active_probed=probed),
+        O.nodes(
+            ops, "Operation", op, 2.0, mined, active_probed=probed, method=F.col("method"), path_template=F.col("template"), webapp=F.col("webapp"), spec_version=F.col("spec_version"), summary=F.coalesce("summary", F.lit("")),
+            operation_id=F.coalesce("operation_id", F.lit("")),
+        ),
+        O.edges(ops, "exposes", route, op, 2.0, active_probed=probed),
+        O.nodes(params, "Parameter", pid, 2.0, ENUMERATED, **{"active_probed": probed, "name": F.col("name"), "in": F.col("location"), "type": F.col("type"), "required": F.col("required"), "enum": F.when(F.size("enum") > 0, F.col("enum"))}),
+        O.edges(params, "takes", F.col("operation"), pid, 2.0, active_probed=probed),
     )
 
 
@@ -153,31 +189,45 @@ def _named(ref: Column) -> Column:
     return F.coalesce(F.when(ref["name"].rlike(GRAPHQL_NAME), ref["name"]), F.when(ref["ofType"]["name"].rlike(GRAPHQL_NAME), ref["ofType"]["name"]))
 
 
-def graphql_contracts(schemas: DataFrame) -> DataFrame:
+@extractor("graphql_introspect", "ObjectType", "Operation", "Parameter", rule_id="graphql-introspection")
+def graphql_contracts(schemas: DataFrame, rules: DataFrame | None = None, drops: Observation | None = None) -> DataFrame:
     """(url, body) of introspection answers -> object types, root fields as operations, and their arguments.
-    Answers with errors or without a schema give none; a type is referenced only if it is emitted."""
-    app = U.webapp_id(U.scheme_of(F.col("url")), U.canonical_host(U.netloc_of(F.col("url"))), U.port_of(F.col("url")))
-    route = U.route_id(app, U.path_template(U.path_of(F.col("url"))))
-    docs = schemas.select(app.alias("webapp"), route.alias("route"), F.from_json("body", _SCHEMA)["data"]["__schema"].alias("s")).where("s is not null")
-    types = docs.select("webapp", "route", "s.queryType", "s.mutationType", F.explode("s.types").alias("t")).where(F.col("t.name").rlike(GRAPHQL_NAME))
-    objects = types.where(~F.col("t.name").startswith("__")).select("webapp", F.col("t.name").alias("name"), F.col("t.kind").alias("kind"), F.coalesce(F.array_size("t.fields"), F.lit(0)).alias("field_count"))
+    Answers with errors or without a schema give none; a type is referenced only if it is emitted. Endpoints on ports of
+    their own are refused."""
+    docs = in_scope(schemas, rules, "graphql_introspect", drops, portless=True)
+    kept = _bound(docs)
+    route = U.route_id(F.col("webapp"), U.path_template(U.path_of(F.col("url"))))
+    docs = docs.select("webapp", *kept, route.alias("route"), F.from_json("body", _SCHEMA)["data"]["__schema"].alias("s")).where("s is not null")
+    types = docs.select("webapp", "route", *kept, "s.queryType", "s.mutationType", F.explode("s.types").alias("t")).where(F.col("t.name").rlike(GRAPHQL_NAME))
+    objects = types.where(~F.col("t.name").startswith("__")).select("webapp", *kept, F.col("t.name").alias("name"), F.col("t.kind").alias("kind"), F.coalesce(F.array_size("t.fields"), F.lit(0)).alias("field_count"))
+    objects = _once(objects, "webapp", "name")
     kind = F.when(F.col("t.name") == F.col("queryType.name"), "query").when(F.col("t.name") == F.col("mutationType.name"), "mutation")
-    fields = types.withColumn("kind", kind).where("kind is not null").select("webapp", "route", "kind", F.explode("t.fields").alias("f")).where(F.col("f.name").rlike(GRAPHQL_NAME))
+    fields = types.withColumn("kind", kind).where("kind is not null").select("webapp", "route", "kind", *kept, F.explode("t.fields").alias("f")).where(F.col("f.name").rlike(GRAPHQL_NAME))
     op = F.concat(U.operation_id(F.lit("POST"), F.col("route")), F.lit("#"), F.col("f.name"))
-    fields = fields.select("webapp", "kind", op.alias("operation"), F.col("f.name").alias("field"), _named(F.col("f.type")).alias("returns"), "f.args")
-    args = fields.select("operation", F.explode("args").alias("a")).where(F.col("a.name").rlike(GRAPHQL_NAME)).select("operation", F.col("a.name").alias("name"), _named(F.col("a.type")).alias("type"))
-    pid = U.parameter_id(F.col("operation"), F.col("name"), F.lit("arg"))
+    fields = fields.select("webapp", "kind", *kept, op.alias("operation"), F.col("f.name").alias("field"), _named(F.col("f.type")).alias("returns"), "f.args")
+    args = fields.select("operation", *kept, F.explode("args").alias("a")).where(F.col("a.name").rlike(GRAPHQL_NAME)).select("operation", *kept, F.col("a.name").alias("name"), _named(F.col("a.type")).alias("type"))
+    args = _once(args, "operation", "name")
+    pid, probed = U.parameter_id(F.col("operation"), F.col("name"), F.lit("arg")), F.lit(True)
     named = F.concat(F.lit("obj:"), F.col("name"))
     # within one document: the type must be among those that the same schema emits
     refs = fields.join(objects.select("webapp", F.col("name").alias("returns")), ["webapp", "returns"], "left_semi")
     return O.union_observations(
-        O.nodes(objects, "ObjectType", named, 2.0, kind=F.col("kind"), field_count=F.col("field_count")),
-        O.nodes(fields, "Operation", F.col("operation"), 2.0, graphql_kind=F.col("kind"), field=F.col("field"), return_type=F.col("returns"), webapp=F.col("webapp")), O.edges(fields, "exposes", F.col("webapp"), F.col("operation"), 2.0),
-        O.edges(refs, "references_object", F.col("operation"), F.concat(F.lit("obj:"), F.col("returns")), 2.0),
-        O.nodes(args, "Parameter", pid, 2.0, name=F.col("name"), type=F.col("type")), O.edges(args, "takes", F.col("operation"), pid, 2.0),
+        O.nodes(objects, "ObjectType", named, 2.0, ENUMERATED, active_probed=probed, kind=F.col("kind"), field_count=F.col("field_count")),
+        O.nodes(fields, "Operation", F.col("operation"), 2.0, {"param_mined": True, "flow_mapped": False}, active_probed=probed, graphql_kind=F.col("kind"), field=F.col("field"), return_type=F.coalesce("returns", F.lit("")), webapp=F.col("webapp")),
+        O.edges(fields, "exposes", F.col("webapp"), F.col("operation"), 2.0, active_probed=probed),
+        O.edges(refs, "references_object", F.col("operation"), F.concat(F.lit("obj:"), F.col("returns")), 2.0, active_probed=probed),
+        O.nodes(args, "Parameter", pid, 2.0, ENUMERATED, **{"active_probed": probed, "name": F.col("name"), "in": F.lit("argument"), "type": F.coalesce("type", F.lit(""))}), O.edges(args, "takes", F.col("operation"), pid, 2.0, active_probed=probed),
     )
 
 
+def disabled_introspection(schemas: DataFrame) -> DataFrame:
+    """(url, body) of introspection answers whose errors say that there is no schema to read: (webapp, reason)."""
+    rows = in_scope(schemas, None, "graphql_introspect", portless=True)
+    errors = member(F.col("body"), "errors")
+    has = F.from_json("body", _SCHEMA)["data"]["__schema"].isNotNull()
+    return rows.where(errors.isNotNull() & ~has).select("webapp", F.coalesce(F.get_json_object(errors, "$[0].message"), F.lit("")).alias("reason")).distinct()
+
+
 def safe_url(url: Column) -> Column:
     """A web URL on a host name without user and fragment, its query kept; else null."""
     host = U.canonical_host(U.netloc_of(url))
@@ -191,54 +241,70 @@ def kid_set_digest(kids: Column) -> Column:
     return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(kids)), "\n"), 256), 1, 16)
 
 
-def identity_metadata(docs: DataFrame, rules: DataFrame) -> DataFrame:
+@extractor("oidc_discovery", "AuthScheme", "Operation", "Token", rule_id="oidc-metadata")
+def identity_observations(docs: DataFrame, rules: DataFrame, jwks: DataFrame | None = None, drops: Observation | None = None) -> DataFrame:
+    """identity_metadata() of discovery documents (url, body), and key_sets() of the key sets that jwks (url, body, and the
+    issuing scheme where it is known) holds."""
+    found = identity_metadata(docs, rules, drops)
+    return found if jwks is None else O.union_observations(found, key_sets(jwks, rules))
+
+
+def identity_metadata(docs: DataFrame, rules: DataFrame, drops: Observation | None = None) -> DataFrame:
     """(url, body) of discovery documents -> authentication schemes with the allow-listed fields, and the declared
     endpoints as operations, each only if its own host is in scope."""
     body = F.col("body")
     urls = {k: safe_url(member(body, k)) for k in URL_FIELDS}
     lists = {k: F.array_sort(F.array_distinct(F.filter(F.transform(as_list(member(body, k)), F.trim), lambda x: x != ""))) for k in LIST_FIELDS}
-    host = U.canonical_host(U.netloc_of(F.col("url")))
-    app = U.webapp_id(U.scheme_of(F.col("url")), host, U.port_of(F.col("url")))
-    rows = docs.where(F.trim("body").startswith("{")).select(app.alias("webapp"), F.regexp_replace(app, r"^web:[a-z]+://", "").alias("authority"), *(v.alias(k) for k, v in urls.items()), *(F.when(F.size(v) > 0, v).alias(k) for k, v in lists.items()))
+    bound = in_scope(docs, rules, "oidc_discovery", drops)
+    rows = bound.where(F.trim("body").startswith("{")).select("webapp", *_BOUND, F.regexp_replace("webapp", r"^web:[a-z]+://", "").alias("authority"), *(v.alias(k) for k, v in urls.items()), *(F.when(F.size(v) > 0, v).alias(k) for k, v in lists.items()))
     rows = rows.where(F.coalesce(*(F.col(k).cast("string") for k in (*URL_FIELDS, *LIST_FIELDS))).isNotNull())
     scheme = F.concat(F.lit("auth:"), F.col("authority"), F.lit(":oidc"))
     mapped = F.coalesce("grant_types_supported", "response_types_supported").isNotNull()
-    ends = rows.select(scheme.alias("scheme"), F.explode(F.array(*(F.struct(F.col(k).alias("url"), F.lit(m).alias("method"), F.lit(role).alias("role")) for k, m, role in ENDPOINTS))).alias("e")).select("scheme", "e.*").where("url is not null")
-    ends = bind_scope(ends.withColumn("host", U.canonical_host(U.netloc_of(F.col("url")))), "host", rules).where("verdict = 'in_scope'")
-    target = U.operation_id(F.col("method"), U.route_id(U.webapp_id(U.scheme_of(F.col("url")), F.col("host"), U.port_of(F.col("url"))), U.path_template(U.path_of(F.col("url")))))
+    ends = rows.select("proof", "region", F.explode(F.array(*(F.struct(F.col(k).alias("url"), F.lit(m).alias("method"), F.lit(role).alias("role")) for k, m, role in ENDPOINTS))).alias("e")).select("proof", "region", "e.*").where("url is not null")
+    ends = retainable(bind_scope(ends.withColumn("host", U.canonical_host(U.netloc_of(F.col("url")))), "host", rules))
+    owner = U.webapp_id(U.scheme_of(F.col("url")), F.col("host"), U.port_of(F.col("url")))
+    path = F.when(U.path_of(F.col("url")) == "", "/").otherwise(U.path_of(F.col("url")))
+    ends = _once(ends.select("proof", "region", "verdict", "rule_matched", "method", "role", owner.alias("webapp"), path.alias("path")), "webapp", "path", "method", "role")
+    target, probed = U.operation_id(F.col("method"), U.route_id(F.col("webapp"), F.col("path"))), F.lit(True)
     return O.union_observations(
-        O.nodes(rows, "AuthScheme", scheme, 2.0, flow_mapped=mapped, **{k: F.col(k) for k in (*URL_FIELDS, *LIST_FIELDS)}), O.edges(rows, "authenticates_with", F.col("webapp"), scheme, 2.0),
-        O.nodes(ends, "Operation", target, 1.5, method=F.col("method"), role=F.col("role")), O.edges(ends, "exposes", F.col("scheme"), target, 1.5),
+        O.nodes(rows, "AuthScheme", scheme, 2.0, {"fingerprinted": True, "flow_mapped": F.when(mapped, True)}, active_probed=probed, **{k: F.col(k) for k in (*URL_FIELDS, *LIST_FIELDS)}),
+        O.edges(rows, "authenticates_with", F.col("webapp"), scheme, 2.0, active_probed=probed),
+        O.nodes(ends, "Operation", target, 1.5, ENUMERATED, active_probed=probed, method=F.col("method"), path_template=F.col("path"), endpoint_role=F.col("role"), webapp=F.col("webapp")),
+        O.edges(ends, "exposes", F.col("webapp"), target, 1.5, active_probed=probed),
     )
 
 
 def sanitized_keys(jwks: DataFrame) -> DataFrame:
     """(url, body) of key sets -> (url, kids, algs, keys, n_redacted): keys as maps by key id, members of private keys redacted."""
     keys = F.filter(F.transform(as_list(member(F.col("body"), "keys")), as_object), lambda k: k.isNotNull())
-    rows = jwks.where(F.trim("body").startswith("{")).select("url", keys.alias("raw"))
+    rest = [c for c in jwks.columns if c not in ("url", "body")]
+    rows = jwks.where(F.trim("body").startswith("{")).select("url", *rest, keys.alias("raw"))
     safe = F.transform("raw", lambda k: F.transform_values(k, lambda name, v: F.when(name.isin(*PRIVATE_JWK), redact(v)).otherwise(v)))
     tokens = lambda name: F.array_sort(F.array_distinct(F.filter(F.transform("raw", lambda k: F.trim(F.try_element_at(k, F.lit(name)))), lambda x: x.isNotNull() & (x != ""))))
     hidden = F.aggregate("raw", F.lit(0), lambda n, k: n + F.size(F.filter(F.map_keys(k), lambda name: name.isin(*PRIVATE_JWK))))
     ordered = F.array_sort(F.transform(safe, lambda k: F.struct(F.coalesce(F.try_element_at(k, F.lit("kid")), F.lit("")).alias("kid"), F.to_json(k).alias("key"))))
-    return rows.select("url", tokens("kid").alias("kids"), tokens("alg").alias("algs"), F.transform(ordered, lambda x: x["key"]).alias("keys"), hidden.alias("n_redacted"))
+    return rows.select("url", *rest, tokens("kid").alias("kids"), tokens("alg").alias("algs"), F.transform(ordered, lambda x: x["key"]).alias("keys"), hidden.alias("n_redacted"))
 
 
-def key_sets(jwks: DataFrame) -> DataFrame:
-    """Token observations of key sets, known by the digest of their key ids; sets without an id give none."""
-    rows = sanitized_keys(jwks).where(F.size("kids") > 0)
+def key_sets(jwks: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Token observations of key sets (url, body and, where known, scheme: the issuer's), known by the digest of their key ids;
+    sets without an id give none. What proves a set is its redacted form."""
+    rows = sanitized_keys(in_scope(jwks, rules, "oidc_discovery")).where(F.size("kids") > 0).withColumn("proof", F.array(F.sha2(F.to_json("keys"), 256)))
     token = F.concat(F.lit("tok:"), kid_set_digest(F.col("kids")))
-    scheme = F.concat(F.lit("auth:"), U.canonical_host(U.netloc_of(F.col("url"))), F.lit(":oidc"))
-    return O.union_observations(O.nodes(rows, "Token", token, 2.0, kids=F.col("kids"), algs=F.col("algs")), O.edges(rows, "issued_by", token, scheme, 2.0))
+    own = F.concat(F.lit("auth:"), F.regexp_replace("webapp", r"^web:[a-z]+://", ""), F.lit(":oidc"))
+    scheme, probed = F.coalesce("scheme", own) if "scheme" in rows.columns else own, F.lit(True)
+    return O.union_observations(O.nodes(rows, "Token", token, 2.0, FINGERPRINTED, "S1", active_probed=probed, kids=F.col("kids"), algs=F.col("algs")), O.edges(rows, "issued_by", token, scheme, 2.0, active_probed=probed))
 
 
-def app_associations(docs: DataFrame) -> DataFrame:
+@extractor("associated_domains", "AuthScheme", "Route", "Hypothesis")
+def app_associations(docs: DataFrame, rules: DataFrame | None = None, drops: Observation | None = None) -> DataFrame:
     """(url, kind, body), kind applinks or assetlinks -> authentication schemes, declared routes and leads.
 
     Application links have details as a list, or as a map by application; paths are given as such or as components.
     A path with NOT before it is an exclusion."""
-    body, host = F.col("body"), U.canonical_host(U.netloc_of(F.col("url")))
-    app = U.webapp_id(U.scheme_of(F.col("url")), host, U.port_of(F.col("url")))
-    based = docs.select("kind", "body", host.alias("host"), app.alias("webapp"))
+    body = F.col("body")
+    based = in_scope(docs, rules, "associated_domains", drops)
+    kept = ["host", "webapp", "url", *_bound(based)]
     clean = lambda a: F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x.isNotNull() & (x != "")))
     details = member(member(body, "applinks"), "details")
     listed = F.transform(as_list(details), lambda d: F.struct(F.coalesce(member(d, "appID"), member(d, "appId")).alias("app"), d.alias("d")))
@@ -247,22 +313,36 @@ def app_associations(docs: DataFrame) -> DataFrame:
     apps = F.flatten(F.transform(entries, lambda e: F.concat(F.array(e["app"]), as_list(member(e["d"], "appIDs")))))
     paths = F.flatten(F.transform(entries, lambda e: F.concat(as_list(member(e["d"], "paths")), F.transform(as_list(member(e["d"], "components")), lambda c: F.coalesce(member(c, "/"), member(c, "path"))))))
     web = as_list(member(member(body, "webcredentials"), "apps"))
-    links = based.where((F.col("kind") == "applinks") & F.trim("body").startswith("{")).select("host", "webapp", clean(apps).alias("app_ids"), clean(paths).alias("paths"), clean(web).alias("webcredentials"))
+    links = based.where((F.col("kind") == "applinks") & F.trim("body").startswith("{")).select(*kept, clean(apps).alias("app_ids"), clean(paths).alias("paths"), clean(web).alias("webcredentials"))
     statements = as_list(body)
     target = lambda space: F.filter(statements, lambda s: member(member(s, "target"), "namespace") == space)
     packages = F.transform(target("android_app"), lambda s: member(member(s, "target"), "package_name"))
     prints = F.flatten(F.transform(target("android_app"), lambda s: as_list(member(member(s, "target"), "sha256_cert_fingerprints"))))
     sites = F.transform(target("web"), lambda s: member(member(s, "target"), "site"))
     relations = F.flatten(F.transform(statements, lambda s: as_list(member(s, "relation"))))
-    assets = based.where((F.col("kind") == "assetlinks") & F.trim("body").startswith("[")).select("host", "webapp", clean(relations).alias("relations"), clean(packages).alias("packages"), clean(prints).alias("fingerprints"), clean(sites).alias("web_targets"))
+    assets = based.where((F.col("kind") == "assetlinks") & F.trim("body").startswith("[")).select(*kept, clean(relations).alias("relations"), clean(packages).alias("packages"), clean(prints).alias("fingerprints"), clean(sites).alias("web_targets"))
     scheme = lambda kind: F.concat(F.lit("auth:"), F.col("host"), F.lit(f":{kind}"))
-    declared = links.select("webapp", F.explode("paths").alias("raw")).select("webapp", F.regexp_replace("raw", "^NOT ", "").alias("pattern"), F.col("raw").startswith("NOT ").alias("excluded")).where(F.col("pattern").startswith("/"))
+    declared = links.select(*kept, F.explode("paths").alias("raw")).select(*kept, F.regexp_replace("raw", "^NOT ", "").alias("pattern"), F.col("raw").startswith("NOT ").alias("excluded")).where(F.col("pattern").startswith("/"))
     route = U.route_id(F.col("webapp"), F.col("pattern"))
-    lead = lambda df, kind: O.nodes(df, "Hypothesis", U.hypothesis_id(F.lit(kind), F.col("host")), 0.0, host=F.col("host"))
+    probed = F.lit(True)
+    declared = _once(declared, "webapp", "pattern", "excluded")
+    lead = lambda df, kind, note: O.nodes(df, "Hypothesis", U.hypothesis_id(F.lit(kind), F.col("host")), 0.0, ENUMERATED, active_probed=probed, note=F.lit(note), host=F.col("host"))
+    told = lambda paths: {"fingerprinted": F.lit(True), "flow_mapped": paths}
+    # Kinds of documents and the words of notes.
     return O.union_observations(
-        O.nodes(links, "AuthScheme", scheme("applinks"), 1.6, app_ids=F.col("app_ids"), declared_paths=F.col("paths"), webcredentials_apps=F.col("webcredentials"), has_webcredentials=F.size("webcredentials") > 0),
-        O.nodes(assets, "AuthScheme", scheme("assetlinks"), 1.6, relations=F.col("relations"), packages=F.col("packages"), sha256_cert_fingerprints=F.col("fingerprints"), web_targets=F.col("web_targets")),
-        O.edges(links, "authenticates_with", F.col("webapp"), scheme("applinks"), 1.6), O.edges(assets, "authenticates_with", F.col("webapp"), scheme("assetlinks"), 1.6),
-        O.nodes(declared, "Route", route, 1.6, pattern=F.col("pattern"), excluded=F.col("excluded")), O.edges(declared, "exposes", F.col("webapp"), route, 1.6),
-        lead(links.where(F.size("app_ids") == 0), "aasa-declares-no-app"), lead(assets.where((F.size("packages") > 0) & (F.size("fingerprints") == 0)), "assetlinks-without-fingerprint"),
+        O.nodes(
+            links, "AuthScheme", scheme("applinks"), 1.6, told(F.size("paths") > 0), active_probed=probed, kind=F.lit("apple-app-site-association"), app_ids=F.col("app_ids"), declared_paths=F.col("paths"),
+            webcredentials_apps=F.col("webcredentials"), has_webcredentials=F.size("webcredentials") > 0, source_url=F.col("url"),
+        ),
+        O.nodes(
+            assets, "AuthScheme", scheme("assetlinks"), 1.6, told(F.lit(False)), active_probed=probed, kind=F.lit("assetlinks.json"), relations=F.col("relations"), packages=F.col("packages"), sha256_cert_fingerprints=F.col("fingerprints"),
+            web_targets=F.col("web_targets"), source_url=F.col("url"),
+        ),
+        O.edges(links, "authenticates_with", F.col("webapp"), scheme("applinks"), 0.0, active_probed=probed), O.edges(assets, "authenticates_with", F.col("webapp"), scheme("assetlinks"), 0.0, active_probed=probed),
+        O.nodes(declared, "Route", route, 1.6, ENUMERATED, active_probed=probed, declared_by=F.lit("applinks"), pattern=F.col("pattern"), excluded=F.col("excluded")), O.edges(declared, "exposes", F.col("webapp"), route, 0.0, active_probed=probed),
+        lead(links.where(F.size("app_ids") == 0), "aasa-declares-no-app", "AASA served but declares no appID — a stale or broken association"),
+        lead(
+            assets.where((F.size("packages") > 0) & (F.size("fingerprints") == 0)), "assetlinks-without-fingerprint",
+            "assetlinks declares an android_app with no signing fingerprint — any app claiming that package name would match",
+        ),
     )

@@ -63,7 +63,7 @@ def test_identity_metadata(spark):
     doc = {"issuer": "https://id.example.com/", "token_endpoint": "https://user@id.example.com/token", "authorization_endpoint": "https://login.other.net/auth", "grant_types_supported": ["b", "a", "a"], "client_secret": "hush"}
     found = contracts.identity_metadata(spark.createDataFrame([("https://id.example.com/.well-known/openid-configuration", json.dumps(doc)), ("https://x.example.com/", "[]")], "url string, body string"), rules(spark))
     scheme = found.where("type = 'AuthScheme'").first()
-    assert scheme.id == "auth:id.example.com:oidc" and scheme.attrs["grant_types_supported"] == '["a","b"]' and scheme.attrs["flow_mapped"] == "true" and "client_secret" not in scheme.attrs
+    assert scheme.id == "auth:id.example.com:oidc" and scheme.attrs["grant_types_supported"] == '["a","b"]' and scheme.coverage == {"fingerprinted": True, "flow_mapped": True} and "client_secret" not in scheme.attrs
     assert ids(found, "Operation") == ["op:POST:route:web:https://id.example.com/token"]
 
 
@@ -114,7 +114,7 @@ def test_services_and_ledger(spark):
     assert {r.ip: r.ledger_key for r in known.ledger_key(hosts, edges).collect()} == {"203.0.113.1": "203.0.113.1", "203.0.113.2": "example.net", "203.0.113.3": "example.co.uk", "203.0.113.4": "203.0.113.4"}
     assert {r.ip: r.shared_tenant for r in known.shared_tenant(hosts, edges).collect()} == {"203.0.113.1": True, "203.0.113.2": False, "203.0.113.3": False, "203.0.113.4": True}
     connects = spark.createDataFrame([("203.0.113.1", 443, "TCP", "open"), ("203.0.113.2", 22, "tcp", "closed"), ("203.0.113.9", 80, "tcp", "open")], "ip string, port int, proto string, outcome string")
-    found = probes.service_observations(connects, hosts, edges)
+    found = probes.service_observations(connects, hosts, edges, rules(spark))
     assert ids(found, "Service") == ["svc:203.0.113.1:443/tcp", "svc:203.0.113.9:80/tcp"] and [r.frm for r in found.where("type = 'hosted_on'").collect()] == ["svc:203.0.113.1:443/tcp"]
 
 

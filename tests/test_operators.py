@@ -1,8 +1,11 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from assetgraph.functions import confidence as C
 from assetgraph.functions import ontology, verbs
 from assetgraph.operators import audit, correlate, extract, fold, gaps, report, scope
 from assetgraph.sources import events, responses
@@ -70,11 +73,43 @@ def test_fold_equals_a_plain_replay(spark):
     assert {r.id: (r.base, r.fork, r.attrs, r.sources, round(r.log_odds, 6), r.first_seen, r.last_seen, r.observations) for r in got.collect()} == want
 
 
-def test_forks_leave_before_the_next_rows_are_read(spark):
-    read = []
-    table = spark.createDataFrame([("hot", k, {"a": str(k)}) for k in range(50)], "id string, seq long, attrs map<string,string>").toArrow().combine_chunks()
-    out = fold._number_forks(read.append(k) or b for k, b in enumerate(table.to_batches(max_chunksize=10)))
-    assert next(out).column("fork").to_pylist() == list(range(10)) and read == [0] and sum(x.num_rows for x in out) == 40
+def test_forks_by_rounds_equal_a_plain_replay(spark):
+    """Random attributes of many kinds: empty values never contradict and are never filled, 1, 1.0 and true are equal, lists are
+    no scalars."""
+    draw = random.Random(5)
+    values = ['"x"', '"y"', '""', "null", "1", "1.0", "true", "0", "false", "2", "[1]", "[2]", "{}"]
+    rows = [(k, f"i{draw.choice([0, 0, 0, 0, draw.randrange(40)])}", {f"a{draw.randrange(6)}": draw.choice(values) for _ in range(draw.randrange(4))}) for k in draw.sample(range(9000), 800)]
+    got = {r.seq: r.fork for r in fold.numbered(spark.createDataFrame(rows, "seq long, id string, attrs map<string,string>").repartition(5)).collect()}
+    empty = (None, "", [], {})
+    want, base, forks = {}, {}, {}
+    for seq, i, attrs in sorted(rows, key=lambda r: r[0]):
+        own = {k: json.loads(v) for k, v in attrs.items()}
+        known = base.setdefault(i, {})
+        if any(k in known and known[k] not in empty and v not in empty and not isinstance(v, (list, dict)) and not isinstance(known[k], (list, dict)) and known[k] != v for k, v in own.items()):
+            forks[i] = forks.get(i, 0) + 1
+            want[seq] = forks[i]
+        else:
+            want[seq] = 0
+            for k, v in own.items():
+                known.setdefault(k, v)
+    assert got == want and max(want.values()) > 100
+
+
+def test_forking_needs_no_python_and_no_task_holds_an_id(spark):
+    rows = spark.range(5000).selectExpr("id as seq", "'hot' as id", "map('a', cast(id % 2 as string)) as attrs")
+    out = fold.numbered(rows.repartition(6))
+    assert "Python" not in out._jdf.queryExecution().toString() and "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert out.where("fork > 0").agg(F.count("*"), F.max("fork"), F.count_distinct("fork")).first()[:] == (2500, 2500, 2500)
+
+
+def test_replay_keeps_penalties_sources_and_fork_marks(spark):
+    told = datum("n", "1", attrs={"k": 1})
+    told["confidence"] = {"log_odds": 1.0, "independent_sources": 4, "penalties": [{"reason": "old", "logodds_delta": -2.0}], "forked_from": "host:0"}
+    rows = [(1, "node_upserted", json.dumps({"node": told})), (2, "node_upserted", json.dumps({"node": datum("n", "2", "u", {"k": 1.0})}))]
+    graph, _ = fold.replay(spark.createDataFrame(rows, "seq long, kind string, payload string"))
+    r = graph.first()
+    assert graph.count() == 1 and r.independent_sources == 5 and r.forked_from == "host:0" and [tuple(x) for x in r.penalties] == [("old", -2.0)] and r.log_odds == pytest.approx(1.8)
+    assert graph.select(C.probability(F.col("log_odds"), F.col("penalties")).alias("p")).first().p == pytest.approx(1 / (1 + math.exp(0.2)))
 
 
 def datum(i, ts, tool="t", attrs=None, coverage=None, proof=None, **more):
