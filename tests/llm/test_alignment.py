@@ -46,8 +46,9 @@ def aligned(docs, **how):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_odd_texts(spark, monkeypatch, small):
-    if small:  # caches that overflow and chunks of a few characters give the same
+    if small:  # caches that overflow and chunks of a few characters or tokens give the same
         monkeypatch.setattr(alignment, "CHUNK", 10)
+        monkeypatch.setattr(alignment, "TOKENS", 10)
         monkeypatch.setattr(alignment, "CACHE_WORDS", 3)
     texts = [*ODD, "word and " * 30_000]
     docs = spark.createDataFrame([(k, t, "x", 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, id string, pair long, groups string").repartition(7)
@@ -70,9 +71,25 @@ def test_the_query(spark):
     assert got == {k: (*x[:6], hashlib.sha256(x[6].encode()).hexdigest() if x[6] else "") for k, x in want.items()}
 
 
-def test_files_that_join_words_are_not_cut():
+def test_ids_by_ranks_are_those_of_the_file():
     pair = alignment.tokenizers(alignment.TOKENIZER_A, alignment.TOKENIZER_B)
-    assert pair.plain and pair.bound() < 500_000
+    assert pair.plain and pair.bound() < 500_000 and pair.fast is not None
+    words = [" " + w for t in [*ODD, "the cat's 12345 <|endoftext|> résumé naïve"] for w in (t or "x").split(" ")]
+    for some in (words, [w for w in words if len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]):
+        (flat, n), _ = pair.encode(some)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [x.ids for x in pair.a.encode_batch(some, add_special_tokens=False)]
+
+
+def test_without_ranks_and_cuts_the_result_is_the_same(spark, monkeypatch):
+    texts = [t for t in ODD if t][:8]
+    pair = alignment.tokenizers(alignment.TOKENIZER_A, alignment.TOKENIZER_B)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = alignment.Words(pair)
+    before = [[x.tolist() for x in side] for side in words.ids(*words.of(texts))]
+    monkeypatch.setattr(pair, "plain", False)
+    monkeypatch.setattr(pair, "fast", None)
+    words.clear()
+    assert [[x.tolist() for x in side] for side in words.ids(*words.of(texts))] == before and docs.count() == 8
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 100, 20_000])
