@@ -15,6 +15,7 @@ from assetgraph.functions.confidence import redact, redact_secret_shaped
 from assetgraph.operators import observe as O
 from assetgraph.operators.extract import ENUMERATED, FINGERPRINTED, extractor, retainable
 from assetgraph.operators.scope import bind_scope
+from assetgraph.sources.shared import written
 
 # Methods of a path item, in order; depth of references; metadata fields; members of private keys.
 METHODS = ("get", "head", "post", "put", "patch", "delete", "options", "trace")
@@ -160,7 +161,7 @@ def api_contracts(specs: DataFrame, rules: DataFrame | None = None, drops: Obser
     route = U.route_id(F.col("webapp"), F.col("template"))
     op = U.operation_id(F.col("method"), route)
     kept = _bound(ops)
-    ops = _once(ops, "webapp", "template", "method")
+    ops = written(_once(ops, "webapp", "template", "method"), "contracts")
     routes = _once(ops.select("webapp", "template", "spec_version", *kept), "webapp", "template")
     params = contract_parameters(ops)
     pid, probed = U.parameter_id(F.col("operation"), F.col("name"), F.col("location")), F.lit(True)
@@ -198,6 +199,7 @@ def graphql_contracts(schemas: DataFrame, rules: DataFrame | None = None, drops:
     kept = _bound(docs)
     route = U.route_id(F.col("webapp"), U.path_template(U.path_of(F.col("url"))))
     docs = docs.select("webapp", *kept, route.alias("route"), F.from_json("body", _SCHEMA)["data"]["__schema"].alias("s")).where("s is not null")
+    docs = written(docs, "schemas")
     types = docs.select("webapp", "route", *kept, "s.queryType", "s.mutationType", F.explode("s.types").alias("t")).where(F.col("t.name").rlike(GRAPHQL_NAME))
     objects = types.where(~F.col("t.name").startswith("__")).select("webapp", *kept, F.col("t.name").alias("name"), F.col("t.kind").alias("kind"), F.coalesce(F.array_size("t.fields"), F.lit(0)).alias("field_count"))
     objects = _once(objects, "webapp", "name")
@@ -257,7 +259,7 @@ def identity_metadata(docs: DataFrame, rules: DataFrame, drops: Observation | No
     lists = {k: F.array_sort(F.array_distinct(F.filter(F.transform(as_list(member(body, k)), F.trim), lambda x: x != ""))) for k in LIST_FIELDS}
     bound = in_scope(docs, rules, "oidc_discovery", drops)
     rows = bound.where(F.trim("body").startswith("{")).select("webapp", *_BOUND, F.regexp_replace("webapp", r"^web:[a-z]+://", "").alias("authority"), *(v.alias(k) for k, v in urls.items()), *(F.when(F.size(v) > 0, v).alias(k) for k, v in lists.items()))
-    rows = rows.where(F.coalesce(*(F.col(k).cast("string") for k in (*URL_FIELDS, *LIST_FIELDS))).isNotNull())
+    rows = written(rows.where(F.coalesce(*(F.col(k).cast("string") for k in (*URL_FIELDS, *LIST_FIELDS))).isNotNull()), "metadata")
     scheme = F.concat(F.lit("auth:"), F.col("authority"), F.lit(":oidc"))
     mapped = F.coalesce("grant_types_supported", "response_types_supported").isNotNull()
     ends = rows.select("proof", "region", F.explode(F.array(*(F.struct(F.col(k).alias("url"), F.lit(m).alias("method"), F.lit(role).alias("role")) for k, m, role in ENDPOINTS))).alias("e")).select("proof", "region", "e.*").where("url is not null")
@@ -303,7 +305,7 @@ def app_associations(docs: DataFrame, rules: DataFrame | None = None, drops: Obs
     Application links have details as a list, or as a map by application; paths are given as such or as components.
     A path with NOT before it is an exclusion."""
     body = F.col("body")
-    based = in_scope(docs, rules, "associated_domains", drops)
+    based = written(in_scope(docs, rules, "associated_domains", drops), "associations")
     kept = ["host", "webapp", "url", *_bound(based)]
     clean = lambda a: F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x.isNotNull() & (x != "")))
     details = member(member(body, "applinks"), "details")

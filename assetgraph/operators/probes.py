@@ -13,6 +13,7 @@ from assetgraph.operators import observe as O
 from assetgraph.operators.known import CANDIDATE, drop_known, known_cnames, shared_tenant
 from assetgraph.operators.extract import ENUMERATED, FINGERPRINTED, UNKNOWN, extractor, retainable
 from assetgraph.operators.scope import bind_scope
+from assetgraph.sources.shared import written
 
 # Resolver and socket error names by outcome; most addresses, aliases, names and candidates kept.
 NXDOMAIN = ("EAI_NONAME",)
@@ -60,7 +61,7 @@ def dns_answers(answers: DataFrame, rules: DataFrame, nodes: DataFrame, edges: D
     (id, cname_targets) is corroborated. A known name that is gone but still points somewhere is a lead."""
     rows = answers.withColumns({"name": U.canonical_host(F.col("name")), "outcome": dns_outcome(F.col("errno"))})
     rows = retainable(bind_scope(rows, "name", rules), drops=drops)
-    rows = O.proved(rows, F.concat(F.lit("resolver:"), "name"), "name", "outcome", "canonical", "aliases", "addresses")
+    rows = written(O.proved(rows, F.concat(F.lit("resolver:"), "name"), "name", "outcome", "canonical", "aliases", "addresses"), "answers")
     good = rows.where("outcome = 'resolved'")
     chain = F.transform(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))), U.canonical_host)
     alias = F.filter(chain, lambda x: (x != "") & (x != F.col("name")) & U.valid_fqdn(x))
@@ -100,7 +101,7 @@ def service_observations(connects: DataFrame, hosts: DataFrame, edges: DataFrame
     proto = F.lower("proto").alias("proto")
     scans = connects.groupBy("ip").agg(F.array_sort(F.collect_set(F.struct("port", proto, "outcome"))).alias("ports"))  # of one address
     scans = O.proved(retainable(bind_scope(scans, "ip", rules), drops=drops), F.concat(F.lit("port_scan:"), "ip"), "ip", "ports").drop("ports")
-    found = connects.where("outcome = 'open'").select("ip", "port", proto).distinct().join(scans, "ip")
+    found = written(connects.where("outcome = 'open'").select("ip", "port", proto).distinct().join(scans, "ip"), "services")
     probed = F.lit(True)
     told = shared_tenant(found.join(hosts.select("ip", "attrs"), "ip", "left"), edges)
     sid = U.service_id(F.col("ip"), F.col("port"), F.col("proto"))
@@ -122,6 +123,7 @@ def tls_observations(certs: DataFrame, rules: DataFrame, nodes: DataFrame, drops
     candidates: names on a certificate that are new and in scope, at most MAX_CANDIDATES of each host's by name."""
     rows = retainable(bind_scope(certificate_names(certs), "host", rules), drops=drops)
     rows = O.proved(rows, F.concat(F.lit("tls_probe:"), "host"), "host", "serial", "not_before", "not_after", "sans", "tls_version", F.sha2("der", 256).alias("der"))
+    rows = written(rows, "certificates")
     stamp = lambda c: F.date_format(F.coalesce(F.try_to_timestamp(F.regexp_replace(c, r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy z")), F.col(c).try_cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     app, cert = U.webapp_id(F.lit("https"), F.col("host")), U.certificate_id(F.col("der"))
     held = rows.where("der is not null")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from assetgraph.functions import confidence as C
 from assetgraph.functions import urls as U
-from assetgraph.operators import audit, contracts, correlate, extract, fold, gaps, known, report, scope
+from assetgraph.operators import audit, contracts, correlate, extract, fold, gaps, known, observe, report, scope
 from assetgraph.sources import events as E
+from assetgraph.sources.shared import written
 
 INCLUDE, EXCLUDE, PREFILTER = ["*.example.com", "*.example.org"], ["*.spam-farm.example.org"], ["*.example.net"]
 NETWORKS = ["10.0.0.0/8", "100.0.0.0/6", "192.0.0.0/3"]
@@ -83,9 +84,7 @@ _VALID = r"regexp_matches(host, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-
 SELECT 'dns:' || host AS id, 'kept' AS outcome FROM h WHERE verdict = 'in_scope' UNION ALL SELECT 'dns:' || host, verdict FROM h WHERE verdict <> 'in_scope'""")
 def certificate_names(spark, sf_dir):
     """A certificate per page that names its host, also as a wildcard, and a mail address; logged by registrable domain."""
-    host = F.col("host")
-    names = F.struct(F.concat(host, F.lit("\n*."), host, F.lit("\nadmin@"), host).alias("name_value"))
-    logged = page_hosts(spark, sf_dir).select("host").groupBy(U.registrable_domain(host).alias("apex")).agg(F.to_json(F.collect_list(names)).alias("body"))
+    logged = page_certificates(spark, sf_dir)
     rules = scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER)
     kept = extract.ct_names(logged, rules).select("id", F.lit("kept").alias("outcome"))
     return kept.unionByName(extract.ct_drops(logged, rules).select(F.concat(F.lit("dns:"), "host").alias("id"), F.col("verdict").alias("outcome")))
@@ -610,12 +609,15 @@ def orphan_guard(spark, sf_dir):
 @query("""SELECT 'op:GET:route:web:https://c' || o_custkey || '.example.com/orders/' || o_orderkey AS operation, 'query' AS location, 'clerk' AS name, CASE WHEN o_orderstatus = 'F' THEN 'string' ELSE 'integer' END AS type FROM orders""")
 def api_contracts(spark, sf_dir):
     """A contract per customer, with a path per order; some operations override their path's parameter."""
+    return contracts.contract_parameters(contracts.contract_operations(order_contracts(spark, sf_dir))).select("operation", "location", "name", "type")
+
+
+def order_contracts(spark, sf_dir):
     clerk = lambda t: F.array(F.struct(F.lit("clerk").alias("name"), F.lit("query").alias("in"), F.struct(F.lit(t).alias("type")).alias("schema")))
     get = F.struct(F.col("o_orderpriority").alias("summary"), F.when(F.col("o_orderstatus") == "F", clerk("string")).alias("parameters"))
     path = F.struct(F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string")), F.struct(clerk("integer").alias("parameters"), get.alias("get")))
     specs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(path)).alias("paths"))
-    specs = specs.select(F.format_string("https://c%d.example.com/openapi.json", "o_custkey").alias("url"), F.to_json(F.struct(F.lit("3.0.0").alias("openapi"), "paths")).alias("body"))
-    return contracts.contract_parameters(contracts.contract_operations(specs)).select("operation", "location", "name", "type")
+    return specs.select(F.format_string("https://c%d.example.com/openapi.json", "o_custkey").alias("url"), F.to_json(F.struct(F.lit("3.0.0").alias("openapi"), "paths")).alias("body"))
 
 
 @query("""SELECT 'tok:' || substr(sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))), 1, 16) AS id, 'auth:c' || o_custkey || '.example.com:oidc' AS issuer FROM orders GROUP BY o_custkey""")
@@ -624,3 +626,70 @@ def key_set_tokens(spark, sf_dir):
     key = F.struct(F.col("o_orderkey").cast("string").alias("kid"), F.lit("RSA").alias("kty"))
     jwks = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(key).alias("keys")).select(F.format_string("https://c%d.example.com/jwks", "o_custkey").alias("url"), F.to_json(F.struct("keys")).alias("body"))
     return contracts.key_sets(jwks).where("kind = 'edge'").select(F.col("frm").alias("id"), F.col("to").alias("issuer"))
+
+
+def logged(spark, *jobs):
+    """The log that extraction jobs (name, tables) leave, one run after another."""
+    log = spark.createDataFrame([], E.EVENT)
+    for k, (name, *tables) in enumerate(jobs):
+        new, _ = extract.run_extractor(name, observe.Run(f"run-{k}", f"2026-01-0{1 + k} 00:00:00", "snap:1", k), log, *tables)
+        log = written(log.unionByName(new.select(*log.columns)), "log")
+    return log
+
+
+def node_gaps(log):
+    """The nodes of a log's graph with the rules that still fire for them, sorted."""
+    graph = written(fold.replay(log)[0], "graph")
+    nodes, edges = graph.where("kind = 'node'"), graph.where("kind = 'edge'")
+    rules = gaps.plan_gaps(nodes, edges, None, NOW, allow_active=True).where("rule <> 'reverify'").groupBy(F.col("node_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    return nodes.join(rules, "id", "left").withColumns({"rules": F.coalesce("rules", F.lit("")), "enumerated": F.coalesce(F.col("coverage")["enumerated"], F.lit(False)), "n_sources": F.col("independent_sources").cast("long"), "log_odds": F.round("log_odds", 9)}), edges
+
+
+def page_certificates(spark, sf_dir):
+    host = F.col("host")
+    names = F.struct(F.concat(host, F.lit("\n*."), host, F.lit("\nadmin@"), host).alias("name_value"))
+    return page_hosts(spark, sf_dir).select("host").groupBy(U.registrable_domain(host).alias("apex")).agg(F.to_json(F.sort_array(F.collect_list(names))).alias("body"))
+
+
+@query(rf"""WITH {_URLS}, h AS (SELECT DISTINCT host, {_VERDICT} AS verdict FROM u WHERE {_VALID}), k AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS apex FROM h WHERE verdict <> 'out_of_scope'),
+d AS (SELECT DISTINCT apex, CASE WHEN apex = 'example.net' THEN 'prefilter_only' ELSE 'in_scope' END AS verdict FROM k)
+SELECT 'dns:' || host AS id, verdict, CASE verdict WHEN 'in_scope' THEN 0.8 ELSE 0.0 END AS log_odds, CASE verdict WHEN 'in_scope' THEN 2 ELSE 1 END AS n_sources, TRUE AS enumerated, CASE verdict WHEN 'in_scope' THEN 'generate-candidates,probe-http,resolve-name' ELSE '' END AS rules FROM k
+UNION ALL SELECT 'domain:' || apex, verdict, 0.0, 1, verdict = 'prefilter_only', CASE verdict WHEN 'in_scope' THEN 'archive-mine,email-posture,enumerate-ct' ELSE '' END FROM d""")
+def certificate_graph(spark, sf_dir):
+    """The hosts of pages as seeds, then their certificates: names in scope have a second source, and their gap of enumeration
+    has closed, which opens that of candidates; their domains' gaps are still there."""
+    rules = scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER)
+    seeds = page_hosts(spark, sf_dir).select(F.col("host").alias("value"))
+    nodes, _ = node_gaps(logged(spark, ("seeds", seeds, rules), ("crtsh", page_certificates(spark, sf_dir), rules)))
+    return nodes.select("id", "verdict", "log_odds", "n_sources", "enumerated", "rules")
+
+
+@query(rf"""WITH {_URLS}, {_TEMPLATES},
+ok AS (SELECT scheme, host, 'web:' || scheme || '://' || host AS app, template, lpad(CAST(page_id AS VARCHAR), 14, '0') AS ts FROM t WHERE scheme IN ('http', 'https') AND template <> '' AND {_VERDICT} = 'in_scope'),
+w AS (SELECT app AS id, 'WebApp' AS type, min(ts) AS ts, count(DISTINCT template) AS n_exposed, host FROM ok GROUP BY app, host UNION ALL SELECT 'route:' || app || template, 'Route', min(ts), 0, host FROM ok GROUP BY app, template, host)
+SELECT id, type, '"' || ts || '"' AS stamp, n_exposed, 0.0 AS log_odds, TRUE AS enumerated, 'P' || CASE type WHEN 'WebApp' THEN 7 ELSE 30 END || 'D' AS half_life, host AS region, CASE type WHEN 'WebApp' THEN 'api-contract,auth-model,graphql-contract,mobile-association,tls-fingerprint' ELSE '' END AS rules FROM w""")
+def archive_graph(spark, sf_dir):
+    """Archived pages through the log into a graph: each application and route with the hash of its captures' host as evidence,
+    the routes that an application exposes, and the gaps that an archive leaves open. A second run of the same job adds nothing."""
+    rules = scope.scope_rules(spark, INCLUDE, EXCLUDE, PREFILTER)
+    captures = page_captures(spark, sf_dir).withColumn("proof", F.sha2(U.canonical_host(U.netloc_of(F.col("original"))), 256))
+    log = logged(spark, ("wayback", captures, rules), ("wayback", captures, rules))
+    nodes, edges = node_gaps(log)
+    exposed = edges.groupBy(F.col("frm").alias("id")).agg(F.count("*").alias("n_exposed"))
+    region = F.when((F.size("evidence") == 1) & (F.size("chain") == 1) & (F.col("observations") == 1), F.regexp_replace(F.col("evidence")[0]["region"], "^wayback:", ""))
+    return nodes.join(exposed, "id", "left").select("id", "type", F.col("attrs")["archived_timestamp"].alias("stamp"), F.coalesce("n_exposed", F.lit(0)).alias("n_exposed"), "log_odds", "enumerated", "half_life", region.alias("region"), "rules")
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'web:https://c' || c_custkey || '.example.com' AS id, 2.0 AS log_odds, coalesce(n, 0) AS n_routes, CASE WHEN c_nationkey % 2 = 0 THEN '"cloudflare"' END AS cdn,
+CASE WHEN n > 0 THEN 'auth-model,mobile-association,resolve-identity' ELSE 'api-contract,auth-model,graphql-contract,mobile-association,resolve-identity' END AS rules FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def contract_graph(spark, sf_dir):
+    """Responses of customers' applications, then the contracts of those with orders: their routes are known and typed, so the
+    gaps of contracts close."""
+    rules = scope.scope_rules(spark, ["*.example.com"])
+    headers = F.when(F.col("c_nationkey") % 2 == 0, F.create_map(F.lit("CF-Ray"), F.lit("1"))).otherwise(F.create_map(F.lit("Server"), F.lit("nginx")))
+    seen = table(spark, sf_dir, "customer").select(F.format_string("https://c%d.example.com/", "c_custkey").alias("url"), F.lit("HEAD").alias("method"), F.lit(200).alias("status"), headers.alias("headers"), F.lit(None).cast("string").alias("body"))
+    nodes, edges = node_gaps(logged(spark, ("http_probe", seen, rules), ("openapi_discovery", order_contracts(spark, sf_dir), rules)))
+    routes = edges.where("type = 'exposes' and to like 'route:%'").groupBy(F.col("frm").alias("id")).agg(F.count("*").alias("n_routes"))
+    apps = nodes.where("type = 'WebApp'").join(routes, "id", "left")
+    return apps.select("id", "log_odds", F.coalesce("n_routes", F.lit(0)).alias("n_routes"), F.col("attrs")["cdn_or_waf"].alias("cdn"), "rules")
