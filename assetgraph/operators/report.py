@@ -20,7 +20,7 @@ def flat_log(log: DataFrame) -> DataFrame:
     return log.select("seq", "ts", "run_id", "kind", *(F.get_json_object("payload", f"$.{c}").alias(c) for c in FIELDS))
 
 
-def _whole(log: DataFrame) -> DataFrame:
+def whole(log: DataFrame) -> DataFrame:
     return log.withColumns({c: F.lit(None).cast("string") for c in FIELDS if c not in log.columns})
 
 
@@ -30,6 +30,16 @@ def run_order(log: DataFrame) -> DataFrame:
     return runs.withColumn("position", F.row_number().over(Window.orderBy("first_seq")))
 
 
+def notable(id_: Column) -> Column:
+    """What a hypothesis is that a report names, else null."""
+    return F.create_map(*(F.lit(x) for pair in NOTABLE.items() for x in pair))[F.regexp_extract(F.coalesce(id_, F.lit("")), "^hyp:([^:]*):", 1)]
+
+
+def quiet() -> Column:
+    """A run learned nothing new."""
+    return (F.col("nodes_created") == 0) & (F.col("edges_created") == 0) & (F.col("forks") == 0) & (F.col("notable") == 0) & (F.col("drifts") == 0)
+
+
 def _made() -> Column:
     return F.coalesce(F.col("outcome") == "created", F.lit(False))
 
@@ -40,25 +50,25 @@ def run_delta(log: DataFrame) -> DataFrame:
     kind = F.col("kind")
     node, edge = kind == "node_upserted", kind == "edge_upserted"
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    what = F.create_map(*(F.lit(x) for pair in NOTABLE.items() for x in pair))[F.regexp_extract(F.coalesce("id", F.lit("")), "^hyp:([^:]*):", 1)]
-    out = _whole(log).groupBy("run_id").agg(
+    what = notable(F.col("id"))
+    out = whole(log).groupBy("run_id").agg(
         count(node & _made()).alias("nodes_created"), count(node & ~_made()).alias("nodes_merged"), count(edge & _made()).alias("edges_created"), count(kind == "contradiction_forked").alias("forks"),
         count(kind == "gap_dispatched").alias("gaps_dispatched"), count((kind == "gate_decision_recorded") & (F.col("decision") == "REFUSE")).alias("refusals"), count(kind == "rate_debit").alias("rate_debits"),
         count(kind == "third_party_debit").alias("third_party_debits"), count(kind == "invariant_violation").alias("violations"), F.min_by(F.when(kind == "invariant_violation", F.coalesce("code", F.lit("?"))), F.when(kind == "invariant_violation", F.col("seq"))).alias("first_violation"),
         count(kind == "scope_drift_detected").alias("drifts"), F.coalesce(F.max_by(F.when(kind == "loop_halted", F.col("reason")), F.when(kind == "loop_halted", F.col("seq"))), F.lit("")).alias("halted_because"),
         count(node & _made() & what.isNotNull()).alias("notable"), F.min_by("ts", "seq").alias("first_ts"), F.max_by("ts", "seq").alias("last_ts"),
     )
-    return out.withColumn("quiet", (F.col("nodes_created") == 0) & (F.col("edges_created") == 0) & (F.col("forks") == 0) & (F.col("notable") == 0) & (F.col("drifts") == 0))
+    return out.withColumn("quiet", quiet())
 
 
 def run_delta_by_type(log: DataFrame) -> DataFrame:
     """(run_id, type, created, merged) of nodes."""
-    return _whole(log).where("kind = 'node_upserted'").groupBy("run_id", F.coalesce("type", F.lit("?")).alias("type")).agg(F.count_if(_made()).alias("created"), F.count_if(~_made()).alias("merged"))
+    return whole(log).where("kind = 'node_upserted'").groupBy("run_id", F.coalesce("type", F.lit("?")).alias("type")).agg(F.count_if(_made()).alias("created"), F.count_if(~_made()).alias("merged"))
 
 
 def run_spend(log: DataFrame) -> DataFrame:
     """(run_id, ledger, target, n): debits of targets and of third parties."""
-    rows = _whole(log).where(F.col("kind").isin("rate_debit", "third_party_debit"))
+    rows = whole(log).where(F.col("kind").isin("rate_debit", "third_party_debit"))
     ledger = F.when(F.col("kind") == "rate_debit", "target").otherwise("third_party")
     target = F.coalesce(F.when(ledger == "target", F.col("target")).otherwise(F.col("source")), F.lit("?"))
     return rows.groupBy("run_id", ledger.alias("ledger"), target.alias("target")).agg(F.count("*").alias("n"))
@@ -68,7 +78,7 @@ def notable_hypotheses(log: DataFrame) -> DataFrame:
     """(run_id, seq, id, what) of hypotheses that a run created and that a report names."""
     table = F.create_map(*(F.lit(x) for pair in NOTABLE.items() for x in pair))
     what = table[F.regexp_extract("id", "^hyp:([^:]*):", 1)]
-    return _whole(log).where((F.col("kind") == "node_upserted") & _made()).select("run_id", "seq", "id", what.alias("what")).where("what is not null")
+    return whole(log).where((F.col("kind") == "node_upserted") & _made()).select("run_id", "seq", "id", what.alias("what")).where("what is not null")
 
 
 def hypothesis_leads(nodes: DataFrame) -> DataFrame:
