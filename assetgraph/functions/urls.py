@@ -110,15 +110,40 @@ def port_of(url: Column) -> Column:
     return F.regexp_extract(netloc_of(url), r":([0-9]+)$", 1).try_cast("int")
 
 
+def _unescaped(text: Column) -> Column:
+    """A query part as text: + is a space, %XX a byte of UTF-8; what is no escape stays, and bytes that are no UTF-8 become
+    U+FFFD. The text is read as hex: each escape is its two digits, anything else the hex of its bytes."""
+    plain = F.replace(text, F.lit("+"), F.lit(" "))
+    pieces = F.regexp_extract_all(plain, F.lit("(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    code = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(x, 2, 2)).otherwise(F.hex(x.cast("binary")))), "")
+    return F.when(text.contains("%"), F.make_valid_utf8(F.unhex(code).cast("string"))).otherwise(plain)
+
+
+def _escaped(text: Column) -> Column:
+    """Form encoding: letters, digits and _ . - ~ stay, a space is +, all else %XX of its bytes."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def canonical_query(query: Column) -> Column:
+    """The pairs of a query, decoded, sorted and encoded again; a pair without = has an empty value, an empty pair goes."""
+    pairs = F.filter(F.split(query, "&"), lambda x: x != "")
+    pair = lambda x: F.struct(_unescaped(F.substring_index(x, "=", 1)).alias("k"), _unescaped(F.regexp_replace(x, "(?s)^[^=]*=?", "")).alias("v"))
+    return F.array_join(F.transform(F.sort_array(F.transform(pairs, pair)), lambda x: F.concat(_escaped(x["k"]), F.lit("="), _escaped(x["v"]))), "&")
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, default port and fragment gone, path at least /, query pairs sorted."""
-    scheme = F.when(scheme_of(url) == "", "https").otherwise(scheme_of(url))
-    base = authority(canonical_host(netloc_of(url)), port_of(url), scheme)
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
-    pairs = F.filter(F.split(F.regexp_replace(_part(url, 4), r"^\?", ""), "&"), lambda x: x != "")
-    pair = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("v"))
-    query = F.array_join(F.transform(F.sort_array(F.transform(pairs, pair)), lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
-    return F.concat(scheme, F.lit("://"), base, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    """Lower-case scheme and host, default port and fragment gone, path at least /, query decoded, sorted and encoded again. Without
+    a scheme it is https; without // before it there is no host, and all is path and query."""
+    text = F.trim(url)
+    shape = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+    part = lambda k: F.regexp_extract(text, shape, k)
+    scheme = F.when(part(1) == "", "https").otherwise(F.lower(part(1)))
+    port = F.regexp_extract(part(2), r":([0-9]+)$", 1).try_cast("int")
+    host = F.regexp_replace(F.lower(part(2)), "^.*@", "")
+    host = F.when(host.startswith("["), F.regexp_extract(host, r"^\[([^\]]*)", 1)).otherwise(F.regexp_replace(host, ":.*$", ""))
+    path = F.when(part(3) == "", "/").otherwise(part(3))
+    query = canonical_query(part(4))
+    return F.concat(scheme, F.lit("://"), authority(F.regexp_replace(host, r"\.+$", ""), port, scheme), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
 def is_opaque_segment(segment: Column) -> Column:
@@ -249,7 +274,11 @@ def parse_duration(text: Column) -> Column:
 
 
 def binding_subject(node_id: Column, attrs: Column) -> Column:
-    """What a node's scope verdict is about: an attribute, else part of its id, else empty."""
+    """What a node's scope verdict is about: an attribute, else part of its id, else empty. A web application's is its authority, a
+    lead's the last part of its id, whatever its kind."""
     named = F.coalesce(*(F.when(attrs[k] != "", attrs[k]) for k in ("fqdn", "ip", "host", "registrable", "candidate_fqdn")))
-    by_id = F.coalesce(*(F.when(F.regexp_extract(node_id, p, 1) != "", F.regexp_extract(node_id, p, 1)) for p in (r"^(?:dns|domain|host|net):(.+)$", r"^svc:(.+):[0-9]+/[a-z]+$", r"^web:[a-z]+://(.+)$", r"^hyp:dns-candidate:(.+)$")))
+    by_id = (
+        F.when(node_id.rlike("^(?:dns|domain|host|net):"), F.regexp_extract(node_id, "^[a-z]+:(.*)$", 1)).when(node_id.startswith("web:"), F.regexp_extract(node_id, "^web:(?:.*?://)?([^/]*)", 1))
+        .when(node_id.startswith("svc:"), F.regexp_extract(node_id, "^svc:(.*):[^:]*$", 1)).when(node_id.startswith("hyp:"), F.substring_index(node_id, ":", -1))
+    )
     return F.coalesce(named, by_id, F.lit(""))

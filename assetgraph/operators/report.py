@@ -88,25 +88,29 @@ def hypothesis_leads(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("type") == "Hypothesis") & F.col("id").startswith("hyp:")).withColumns({"hypothesis": kind, "what": F.coalesce(table[kind], kind)})
 
 
-def delta_headline(log: DataFrame) -> DataFrame:
-    """(run_id, headline) of each run: drift before a violation before a quiet run before what is new. A kind of finding
-    that came up several times is named once, with its number."""
+MAX_LEADS = 100
+
+
+def delta_headline(log: DataFrame, most: int = MAX_LEADS) -> DataFrame:
+    """(run_id, headline, leads_left_out) of each run: drift before a violation before a quiet run before what is new: the counts of
+    new types by name, of forks, and each notable finding by itself, in order. A line names at most so many findings, as
+    its length would grow with the run; the others are counted."""
     delta = run_delta(log)
     new = run_delta_by_type(log).where("created > 0").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("type", F.col("created").alias("n")))).alias("new"))  # one entry per type
-    # notable findings by kind, which are few
-    leads = notable_hypotheses(log).groupBy("run_id", "what").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "what", "n"))).alias("leads"))
+    first = notable_hypotheses(log).withColumn("k", F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))).where(F.col("k") <= most)
+    leads = first.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "what"))).alias("leads"))
     rows = delta.join(new, "run_id", "left").join(leads, "run_id", "left")
     bits = F.concat(
         F.transform(F.coalesce("new", F.array().cast(TYPE_COUNTS)), lambda x: F.concat(x["n"].cast("string"), F.lit(" new "), x["type"])),
         F.array_compact(F.array(F.when(F.col("forks") > 0, F.concat(F.col("forks").cast("string"), F.lit(" contradiction(s) forked"))))),
-        F.transform(F.coalesce("leads", F.array().cast("array<struct<seq:bigint,what:string,n:bigint>>")), lambda x: F.when(x["n"] == 1, x["what"]).otherwise(F.concat(x["n"].cast("string"), F.lit(" x "), x["what"]))),
+        F.transform(F.coalesce("leads", F.array().cast("array<struct<seq:bigint,what:string>>")), lambda x: x["what"]),
     )
     # The headlines.
     headline = (
         F.when(F.col("drifts") > 0, F.lit("SCOPE DRIFT detected — re-bind before acting")).when(F.col("violations") > 0, F.concat(F.lit("HALTED on a safety invariant ("), F.col("first_violation"), F.lit(")")))
         .when(F.col("quiet"), "no change since the previous run").otherwise(F.array_join(bits, "; "))
     )
-    return rows.select("run_id", headline.alias("headline"))
+    return rows.select("run_id", headline.alias("headline"), F.greatest(F.col("notable") - most, F.lit(0)).alias("leads_left_out"))
 
 
 def events_since(log: DataFrame, run_id: str | None = None, since_ts: str | None = None) -> DataFrame:

@@ -335,7 +335,7 @@ def run_delta(spark, sf_dir):
 
 @query(f"""WITH {_LOG}, {_DELTA.format('l')}, n AS (SELECT run_id, type, count(*) AS n FROM l WHERE kind = 'node_upserted' AND outcome = 'created' GROUP BY ALL), b AS (SELECT run_id, string_agg(n || ' new ' || type, '; ' ORDER BY type) AS new FROM n GROUP BY run_id)
 SELECT run_id, CASE WHEN drifts > 0 THEN 'SCOPE DRIFT detected — re-bind before acting' WHEN violations > 0 THEN 'HALTED on a safety invariant (' || first_violation || ')' WHEN {_QUIET} THEN 'no change since the previous run'
-  ELSE concat_ws('; ', new, CASE WHEN forks > 0 THEN forks || ' contradiction(s) forked' END, CASE WHEN notable = 1 THEN 'subdomain-takeover candidate' WHEN notable > 1 THEN notable || ' x subdomain-takeover candidate' END) END AS headline FROM d LEFT JOIN b USING (run_id)""")
+  ELSE concat_ws('; ', new, CASE WHEN forks > 0 THEN forks || ' contradiction(s) forked' END, CASE WHEN notable > 0 THEN array_to_string(list_transform(range(least(notable, 100)), lambda x: 'subdomain-takeover candidate'), '; ') END) END AS headline, greatest(notable - 100, 0) AS leads_left_out FROM d LEFT JOIN b USING (run_id)""")
 def delta_headline(spark, sf_dir):
     return report.delta_headline(event_log(spark, sf_dir))
 
@@ -693,3 +693,40 @@ def contract_graph(spark, sf_dir):
     routes = edges.where("type = 'exposes' and to like 'route:%'").groupBy(F.col("frm").alias("id")).agg(F.count("*").alias("n_routes"))
     apps = nodes.where("type = 'WebApp'").join(routes, "id", "left")
     return apps.select("id", "log_odds", F.coalesce("n_routes", F.lit(0)).alias("n_routes"), F.col("attrs")["cdn_or_waf"].alias("cdn"), "rules")
+
+
+def awkward_urls(spark, sf_dir):
+    """Customers' names and comments in queries and hosts that need decoding, encoding and sorting."""
+    n = F.col("c_custkey") % 6
+    text = F.col("c_custkey").cast("string")
+    query = F.concat(F.lit("b=%7Ex&a="), text, F.lit("&q=a%20b+c&e=\u00e9&s=/x*y&a=&z&&p=%zz"))
+    base = F.when(n == 0, F.concat(F.lit("HTTP://C"), text, F.lit(".Example.com:80"))).when(n == 1, F.concat(F.lit("https://u:p@c"), text, F.lit(".example.com:8443/P"))).when(n == 2, F.concat(F.lit("c"), text, F.lit(".example.com/x"))).when(n == 3, F.lit("//h.example.com")).otherwise("https://h.example.com/a")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(base, F.when(n == 5, "#frag").otherwise(F.concat(F.lit("?"), query))).alias("url"))
+
+
+@query(r"""WITH c AS (SELECT c_custkey, c_custkey % 6 AS n, c_custkey::VARCHAR AS t FROM customer),
+q AS (SELECT *, 'a=&a=' || t || '&b=~x&e=%C3%A9&p=%25zz&q=a+b+c&s=%2Fx%2Ay&z=' AS q FROM c)
+SELECT c_custkey, CASE n WHEN 0 THEN 'http://c' || t || '.example.com/?' || q WHEN 1 THEN 'https://c' || t || '.example.com:8443/P?' || q WHEN 2 THEN 'https://c' || t || '.example.com/x?' || q WHEN 3 THEN 'https://h.example.com/?' || q
+  WHEN 4 THEN 'https://h.example.com/a?' || q ELSE 'https://h.example.com/a' END AS canonical_url FROM q""")
+def encoded_urls(spark, sf_dir):
+    return awkward_urls(spark, sf_dir).select("c_custkey", U.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey % 6 AS n, 'c' || c_custkey || CASE WHEN c_nationkey % 2 = 0 THEN '.example.com' ELSE '.example.org' END AS host, c_nationkey % 2 = 0 AS com, CASE WHEN c_nationkey % 3 = 0 THEN 'in_scope' ELSE 'out_of_scope' END AS was FROM customer),
+v AS (SELECT *, CASE n WHEN 0 THEN 'dns:' || host WHEN 1 THEN 'web:https://' || host || '/x' WHEN 2 THEN 'hyp:dangling-cname:' || host WHEN 3 THEN 'hyp:email-spoofable:' || host WHEN 4 THEN 'svc:10.0.0.1:443/tcp#' || c_custkey ELSE 'route:web:https://' || host || '/x' END AS id FROM c),
+w AS (SELECT id, was, CASE WHEN n = 4 THEN '10.0.0.1' ELSE host END AS subject, CASE WHEN n < 4 AND com THEN 'in_scope' ELSE 'out_of_scope' END AS now FROM v WHERE n < 5)
+SELECT id, subject, was AS old_verdict, now AS new_verdict, CASE WHEN was = now THEN 'rebound' WHEN was = 'in_scope' THEN 'lost' ELSE 'gained' END AS change, now AS replayed FROM w""")
+def rebinding(spark, sf_dir):
+    """Nodes of many kinds under a new policy; replayed is the verdict that the fold of the binding events gives."""
+    n, text = F.col("c_custkey") % 6, F.col("c_custkey").cast("string")
+    host = F.concat(F.lit("c"), text, F.when(F.col("c_nationkey") % 2 == 0, ".example.com").otherwise(".example.org"))
+    prefix = F.when(n == 0, "dns:").when(n == 1, "web:https://").when(n == 2, "hyp:dangling-cname:").when(n == 3, "hyp:email-spoofable:").when(n == 5, "route:web:https://")
+    node = F.when(n == 4, F.concat(F.lit("svc:10.0.0.1:443/tcp#"), text)).otherwise(F.concat(prefix, host, F.when(n % 4 == 1, "/x").otherwise("")))
+    was = F.when(F.col("c_nationkey") % 3 == 0, "in_scope").otherwise("out_of_scope")
+    nodes = table(spark, sf_dir, "customer").select(node.alias("id"), F.create_map().cast("map<string,string>").alias("attrs"), was.alias("verdict"), F.lit("snap:1").alias("snapshot_id"))
+    rules = scope.scope_rules(spark, ["*.example.com"])
+    events = scope.rebind_events(nodes, rules, "snap:2", "2026-01-10", "r").withColumn("seq", F.lit(2).cast("long"))
+    seen = nodes.select(F.lit(1).cast("long").alias("seq"), F.lit("node").alias("kind"), "id", F.lit("Host").alias("type"), F.lit("t").alias("tool"), F.lit("r").alias("rule_id"), F.lit("1").alias("ts"), "attrs", "verdict", "snapshot_id")
+    _, bindings, _ = fold.read_observations(events.select("seq", "kind", "payload"))
+    graph = fold.project_graph(seen, bindings).where("snapshot_id = 'snap:2'")
+    return scope.rebind(nodes, rules, "snap:2").join(graph.select("id", F.col("verdict").alias("replayed")), "id")
