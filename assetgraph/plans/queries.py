@@ -653,8 +653,8 @@ def page_certificates(spark, sf_dir):
 
 @query(rf"""WITH {_URLS}, h AS (SELECT DISTINCT host, {_VERDICT} AS verdict FROM u WHERE {_VALID}), k AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS apex FROM h WHERE verdict <> 'out_of_scope'),
 d AS (SELECT DISTINCT apex, CASE WHEN apex = 'example.net' THEN 'prefilter_only' ELSE 'in_scope' END AS verdict FROM k)
-SELECT 'dns:' || host AS id, verdict, CASE verdict WHEN 'in_scope' THEN 0.8 ELSE 0.0 END AS log_odds, CASE verdict WHEN 'in_scope' THEN 2 ELSE 1 END AS n_sources, TRUE AS enumerated, CASE verdict WHEN 'in_scope' THEN 'generate-candidates,probe-http,resolve-name' ELSE '' END AS rules FROM k
-UNION ALL SELECT 'domain:' || apex, verdict, 0.0, 1, verdict = 'prefilter_only', CASE verdict WHEN 'in_scope' THEN 'archive-mine,email-posture,enumerate-ct' ELSE '' END FROM d""")
+SELECT 'dns:' || host AS id, verdict, CASE verdict WHEN 'in_scope' THEN 0.8::DOUBLE ELSE 0 END AS log_odds, CASE verdict WHEN 'in_scope' THEN 2::BIGINT ELSE 1 END AS n_sources, TRUE AS enumerated, CASE verdict WHEN 'in_scope' THEN 'generate-candidates,probe-http,resolve-name' ELSE '' END AS rules FROM k
+UNION ALL SELECT 'domain:' || apex, verdict, 0, 1, verdict = 'prefilter_only', CASE verdict WHEN 'in_scope' THEN 'archive-mine,email-posture,enumerate-ct' ELSE '' END FROM d""")
 def certificate_graph(spark, sf_dir):
     """The hosts of pages as seeds, then their certificates: names in scope have a second source, and their gap of enumeration
     has closed, which opens that of candidates; their domains' gaps are still there."""
@@ -667,7 +667,7 @@ def certificate_graph(spark, sf_dir):
 @query(rf"""WITH {_URLS}, {_TEMPLATES},
 ok AS (SELECT scheme, host, 'web:' || scheme || '://' || host AS app, template, lpad(CAST(page_id AS VARCHAR), 14, '0') AS ts FROM t WHERE scheme IN ('http', 'https') AND template <> '' AND {_VERDICT} = 'in_scope'),
 w AS (SELECT app AS id, 'WebApp' AS type, min(ts) AS ts, count(DISTINCT template) AS n_exposed, host FROM ok GROUP BY app, host UNION ALL SELECT 'route:' || app || template, 'Route', min(ts), 0, host FROM ok GROUP BY app, template, host)
-SELECT id, type, '"' || ts || '"' AS stamp, n_exposed, 0.0 AS log_odds, TRUE AS enumerated, 'P' || CASE type WHEN 'WebApp' THEN 7 ELSE 30 END || 'D' AS half_life, host AS region, CASE type WHEN 'WebApp' THEN 'api-contract,auth-model,graphql-contract,mobile-association,tls-fingerprint' ELSE '' END AS rules FROM w""")
+SELECT id, type, '"' || ts || '"' AS stamp, n_exposed, 0::DOUBLE AS log_odds, TRUE AS enumerated, 'P' || CASE type WHEN 'WebApp' THEN 7 ELSE 30 END || 'D' AS half_life, host AS region, CASE type WHEN 'WebApp' THEN 'api-contract,auth-model,graphql-contract,mobile-association,tls-fingerprint' ELSE '' END AS rules FROM w""")
 def archive_graph(spark, sf_dir):
     """Archived pages through the log into a graph: each application and route with the hash of its captures' host as evidence,
     the routes that an application exposes, and the gaps that an archive leaves open. A second run of the same job adds nothing."""
@@ -681,7 +681,7 @@ def archive_graph(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
-SELECT 'web:https://c' || c_custkey || '.example.com' AS id, 2.0 AS log_odds, coalesce(n, 0) AS n_routes, CASE WHEN c_nationkey % 2 = 0 THEN '"cloudflare"' END AS cdn,
+SELECT 'web:https://c' || c_custkey || '.example.com' AS id, 2::DOUBLE AS log_odds, coalesce(n, 0) AS n_routes, CASE WHEN c_nationkey % 2 = 0 THEN '"cloudflare"' END AS cdn,
 CASE WHEN n > 0 THEN 'auth-model,mobile-association,resolve-identity' ELSE 'api-contract,auth-model,graphql-contract,mobile-association,resolve-identity' END AS rules FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
 def contract_graph(spark, sf_dir):
     """Responses of customers' applications, then the contracts of those with orders: their routes are known and typed, so the
