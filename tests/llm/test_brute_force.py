@@ -153,13 +153,13 @@ def in_place(spark, docs):
     return place
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     compare(spark, entry.queries()[name], entry.oracle_sql()[name])
 
 
-def test_every_query_without_sql_is_in_this_file():
-    without = set(registry.QUERIES) - set(registry.SQL)
+def test_every_query_without_sql_is_in_this_file_or_its_own():
+    without = set(registry.QUERIES) - set(registry.SQL) - {"op11_alignment"}  # test_alignment.py
     assert without == {"op2_decontamination", "op3_ngram_join", "op4_token_packing", "op5_toxicity", "op6_mixing", "op7_sharding", "op8_quality_rules", "op10_language_id"}
 
 
