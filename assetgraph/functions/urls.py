@@ -1,8 +1,8 @@
 """Host, URL and identifier expressions: native columns, for use in any select or filter.
 
 Parsing is one regular expression over the URL, not Spark's parse_url, which gives null for hosts with
-underscores. Hosts beyond ASCII go through ``with_idna``, the only function here that runs Python, and only
-on the rows that need it.
+underscores. Hosts beyond ASCII go through ``with_idna`` and ``with_ascii_hosts``, which run Python only on the rows that
+need it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 # Two-label public suffixes under which names are registered at the third label.
 MULTI_SUFFIX = (
@@ -63,20 +64,42 @@ def normalize_host(value: Column) -> Column:
     return F.regexp_replace(F.when(F.regexp_count(host, F.lit(":")) == 1, F.regexp_replace(host, r":.*$", "")).otherwise(host), r"\.+$", "")
 
 
+def _idna(host: str) -> str:
+    """The host in ASCII form; what has none stays as it is."""
+    try:
+        return host.encode("idna").decode("ascii").lower()
+    except UnicodeError:
+        return host
+
+
 def _idna_all(host: pd.Series) -> pd.Series:
-    def one(x):
-        try:
-            return x.encode("idna").decode("ascii").lower()
-        except UnicodeError:
-            return x
+    return host.map(_idna, na_action="ignore")
+
+
+def _idna_lists(hosts: pd.Series) -> pd.Series:
+    return hosts.map(lambda x: [h if h is None else _idna(h) for h in x], na_action="ignore")
+
 
-    return host.map(one, na_action="ignore")
+def _ascii(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text) == F.char_length(text), F.lit(True))
 
 
 def with_idna(df: DataFrame, column: str) -> DataFrame:
-    """df with the host column in ASCII form; only rows beyond ASCII visit Python."""
-    plain = F.col(column).isNull() | F.col(column).rlike(r"^[\x00-\x7f]*$")
-    return df.where(plain).unionByName(df.where(~plain).withColumn(column, F.pandas_udf(_idna_all, "string")(column)))
+    """df with the column of hosts, or of lists of hosts, in ASCII form; only rows beyond ASCII visit Python. df is read twice."""
+    many = isinstance(df.schema[column].dataType, ArrayType)
+    plain = _ascii(F.array_join(column, "")) if many else _ascii(F.col(column))
+    encoded = F.pandas_udf(_idna_lists, "array<string>") if many else F.pandas_udf(_idna_all, "string")
+    return df.where(plain).unionByName(df.where(~plain).withColumn(column, encoded(column)))
+
+
+def with_ascii_hosts(df: DataFrame, column: str) -> DataFrame:
+    """df with the hosts of the column of URLs in ASCII form; user, port, path, query and fragment stay. Only URLs beyond ASCII
+    visit Python, and of these the host alone. df is read twice."""
+    shape = r"(?s)^(\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?)([^/?#@:]*)(.*)$"
+    part = lambda k: F.regexp_extract(column, shape, k)
+    plain = _ascii(F.col(column))
+    moved = df.where(~plain).withColumn(column, F.when(F.col(column).rlike(shape), F.concat(part(1), F.pandas_udf(_idna_all, "string")(F.lower(part(2))), part(3))).otherwise(F.col(column)))
+    return df.where(plain).unionByName(moved)
 
 
 def is_ipv4(host: Column) -> Column:

@@ -15,6 +15,7 @@ from assetgraph.functions.confidence import redact, redact_secret_shaped
 from assetgraph.operators import observe as O
 from assetgraph.operators.extract import ENUMERATED, FINGERPRINTED, extractor, retainable
 from assetgraph.operators.scope import bind_scope
+from assetgraph.sources.responses import read_json_documents
 from assetgraph.sources.shared import written
 
 # Methods of a path item, in order; depth of references; metadata fields; members of private keys.
@@ -35,7 +36,7 @@ def in_scope(docs: DataFrame, rules: DataFrame | None, tool: str, drops: Observa
     """docs (url, body, ...) of web applications whose host is in scope, with webapp (a struct of urls.parse_webapp), verdict,
     proof (the body's hash) and region. Without rules all are kept, and bound to nothing. portless: an application on a port
     of its own is refused, as its contract would speak for another."""
-    rows = docs.withColumn("app", F.explode(F.array_compact(F.array(U.parse_webapp(F.col("url"))))))
+    rows = U.with_ascii_hosts(docs, "url").withColumn("app", F.explode(F.array_compact(F.array(U.parse_webapp(F.col("url"))))))
     rows = rows.where("app.port is null") if portless else rows
     rows = rows.withColumns({"webapp": F.col("app.id"), "host": F.col("app.host"), "proof": F.array(F.sha2("body", 256)), "region": F.concat(F.lit(f"{tool}:GET "), "url")}).drop("app")
     return rows if rules is None else retainable(bind_scope(rows, "host", rules), drops=drops)
@@ -62,18 +63,31 @@ def as_list(json: Column) -> Column:
     return F.coalesce(F.when(F.trim(json).startswith("["), F.from_json(json, _LIST)), F.array().cast(_LIST))
 
 
-def resolved(value: Column, body: Column) -> Column:
-    """The value that a local reference leads to, through at most REF_DEPTH steps; null for external and missing ones."""
+def _child(node: Column, key: Column) -> Column:
+    """What a VARIANT node holds under a member's name or, if it is an array, at a position; null where there is nothing."""
+    quote = F.when(~key.contains('"'), '"').when(~key.contains("'"), "'")
+    by_name = F.when((key != "") & quote.isNotNull(), F.try_variant_get(node, F.concat(F.lit("$["), quote, key, quote, F.lit("]")), "variant"))
+    by_place = F.when(key.rlike("^[0-9]{1,9}$"), F.try_variant_get(node, F.concat(F.lit("$["), key, F.lit("]")), "variant"))
+    return F.coalesce(by_name, by_place)
+
+
+def resolved(value: Column, doc: Column) -> Column:
+    """The value that a local reference leads to, through at most REF_DEPTH steps; null for external and missing ones. doc is the
+    document as VARIANT, in which each step of a pointer is a lookup and not another reading of the text."""
 
     def step(x, _):
         ref = member(x, "$ref")
-        keys = F.transform(F.split(F.substring(ref, 3, 1 << 20), "/"), lambda k: F.concat(F.lit("['"), F.replace(F.replace(k, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")), F.lit("']")))
-        target = F.call_function("get_json_object", body, F.concat(F.lit("$"), F.array_join(keys, "")))
-        return F.when(ref.isNull(), x).when(ref.startswith("#/"), target)
+        keys = F.transform(F.split(F.substring(ref, 3, 1 << 20), "/"), lambda k: F.replace(F.replace(k, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+        return F.when(ref.isNull(), x).when(ref.startswith("#/"), F.to_json(F.aggregate(keys, doc, _child)))
 
     return F.when(value.contains("$ref"), F.aggregate(F.sequence(F.lit(1), F.lit(REF_DEPTH)), value, step)).otherwise(value)
 
 
+def external_references(body: Column) -> Column:
+    """How many references of a document lead out of it."""
+    return F.regexp_count(body, F.lit(r'"\$ref"\s*:\s*"[^"#]'))
+
+
 def _parameter(p: Column, level: Column) -> Column:
     schema = member(p, "schema")
     values = F.coalesce(member(schema, "enum"), member(p, "enum"))
@@ -83,13 +97,13 @@ def _parameter(p: Column, level: Column) -> Column:
     )
 
 
-def _properties(schema: Column, body: Column) -> Column:
+def _properties(schema: Column, doc: Column) -> Column:
     """The properties of a request body's schema as parameters."""
-    full = resolved(schema, body)
+    full = resolved(schema, doc)
     must = as_list(member(full, "required"))
 
     def one(e):
-        p = resolved(e["value"], body)
+        p = resolved(e["value"], doc)
         values = member(p, "enum")
         return F.struct(
             F.trim(e["key"]).alias("name"), F.lit("body").alias("location"), F.coalesce(member(p, "type"), F.lit("")).alias("type"), F.array_contains(must, e["key"]).alias("required"),
@@ -104,12 +118,15 @@ def contract_operations(specs: DataFrame) -> DataFrame:
     operation_id, parameters). Documents without a version or paths give none.
 
     Parameters of the operation override those of its path with the same name and place. The body of Swagger 2 is a
-    parameter, that of OpenAPI 3 the first typed media type by name; both give their schema's properties."""
-    body = F.col("body")
+    parameter, that of OpenAPI 3 the first typed media type by name; both give their schema's properties. In a document
+    that VARIANT cannot hold (an object with a name twice) no reference is followed."""
+    body, doc = F.col("body"), F.col("doc")
     version = F.coalesce(member(body, "openapi"), member(body, "swagger"))
     docs = specs if "webapp" in specs.columns else in_scope(specs, None, "openapi_discovery", portless=True)
     kept = _bound(docs)
-    docs = docs.where(F.trim("body").startswith("{")).select("body", "webapp", *kept, version.alias("spec_version"), as_object(member(body, "paths")).alias("paths")).where("spec_version is not null and paths is not null")
+    docs = read_json_documents(docs).where(F.trim("body").startswith("{")).select("doc", "webapp", *kept, version.alias("spec_version"), as_object(member(body, "paths")).alias("paths")).where("spec_version is not null and paths is not null")
+    # exploded from an array of one, so that it is parsed once and not again at each reference
+    docs = docs.withColumn("doc", F.explode(F.array("doc")))
 
     # each level is opened once: path items, then the declared operations with their parameters, then what these say
     good = F.filter(F.map_entries("paths"), lambda p: F.trim(p["key"]).rlike(TEMPLATE) & ~p["key"].contains("://"))
@@ -117,7 +134,7 @@ def contract_operations(specs: DataFrame) -> DataFrame:
     declared = lambda i: F.filter(F.array(*map(F.lit, METHODS)), lambda m: F.coalesce(F.trim(F.try_element_at(i["item"], m)).startswith("{"), F.lit(False)))
 
     def given(json, level):
-        return F.transform(F.filter(as_list(json), lambda p: p.isNotNull()), lambda p: F.struct(resolved(p, body).alias("p"), F.lit(level).alias("level")))
+        return F.transform(F.filter(as_list(json), lambda p: p.isNotNull()), lambda p: F.struct(resolved(p, doc).alias("p"), F.lit(level).alias("level")))
 
     def opened(i, m):
         op = F.try_element_at(i["item"], m)
@@ -126,9 +143,9 @@ def contract_operations(specs: DataFrame) -> DataFrame:
     def told(o):
         op = o["op"]
         plain = F.transform(F.filter(o["given"], lambda x: member(x["p"], "name").isNotNull() & (F.coalesce(member(x["p"], "in"), F.lit("")) != "body")), lambda x: _parameter(x["p"], x["level"]))
-        old = F.flatten(F.transform(F.filter(o["given"], lambda x: member(x["p"], "in") == "body"), lambda x: _properties(member(x["p"], "schema"), body)))
-        media = F.array_sort(F.filter(F.map_entries(as_object(member(resolved(member(op, "requestBody"), body), "content"))), lambda m: member(m["value"], "schema").isNotNull()))
-        new = F.flatten(F.transform(F.slice(media, 1, 1), lambda m: _properties(member(m["value"], "schema"), body)))
+        old = F.flatten(F.transform(F.filter(o["given"], lambda x: member(x["p"], "in") == "body"), lambda x: _properties(member(x["p"], "schema"), doc)))
+        media = F.array_sort(F.filter(F.map_entries(as_object(member(resolved(member(op, "requestBody"), doc), "content"))), lambda m: member(m["value"], "schema").isNotNull()))
+        new = F.flatten(F.transform(F.slice(media, 1, 1), lambda m: _properties(member(m["value"], "schema"), doc)))
         return F.struct(
             o["template"].alias("template"), F.upper(o["method"]).alias("method"), F.trim(F.regexp_replace(member(op, "summary"), r"\s+", " ")).alias("summary"), F.trim(member(op, "operationId")).alias("operation_id"),
             F.concat(plain, old, F.when(op.contains("requestBody"), F.coalesce(new, F.array().cast(_PARAMETERS))).otherwise(F.array().cast(_PARAMETERS))).alias("parameters"),
@@ -154,10 +171,14 @@ def _once(rows: DataFrame, *by: str) -> DataFrame:
 
 
 @extractor("openapi_discovery", "Route", "Operation", "Parameter")
-def api_contracts(specs: DataFrame, rules: DataFrame | None = None, drops: Observation | None = None) -> DataFrame:
+def api_contracts(specs: DataFrame, rules: DataFrame | None = None, drops: Observation | None = None, shapes: Observation | None = None) -> DataFrame:
     """Observations of routes, operations and parameters that contracts (url, body) declare, with their edges. Contracts on ports
-    of their own are refused."""
-    ops = contract_operations(in_scope(specs, rules, "openapi_discovery", drops, portless=True))
+    of their own are refused. shapes counts the documents, those that declare no paths, and references that lead out of them."""
+    docs = in_scope(specs, rules, "openapi_discovery", drops, portless=True)
+    if shapes is not None:
+        no_spec = F.coalesce(member(F.col("body"), "openapi"), member(F.col("body"), "swagger")).isNull() | ~F.coalesce(F.trim(member(F.col("body"), "paths")).startswith("{"), F.lit(False))
+        docs = docs.observe(shapes, F.count(F.lit(1)).alias("documents"), F.count_if(no_spec).alias("no_spec"), F.coalesce(F.sum(external_references(F.col("body"))), F.lit(0)).alias("external_references"))
+    ops = contract_operations(docs)
     route = U.route_id(F.col("webapp"), F.col("template"))
     op = U.operation_id(F.col("method"), route)
     kept = _bound(ops)

@@ -59,12 +59,13 @@ def dns_answers(answers: DataFrame, rules: DataFrame, nodes: DataFrame, edges: D
 
     A resolved name stands with its addresses and aliases, as far as those are in scope too; a candidate among nodes
     (id, cname_targets) is corroborated. A known name that is gone but still points somewhere is a lead."""
-    rows = answers.withColumns({"name": U.canonical_host(F.col("name")), "outcome": dns_outcome(F.col("errno"))})
+    rows = U.with_idna(answers.withColumns({"name": U.canonical_host(F.col("name")), "outcome": dns_outcome(F.col("errno"))}), "name")
     rows = retainable(bind_scope(rows, "name", rules), drops=drops)
     rows = written(O.proved(rows, F.concat(F.lit("resolver:"), "name"), "name", "outcome", "canonical", "aliases", "addresses"), "answers")
     good = rows.where("outcome = 'resolved'")
     chain = F.transform(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))), U.canonical_host)
-    alias = F.filter(chain, lambda x: (x != "") & (x != F.col("name")) & U.valid_fqdn(x))
+    good = U.with_idna(good.withColumn("chain", chain), "chain")
+    alias = F.filter("chain", lambda x: (x != "") & (x != F.col("name")) & U.valid_fqdn(x))
     good = good.withColumn("cnames", F.slice(F.array_sort(F.array_distinct(alias)), 1, MAX_ALIASES))
     dns = U.dns_id(F.col("name"))
     # an address and an alias have verdicts of their own; their proof is the answer's
@@ -113,8 +114,9 @@ def certificate_names(certs: DataFrame) -> DataFrame:
     """certs with host canonical, sans (DNS names, sorted, at most MAX_SANS) and n_mail_dropped; mail addresses stay nowhere."""
     mail = F.size(F.filter("sans", lambda x: (F.lower(x["kind"]) == "email") | x["value"].contains("@")))
     names = F.transform(F.filter("sans", lambda x: (F.lower(x["kind"]) == "dns") & ~x["value"].contains("@")), lambda x: U.canonical_host(F.regexp_replace(F.trim(x["value"]), r"^\*\.", "")))
-    kept = F.slice(F.array_sort(F.array_distinct(F.filter(names, U.valid_fqdn))), 1, MAX_SANS)
-    return certs.withColumns({"host": U.canonical_host(F.col("host")), "n_mail_dropped": mail, "names": kept}).drop("sans").withColumnRenamed("names", "sans")
+    rows = certs.withColumns({"host": U.canonical_host(F.col("host")), "n_mail_dropped": mail, "names": names}).drop("sans")
+    rows = U.with_idna(U.with_idna(rows, "host"), "names")
+    return rows.withColumn("names", F.slice(F.array_sort(F.array_distinct(F.filter("names", U.valid_fqdn))), 1, MAX_SANS)).withColumnRenamed("names", "sans")
 
 
 @extractor("tls_probe", "WebApp", "Certificate", "Hypothesis", rule_id="tls-certificate")

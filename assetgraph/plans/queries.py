@@ -452,6 +452,12 @@ def customer_graph(spark, sf_dir):
     return rows.unionByName(apps), edges
 
 
+def stored_graph(spark, sf_dir):
+    """customer_graph() as tables, which is what a graph is to those who plan with it: it is read several times."""
+    nodes, edges = customer_graph(spark, sf_dir)
+    return written(nodes, "nodes"), written(edges, "edges")
+
+
 def gap_history(spark, sf_dir):
     """Gaps of customers that were dispatched within the last day, or before it."""
     key = F.concat(F.lit("enumerate-ct:domain:c"), F.col("c_custkey").cast("string"))
@@ -476,14 +482,14 @@ UNION ALL SELECT 'reverify:' || id, 'reverify', id, TRUE, stale * deficit / 2 FR
 
 @query(f"WITH {_GAPS} SELECT gap_id, rule, node_id, passive, round(priority, 9) AS priority FROM g")
 def gap_rank(spark, sf_dir):
-    found = gaps.rank_gaps(gaps.plan_gaps(*customer_graph(spark, sf_dir), gap_history(spark, sf_dir), NOW, allow_active=True, include_prefilter=True))
+    found = gaps.rank_gaps(gaps.plan_gaps(*stored_graph(spark, sf_dir), gap_history(spark, sf_dir), NOW, allow_active=True, include_prefilter=True))
     return found.select("gap_id", "rule", "node_id", "passive", F.round("priority", 9).alias("priority"))
 
 
 @query(f"WITH {_GAPS} SELECT gap_id, round(priority, 9) AS priority FROM g WHERE passive AND NOT (rule = 'enumerate-ct' AND TRY_CAST(split_part(node_id, ':c', 2) AS INT) % 2 = 1) ORDER BY g.priority DESC, gap_id LIMIT 1")
 def next_gap(spark, sf_dir):
     attempted = table(spark, sf_dir, "customer").where("c_custkey % 2 = 1").select(F.concat(F.lit("enumerate-ct:domain:c"), F.col("c_custkey").cast("string")).alias("gap_id"))
-    found = gaps.next_gap(gaps.plan_gaps(*customer_graph(spark, sf_dir), gap_history(spark, sf_dir), NOW, allow_active=True, include_prefilter=True), attempted)
+    found = gaps.next_gap(gaps.plan_gaps(*stored_graph(spark, sf_dir), gap_history(spark, sf_dir), NOW, allow_active=True, include_prefilter=True), attempted)
     return found.select("gap_id", F.round("priority", 9).alias("priority"))
 
 

@@ -216,3 +216,40 @@ def test_extractors_have_one_name_each():
         extract.register_extractor("wayback", (), print)
     with pytest.raises(KeyError):
         extract.get_extractor("nope")
+
+
+def test_references_into_arrays_and_out_of_documents(spark):
+    from pyspark.sql import Observation
+
+    spec = {
+        "openapi": "3.1.0", "shared": {"list": [{"name": "zero", "in": "query"}, {"$ref": "#/shared/by'name"}], "by'name": {"name": "one", "in": "query", "schema": {"enum": [1, 2.5, "x"]}}, "7": {"name": "seven", "in": "header"}, "": {}},
+        "paths": {"/a": {"parameters": [{"$ref": f"#/shared/{p}"} for p in ("list/0", "list/1", "list/2", "7", "none", "/x")] + [{"$ref": "other.json#/a"}, {"$ref": "#/paths/~1a/parameters/6"}], "get": {}}},
+    }
+    docs = spark.createDataFrame([("https://a.example.com/s", json.dumps(spec)), ("https://b.example.com/s", "{}"), ("https://c.example.com/s", '{"openapi": "3", "openapi": "3", "paths": {"/x": {"get": {}}}}')], "url string, body string")
+    found = {p.name: p for r in contracts.contract_operations(docs).where("template = '/a'").collect() for p in r.parameters}
+    assert sorted(found) == ["one", "seven", "zero"] and found["one"].enum == ["1", "2.5", "x"]
+    seen = Observation("shapes")
+    kinds = [r.type for r in contracts.api_contracts(docs, shapes=seen).select("type").collect()]
+    assert kinds.count("Route") == 2 and kinds.count("Parameter") == 3
+    assert seen.get == {"documents": 3, "no_spec": 1, "external_references": 1}
+
+
+def test_hosts_beyond_ascii_are_one_host_in_every_job(spark):
+    rules = scope.scope_rules(spark, ["*.xn--mnchen-3ya.example", "xn--mnchen-3ya.example"], [], [])
+    name = "www.xn--mnchen-3ya.example"
+    captures = spark.createDataFrame([("http://www.München.example:8080/a", "20200101000000"), (f"http://{name}/b", "20190101000000"), ("http://u@www.münchen.example/c", "20190101000000")], "original string, timestamp string")
+    got = sorted((r.type, r.host, r.template) for r in extract.archive_routes(captures, rules).collect())
+    assert got == [("Route", name, "/a"), ("Route", name, "/b"), ("WebApp", name, "")]
+    logged = spark.createDataFrame([("münchen.example", json.dumps([{"name_value": f"*.www.MÜNCHEN.example\n{name}\n"}]))], "apex string, body string")
+    assert [r.id for r in extract.ct_names(logged, rules).collect()] == [f"dns:{name}"]
+    seeds = spark.createDataFrame([("https://www.münchen.example/x",), (name,)], "value string")
+    assert [(r.id, r.verdict, len(r.spellings)) for r in extract.ingest_seeds(seeds, rules).collect()] == [(f"dns:{name}", "in_scope", 2)]
+    spec = spark.createDataFrame([("https://www.münchen.example/s", '{"openapi": "3", "paths": {"/x": {"get": {}}}}')], "url string, body string")
+    assert [r.webapp for r in contracts.contract_operations(contracts.in_scope(spec, rules, "t")).collect()] == [f"web:https://{name}"]
+    answers = spark.createDataFrame([("www.münchen.example", "cdn.münchen.example", ["a.example.com"], ["10.0.0.1"], None)], "name string, canonical string, aliases array<string>, addresses array<string>, errno string")
+    none = spark.createDataFrame([], "id string, cname_targets array<string>"), spark.createDataFrame([], "type string, frm string, to string")
+    ids = {r.id for r in probes.dns_answers(answers, rules, *none).where("kind = 'node'").collect()}
+    assert f"dns:{name}" in ids and "dns:cdn.xn--mnchen-3ya.example" in ids
+    certs = spark.createDataFrame([("www.münchen.example", [("DNS", "*.münchen.example"), ("DNS", "xn--mnchen-3ya.example")])], "host string, sans array<struct<kind:string,value:string>>")
+    row = probes.certificate_names(certs).first()
+    assert (row.host, row.sans) == (name, ["xn--mnchen-3ya.example"])
