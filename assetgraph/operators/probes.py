@@ -39,13 +39,13 @@ def _ipv6_hex(text: pd.Series) -> pd.Series:
 
 
 def canonical_addresses(answers: DataFrame) -> DataFrame:
-    """(name, addresses) -> (name, ips): valid addresses, each once, by family and number, at most MAX_ADDRESSES.
-    Only IPv6 visits Python."""
+    """(name, addresses) -> (name, ips, left_out): valid addresses, each once, by family and number, at most MAX_ADDRESSES, and
+    how many more there were. Only IPv6 visits Python."""
     rows = answers.select("name", F.explode("addresses").alias("a")).select("name", F.trim("a").alias("a"))
     four = rows.where(U.is_ipv4(F.col("a"))).select("name", F.struct(F.lit(4).alias("family"), F.lpad(F.lower(F.hex(U.ipv4_number(F.col("a")))), 8, "0").alias("bytes"), F.col("a").alias("ip")).alias("x"))
     six = rows.where(F.col("a").contains(":")).withColumn("a", F.pandas_udf(_ipv6, "string")("a")).where("a is not null")
     six = six.select("name", F.struct(F.lit(6).alias("family"), F.pandas_udf(_ipv6_hex, "string")("a").alias("bytes"), F.col("a").alias("ip")).alias("x"))
-    return four.unionByName(six).groupBy("name").agg(F.slice(F.array_sort(F.collect_set("x")), 1, MAX_ADDRESSES).alias("x")).select("name", F.transform("x", lambda e: e["ip"]).alias("ips"))
+    return four.unionByName(six).groupBy("name").agg(F.array_sort(F.collect_set("x")).alias("x")).select("name", F.transform(F.slice("x", 1, MAX_ADDRESSES), lambda e: e["ip"]).alias("ips"), F.greatest(F.size("x") - MAX_ADDRESSES, F.lit(0)).alias("left_out"))
 
 
 def dns_outcome(errno):
@@ -111,12 +111,14 @@ def service_observations(connects: DataFrame, hosts: DataFrame, edges: DataFrame
 
 
 def certificate_names(certs: DataFrame) -> DataFrame:
-    """certs with host canonical, sans (DNS names, sorted, at most MAX_SANS) and n_mail_dropped; mail addresses stay nowhere."""
+    """certs with host canonical, sans (DNS names, sorted, at most MAX_SANS), n_left_out (how many more there were) and
+    n_mail_dropped; mail addresses stay nowhere."""
     mail = F.size(F.filter("sans", lambda x: (F.lower(x["kind"]) == "email") | x["value"].contains("@")))
     names = F.transform(F.filter("sans", lambda x: (F.lower(x["kind"]) == "dns") & ~x["value"].contains("@")), lambda x: U.canonical_host(F.regexp_replace(F.trim(x["value"]), r"^\*\.", "")))
     rows = certs.withColumns({"host": U.canonical_host(F.col("host")), "n_mail_dropped": mail, "names": names}).drop("sans")
     rows = U.with_idna(U.with_idna(rows, "host"), "names")
-    return rows.withColumn("names", F.slice(F.array_sort(F.array_distinct(F.filter("names", U.valid_fqdn))), 1, MAX_SANS)).withColumnRenamed("names", "sans")
+    rows = rows.withColumn("names", F.array_sort(F.array_distinct(F.filter("names", U.valid_fqdn))))
+    return rows.withColumns({"n_left_out": F.greatest(F.size("names") - MAX_SANS, F.lit(0)), "names": F.slice("names", 1, MAX_SANS)}).withColumnRenamed("names", "sans")
 
 
 @extractor("tls_probe", "WebApp", "Certificate", "Hypothesis", rule_id="tls-certificate")

@@ -736,3 +736,61 @@ def rebinding(spark, sf_dir):
     _, bindings, _ = fold.read_observations(events.select("seq", "kind", "payload"))
     graph = fold.project_graph(seen, bindings).where("snapshot_id = 'snap:2'")
     return scope.rebind(nodes, rules, "snap:2").join(graph.select("id", F.col("verdict").alias("replayed")), "id")
+
+
+@query("SELECT DISTINCT 'c' || o_custkey || '.example.com' AS fqdn FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 2)")
+def unknown_candidates(spark, sf_dir):
+    """Names of customers with orders that are neither a known name nor a candidate already; an application is neither."""
+    prefix = F.when(F.col("s_suppkey") % 3 == 0, "dns:").when(F.col("s_suppkey") % 3 == 1, known.CANDIDATE).otherwise("web:https://")
+    nodes = table(spark, sf_dir, "supplier").select(F.format_string("%sc%d.example.com", prefix, "s_suppkey").alias("id"))
+    return known.drop_known(table(spark, sf_dir, "orders").select(F.format_string("c%d.example.com", "o_custkey").alias("fqdn")).distinct(), nodes)
+
+
+@query("""WITH e AS (SELECT o_custkey AS k, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS o, bool_or(o_orderstatus = 'P') AS p FROM orders GROUP BY 1)
+SELECT '10.0.0.' || c_custkey AS ip, CASE WHEN c_nationkey % 4 = 0 THEN 'c' || c_custkey || '.co.uk' WHEN c_nationkey % 4 = 1 THEN 'c' || c_custkey || '.com' WHEN o IS NOT NULL THEN 'z' || o || '.org' ELSE '10.0.0.' || c_custkey END AS ledger_key,
+c_nationkey % 4 = 1 OR coalesce(p, FALSE) AS shared_tenant FROM customer LEFT JOIN e ON k = c_custkey""")
+def probe_charges(spark, sf_dir):
+    """Who a probe of an address is charged to (its name by attribute, else by its first edge, else itself), and whether the
+    address serves several tenants."""
+    n, text = F.col("c_nationkey") % 4, F.col("c_custkey").cast("string")
+    attrs = F.when(n == 0, F.create_map(F.lit("fqdn"), F.concat(F.lit("A.c"), text, F.lit(".co.uk.")))).when(n == 1, F.create_map(F.lit("resolved_from"), F.concat(F.lit("https://x.y.c"), text, F.lit(".com/")), F.lit("cdn"), F.lit("true")))
+    hosts = table(spark, sf_dir, "customer").select(F.concat(F.lit("10.0.0."), text).alias("ip"), F.coalesce(attrs, F.create_map(F.lit("cdn"), F.lit("false"))).alias("attrs"))
+    address, status = F.format_string("host:10.0.0.%d", "o_custkey"), F.col("o_orderstatus")
+    name = F.format_string("%s%d.z%d.org", F.when(status == "F", "dns:o").otherwise("web:https://o"), "o_orderkey", "o_orderkey")
+    edges = table(spark, sf_dir, "orders").select(F.when(status == "P", "fronted_by").otherwise("resolves_to").alias("type"), F.when(status == "P", address).otherwise(name).alias("frm"), F.when(status == "P", "x").otherwise(address).alias("to"), F.col("o_orderkey").alias("seq"))
+    return known.shared_tenant(known.ledger_key(hosts, edges), edges).select("ip", "ledger_key", "shared_tenant")
+
+
+@query("""SELECT DISTINCT 'c' || o_custkey || '.example.com' AS fqdn, CASE o_orderstatus WHEN 'F' THEN 'f' ELSE 'o' END || '.cdn.example.net' AS cname FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey IN (SELECT c_custkey FROM customer)
+UNION SELECT 'c' || c_custkey || '.example.com', 'f.cdn.example.net' FROM customer WHERE c_nationkey % 2 = 0""")
+def known_aliases(spark, sf_dir):
+    """Where customers' names point, by edges and by what was read of the name before; what is no host name is left out."""
+    status = F.col("o_orderstatus")
+    edges = table(spark, sf_dir, "orders").select(F.when(status == "P", "resolves_to").otherwise("cname_to").alias("type"), F.format_string("dns:c%d.example.com", "o_custkey").alias("frm"), F.concat(F.lit("dns:"), status, F.lit(".CDN.example.net.")).alias("to"))
+    told = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("F.cdn.example.net"), F.lit("10.0.0.1"), F.lit("localhost")))
+    return known.known_cnames(table(spark, sf_dir, "customer").select(F.format_string("c%d.example.com", "c_custkey").alias("fqdn"), told.alias("cname_targets")), edges)
+
+
+@query("""SELECT 'c:' || o_custkey AS id, o_orderstatus AS tool, o_orderpriority AS rule_id FROM orders WHERE o_totalprice >= 150000
+EXCEPT SELECT 'c:' || o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice < 150000""")
+def source_changes(spark, sf_dir):
+    """Sources of a customer's dear orders that none of the cheap ones has."""
+    seen = table(spark, sf_dir, "orders").select(F.format_string("c:%d", "o_custkey").alias("id"), F.col("o_orderstatus").alias("tool"), F.col("o_orderpriority").alias("rule_id"), "o_totalprice")
+    return report.new_sources(seen.where("o_totalprice < 150000"), seen.where("o_totalprice >= 150000"))
+
+
+@query("""WITH t AS (SELECT p_brand AS type, count(*) FILTER (WHERE p_size < 20) AS b, count(*) FILTER (WHERE p_size >= 20) AS a FROM part GROUP BY 1) SELECT type, a - b AS delta FROM t WHERE a <> b""")
+def cycle_changes(spark, sf_dir):
+    """How many more large parts than small ones each brand has, where there is a difference."""
+    typed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("type"), "p_size")
+    return report.cycle_diff(report.type_counts(typed.where("p_size < 20")), report.type_counts(typed.where("p_size >= 20")))
+
+
+@query("""WITH t AS (SELECT c_custkey, ['Token', 'Host', 'NetBlock', 'Invoice'][c_nationkey % 4 + 1] AS type, c_custkey % 200 AS age FROM customer)
+SELECT c_custkey, type, ['PT12H', 'P3D', 'P180D', 'P14D'][list_position(['Token', 'Host', 'NetBlock', 'Invoice'], type)] AS half_life, age = 7 OR age > [0.5, 3, 180, 14][list_position(['Token', 'Host', 'NetBlock', 'Invoice'], type)] AS stale FROM t""")
+def snapshot_ages(spark, sf_dir):
+    """Half-lives by type, and whether something taken up to 199 days ago has outlived its own; an unreadable time has."""
+    kind = F.element_at(F.array(*map(F.lit, ("Token", "Host", "NetBlock", "Invoice"))), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    age = (F.col("c_custkey") % 200).cast("int")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", kind.alias("type"), F.when(age != 7, F.date_sub(F.lit(NOW).cast("date"), age).cast("string")).otherwise("some day").alias("taken_at")).withColumn("half_life", C.half_life_for(F.col("type")))
+    return rows.select("c_custkey", "type", "half_life", C.snapshot_is_stale(F.col("taken_at"), F.col("half_life"), F.lit(NOW)).alias("stale"))

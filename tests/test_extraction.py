@@ -253,3 +253,28 @@ def test_hosts_beyond_ascii_are_one_host_in_every_job(spark):
     certs = spark.createDataFrame([("www.münchen.example", [("DNS", "*.münchen.example"), ("DNS", "xn--mnchen-3ya.example")])], "host string, sans array<struct<kind:string,value:string>>")
     row = probes.certificate_names(certs).first()
     assert (row.host, row.sans) == (name, ["xn--mnchen-3ya.example"])
+
+
+def test_caps_say_what_they_leave_out(spark):
+    answers = spark.createDataFrame([("a", [f"10.0.{k // 250}.{k % 250}" for k in range(probes.MAX_ADDRESSES + 3)]), ("b", ["10.0.0.1", "10.0.0.1", "x"])], "name string, addresses array<string>")
+    assert {r.name: (len(r.ips), r.left_out) for r in probes.canonical_addresses(answers).collect()} == {"a": (probes.MAX_ADDRESSES, 3), "b": (1, 0)}
+    certs = spark.createDataFrame([("a.example.com", [("DNS", f"n{k}.example.com") for k in range(probes.MAX_SANS + 2)])], "host string, sans array<struct<kind:string,value:string>>")
+    row = probes.certificate_names(certs).first()
+    assert (len(row.sans), row.n_left_out) == (probes.MAX_SANS, 2)
+    spf = "v=spf1 " + " ".join(f"include:s{k}.net" for k in range(extract.MAX_INCLUDES + 1)) + " -all"
+    mail = spark.createDataFrame([("a.com", "TXT", [spf]), ("a.com", "MX", [f"10 m{k}.net" for k in range(extract.MAX_MX + 4)]), ("b.com", "TXT", ["v=spf1 -all"])], "name string, rrtype string, rdata array<string>")
+    got = {r.domain: (r.spf_includes_left_out, r.mx_left_out, len(r.mx_hosts)) for r in extract.email_posture(mail).collect()}
+    assert got == {"a.com": (1, 4, extract.MAX_MX), "b.com": (0, 0, 0)}
+
+
+def test_a_run_without_a_fresh_snapshot_finds_nothing_and_says_why(spark):
+    from assetgraph.operators import observe
+    from assetgraph.sources import events
+
+    seeds, log = spark.createDataFrame([("a.example.com",)], "value string"), spark.createDataFrame([], events.EVENT)
+    taken = events.take_snapshot(spark, "policy", ["*.example.com"], [], [], "2026-01-10 00:00:00")
+    run = observe.Run("r", "2026-01-10T01:00:00Z", taken.first().snapshot_id)
+    for snapshot, now, n, reason in ((taken, "2026-01-10 01:00:00", True, []), (taken, "2026-01-12 00:00:00", False, ["the snapshot is stale"]), (taken.limit(0), "2026-01-10 01:00:00", False, ["no snapshot is pinned"])):
+        last = events.latest_snapshot(snapshot, now)
+        new, _ = extract.run_extractor("seeds", run, log, seeds, rules(spark), snapshot=last)
+        assert (new.count() > 0) == n and [r.reason for r in events.refusals(last).collect()] == reason
