@@ -48,3 +48,8 @@ def test_events_are_encoded_once(spark):
     run = observe.Run("r", "2026-01-01 00:00:00", "snap:1")
     obs = observe.stamped(observe.nodes(spark.range(5), "Host", F.concat(F.lit("host:"), F.col("id").cast("string")), 0.0), observe.Source("t"), run)
     assert "to_json" not in plan_of(observe.as_events(obs, run))
+
+
+def test_line_items_are_grouped_by_numbers(spark):
+    nodes, _ = Q.customer_graph(spark, "/root/testdata/sf0.001")
+    assert "keys=[l_orderkey" in plan_of(nodes)
