@@ -83,6 +83,11 @@ def resolved(value: Column, doc: Column) -> Column:
     return F.when(value.contains("$ref"), F.aggregate(F.sequence(F.lit(1), F.lit(REF_DEPTH)), value, step)).otherwise(value)
 
 
+def at_least(spark) -> int:
+    """So many parts that each core has several."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def external_references(body: Column) -> Column:
     """How many references of a document lead out of it."""
     return F.regexp_count(body, F.lit(r'"\$ref"\s*:\s*"[^"#]'))
@@ -124,7 +129,8 @@ def contract_operations(specs: DataFrame) -> DataFrame:
     version = F.coalesce(member(body, "openapi"), member(body, "swagger"))
     docs = specs if "webapp" in specs.columns else in_scope(specs, None, "openapi_discovery", portless=True)
     kept = _bound(docs)
-    docs = read_json_documents(docs).where(F.trim("body").startswith("{")).select("doc", "webapp", *kept, version.alias("spec_version"), as_object(member(body, "paths")).alias("paths")).where("spec_version is not null and paths is not null")
+    # a document of few bytes may take long, so they are dealt out and not left in as few tasks as their bytes ask for
+    docs = read_json_documents(docs.select("body", "webapp", *kept).repartition(at_least(specs.sparkSession), F.xxhash64("body"))).where(F.trim("body").startswith("{")).select("doc", "webapp", *kept, version.alias("spec_version"), as_object(member(body, "paths")).alias("paths")).where("spec_version is not null and paths is not null")
     # exploded from an array of one, so that it is parsed once and not again at each reference
     docs = docs.withColumn("doc", F.explode(F.array("doc")))
 

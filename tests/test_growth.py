@@ -53,3 +53,12 @@ def test_events_are_encoded_once(spark):
 def test_line_items_are_grouped_by_numbers(spark):
     nodes, _ = Q.customer_graph(spark, "/root/testdata/sf0.001")
     assert "keys=[l_orderkey" in plan_of(nodes)
+
+
+def test_documents_are_dealt_out_before_they_are_read(spark):
+    from assetgraph.operators import contracts
+
+    specs = spark.createDataFrame([("https://a.example.com/openapi.json", '{"openapi":"3.0.0","paths":{"/x":{"get":{}}}}')], "url string, body string")
+    found = contracts.contract_operations(specs)
+    assert "REPARTITION_BY_NUM" in plan_of(found)
+    assert [(r.template, r.method) for r in found.collect()] == [("/x", "GET")]
