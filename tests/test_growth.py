@@ -47,7 +47,8 @@ def test_bindings_do_not_fold_twice(spark, tmp_path):
 def test_events_are_encoded_once(spark):
     run = observe.Run("r", "2026-01-01 00:00:00", "snap:1")
     obs = observe.stamped(observe.nodes(spark.range(5), "Host", F.concat(F.lit("host:"), F.col("id").cast("string")), 0.0), observe.Source("t"), run)
-    assert "to_json" not in plan_of(observe.as_events(obs, run))
+    plan = plan_of(observe.as_events(obs, run))
+    assert "Range (" not in plan and "FileScan parquet" in plan
 
 
 def test_line_items_are_grouped_by_numbers(spark):
