@@ -63,3 +63,24 @@ def test_documents_are_dealt_out_before_they_are_read(spark):
     found = contracts.contract_operations(specs)
     assert "REPARTITION_BY_NUM" in plan_of(found)
     assert [(r.template, r.method) for r in found.collect()] == [("/x", "GET")]
+
+
+def test_a_host_is_named_once(spark):
+    from assetgraph.functions import urls as U
+
+    rows = spark.createDataFrame([("u:p@[2001:db8::1]:443",), ("https://A.example.com:443/x",), ("[a:b]",), (None,)], "v string")
+    thrice = rows.select(U.canonical_host(U.canonical_host(U.canonical_host(F.col("v")))).alias("h"))
+    assert thrice._jdf.queryExecution().analyzed().toString().count("coalesce(") == 3
+    assert [r.h for r in rows.select(U.canonical_host(F.col("v")).alias("h")).collect()] == ["2001:db8::1", "a.example.com", "a:b", ""]
+
+
+def test_names_and_seeds_are_read_once(spark):
+    from assetgraph.operators import extract, scope
+
+    rules = scope.scope_rules(spark, ["*.example.com"])
+    body = '[{"name_value":"a.example.com\\n*.a.example.com"},{"name_value":"a.example.com"}]'
+    hosts = extract._ct_hosts(spark.createDataFrame([("example.com", body)], "apex string, body string"))
+    assert "from_json" not in plan_of(hosts) and [tuple(r) for r in hosts.collect()] == [("a.example.com", "example.com")]
+    seeds = spark.createDataFrame([("*.b.example.com",), ("b.example.com",), ("b.example.com ",)], "value string")
+    bound = extract.ingest_seeds(seeds, rules)
+    assert "collect_set(spelling" not in plan_of(bound) and [(r.canonical, r.wildcard, r.spellings) for r in bound.collect()] == [("b.example.com", True, ["*.b.example.com", "b.example.com"])]
