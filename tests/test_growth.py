@@ -84,3 +84,14 @@ def test_names_and_seeds_are_read_once(spark):
     seeds = spark.createDataFrame([("*.b.example.com",), ("b.example.com",), ("b.example.com ",)], "value string")
     bound = extract.ingest_seeds(seeds, rules)
     assert "collect_set(spelling" not in plan_of(bound) and [(r.canonical, r.wildcard, r.spellings) for r in bound.collect()] == [("b.example.com", True, ["*.b.example.com", "b.example.com"])]
+
+
+def test_archived_urls_are_read_once(spark):
+    from assetgraph.functions import urls as U
+    from assetgraph.operators import extract
+
+    captures = spark.createDataFrame([("https://a.example.com/x/12?q=1", "20200101000000"), ("https://a.example.com/x/13", "20190101000000")], "original string, timestamp string")
+    found = extract.earliest_captures(captures)
+    assert "original" not in plan_of(found)
+    assert sorted((r.type, r.template, r.archived_timestamp) for r in found.collect()) == [("Route", "/x/{id}", "20190101000000"), ("WebApp", "", "20190101000000")]
+    assert captures.select(U.archived_url(F.col("original")).alias("u"))._jdf.queryExecution().analyzed().toString().count("split(") == 1
