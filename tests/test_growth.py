@@ -1,5 +1,8 @@
 """What must not grow faster than the input: how often rows are moved and read."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from assetgraph.operators import fold, observe
@@ -95,3 +98,44 @@ def test_archived_urls_are_read_once(spark):
     assert "original" not in plan_of(found)
     assert sorted((r.type, r.template, r.archived_timestamp) for r in found.collect()) == [("Route", "/x/{id}", "20190101000000"), ("WebApp", "", "20190101000000")]
     assert captures.select(U.archived_url(F.col("original")).alias("u"))._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
+def test_forks_are_neither_aggregated_nor_joined_back(spark):
+    forks = Q.graph_forks(spark, "/root/testdata/sf0.001")
+    plan = plan_of(forks)
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    base = plan_of(Q.graph_project(spark, "/root/testdata/sf0.001"))
+    assert base.count("FileScan parquet [event_id") == 1
+
+
+def clashing(spark, n, keys=1, seqs=None, kinds=("node",)):
+    """Rows with all columns, of which most contradict."""
+    draw = random.Random(n + keys)
+    values, hashes = ['"x"', '"y"', '"z"', '""', "1", "1.0", "true", "[1]", "null"], ["p", "q", None]
+    step = lambda: ("e" + draw.choice("12"), draw.choice("tuv"), "1", "r", "1", "c")
+    rows = [
+        (
+            None if draw.random() < 0.001 and seqs else k % seqs if seqs else k, draw.choice(kinds), draw.choice(["hot", "hot", f"n{draw.randrange(20)}", None if draw.random() < 0.05 else "m"]), {f"a{draw.randrange(keys)}": draw.choice(values[:6]) for _ in range(draw.randrange(1, keys + 1))} | ({"l": "[%d]" % k} if draw.random() < 0.1 else {}),
+            [step() for _ in range(draw.randrange(4))], draw.choice([None, [], [(draw.choice(hashes), "eu", True) for _ in range(3)]]), draw.choice([None, {"b": draw.choice([True, False, None]), "a": True}]), str(k), draw.choice([None, "f"]), float(k % 3),
+        )
+        for k in draw.sample(range(9 * n), n)
+    ]
+    rows = spark.createDataFrame(rows, f"seq long, kind string, id string, attrs map<string,string>, chain array<{fold.STEP}>, evidence array<{fold.PROOF}>, coverage map<string,boolean>, ts string, forked_from string, log_odds double")
+    return rows.repartition(5).withColumn("type", F.lit("Host"))
+
+
+@pytest.mark.parametrize(("keys", "light", "seqs", "dense"), [(1, 1 << 16, None, True), (2, 1 << 16, None, True), (1, 100, None, True), (4, 100, None, True), (1, 1 << 16, 150, False)])
+def test_windows_and_single_forks_give_the_same_graph(spark, monkeypatch, tmp_path, keys, light, seqs, dense):
+    clashing(spark, 500, keys, seqs, ("node", "edge")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(fold, "LIGHT", light)
+    by = ("kind", "id")
+    told, alone = fold.told_apart(fold.full(rows), by)
+    assert alone == dense
+    shown = lambda df: sorted(map(repr, df.withColumns({c: F.map_entries(c) for c in ("attrs", "coverage")}).collect()))
+    want = fold.numbered(fold.full(rows), by)
+    assert shown(told.select("seq", *by, "fork", "attrs", "coverage")) == shown(want.select("seq", *by, "fork", "attrs", "coverage"))
+    assert want.where("fork > 0").count() > 100
+    got = fold._data(told.where("kind = 'node'"), fold.full(rows).where("kind = 'node'"), alone)
+    old = fold.merge(want.where("kind = 'node'"))
+    assert got.columns == old.columns and got.dtypes == old.dtypes and shown(got) == shown(old)
