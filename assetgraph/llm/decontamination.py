@@ -32,6 +32,8 @@ WINDOW = 13
 SMALL = 200_000
 #: Postings that an indexing task holds before it writes them.
 HELD = 2_000_000
+#: Shifted postings that a task sends at once (more if one list of postings has more), 32 bytes each.
+SHIFTED = 1 << 18
 #: Words by which the distance of two terms may differ in a proximity match.
 SLACK = 5
 #: A document is contaminated if SHARE times its hit words are at least its words.
@@ -70,13 +72,20 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The positional index, written. Rows of kind 0: a row of docs, numbered (rid, id, th the text's hash, n words). Rows of
     kind 1: n postings of a term, as the documents' numbers, counted from rid, and their positions: two bytes each where all of
     a task's fit, else four."""
+    W.bound_batches(docs)
     rows = docs.select(docs[text_col].alias("text"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), F.monotonically_increasing_id().alias("rid"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def flush(terms, owners, places):
-        t, d, p = np.concatenate(terms), np.concatenate(owners), np.concatenate(places)
+        def joined(parts):
+            whole = np.concatenate(parts)
+            parts.clear()  # what was held is not held twice
+            return whole
+
+        t = joined(terms)
         order = np.argsort(t, kind="stable")  # documents and positions stay in order
-        t, d, p = t[order], d[order], p[order]
+        t = t[order]
+        d, p = joined(owners)[order], joined(places)[order]
         cut = np.r_[np.flatnonzero(np.r_[True, t[1:] != t[:-1]]), len(t)].astype(np.int64)
 
         def binary(x):
@@ -143,7 +152,7 @@ def anchored(index: DataFrame, anchors: DataFrame) -> DataFrame:
                 docs, places = (np.frombuffer(x, f"<u{x.size // n[k]}").astype(np.int64) for x in packed)
                 at = lists[k].values
                 phrase, rank, offset, need = (at.field(c).to_numpy(zero_copy_only=False) for c in range(4))
-                each = max(1, (1 << 20) // len(docs))
+                each = max(1, SHIFTED // len(docs))
                 for a in range(0, len(phrase), each):
                     part = slice(a, a + each)
                     m = len(phrase[part])
@@ -198,6 +207,7 @@ def _verify(it):
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, index: DataFrame | None = None, slack: int = SLACK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, hits, near): rows (id, th, n_words) one per row of docs; hits (id, th, hit_at, items), the word positions inside any
     phrase and the items that it is from; near (id, th, item) by proximity."""
+    W.bound_batches(docs)
     own = index is None
     index = build_index(docs, id_col, text_col) if own else index
     rows = written(index.where("kind = 0").select("rid", "id", "th", F.col("n").cast("long").alias("n_words")), "rows")

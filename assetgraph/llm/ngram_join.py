@@ -343,6 +343,7 @@ def cross_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: id_col, th (text hash), n_shingles, component_id, is_first (the row that
     stays if one document of each component does)."""
+    W.bound_batches(docs)
     documents, alive = screen(docs, id_col, text_col, percent)
     living = written(documents.join(alive, "rid"), "living")
     reps = written(living.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("rid", "id", "th", "lack")).alias("x")).select("fp1", "fp2", "n", "x.*"), "distinct-sets")

@@ -14,6 +14,10 @@ import pyarrow as pa
 #: Bytes of text handled at once; one document may exceed it. Arrays of 8 bytes per byte of text
 #: are made, so a worker needs some 60 times this.
 CHUNK_BYTES = 1 << 18
+#: Bytes of the batches in which Spark hands rows to Python. A task holds some two or three at a time on either side, beside
+#: its heap, and Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -52,6 +56,14 @@ def _power_table(name: str, base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def bound_batches(df) -> None:
+    """Set BATCH_BYTES for df's session, unless the session has a bound of its own. Spark asks for it when rows are handed over,
+    which is after an operator has returned, so it stays set."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (i, j, bytes, offsets) of a string column, of about limit bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -164,6 +176,7 @@ def map_text(df, measure, schema: str, keep: list[str], text: str = "text"):
                 names = [*keep, *(f.split(" ")[0] for f in fields)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(1 + k) for k in range(len(keep))), *(pa.array(x) for x in made)], names=names)
 
+    bound_batches(df)
     chosen = df.select(df[text].alias("__text"), *(df[c] for c in keep))
     kept = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes[1:])
     return chosen.mapInArrow(batches, ", ".join(x for x in (kept, schema) if x))

@@ -3,10 +3,13 @@
 import collections
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assetgraph.llm import decontamination, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, toxicity, warc
+from assetgraph.llm import words as W
 
 LONG = " ".join(f"w{k * 7919 % 5003}" for k in range(30_000))
 PLAIN = "the quick brown fox jumps over the lazy dog and then it goes home to sleep for a while"
@@ -102,6 +105,32 @@ def test_one_index_serves_many_benchmarks(spark, docs, benchmark):
         assert given == own
 
 
+@pytest.mark.parametrize("name", ["quality", "near_copies", "decontamination"])
+def test_stages_hand_over_texts_in_small_batches(spark, tmp_path, benchmark, name):
+    """Also what is read after a stage has returned; a bound that the session has of its own stays."""
+    spark.createDataFrame([("q", PLAIN)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(4_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1_000).alias("text"))
+    stage, known = dict(corpus_pipeline.STAGES)[name], spark.conf.get(W.BATCH_CONF, None)
+
+    def sizes(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def largest():
+        return max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+
+    try:
+        spark.conf.unset(W.BATCH_CONF)
+        assert largest() > 4 * W.BATCH_BYTES
+        stage(spark, docs.limit(3), str(tmp_path))
+        assert largest() < 1.1 * W.BATCH_BYTES
+        spark.conf.set(W.BATCH_CONF, str(1 << 20))
+        stage(spark, docs.limit(3), str(tmp_path))
+        assert largest() < 1.1 * (1 << 20)
+    finally:
+        spark.conf.unset(W.BATCH_CONF) if known is None else spark.conf.set(W.BATCH_CONF, known)
+
+
 def test_ngram_join_on_copies_and_short_texts(docs):
     got = {r.doc_id: r for r in ngram_join.jaccard_components(docs).collect()}
     assert got[6].component_id == 1 and got[1].component_id == 1
