@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetgraph.operators import fold, observe
 from assetgraph.plans import queries as Q
+from assetgraph.sources import events, shared
 
 
 def plan_of(df):
@@ -139,3 +140,49 @@ def test_windows_and_single_forks_give_the_same_graph(spark, monkeypatch, tmp_pa
     got = fold._data(told.where("kind = 'node'"), fold.full(rows).where("kind = 'node'"), alone)
     old = fold.merge(want.where("kind = 'node'"))
     assert got.columns == old.columns and got.dtypes == old.dtypes and shown(got) == shown(old)
+
+
+@pytest.mark.parametrize("keys", [1, 4])
+def test_ids_of_one_row_are_told_apart_from_the_others(spark, monkeypatch, tmp_path, keys):
+    alone = clashing(spark, 60, keys, None, ("node", "edge")).withColumns({"id": F.concat(F.lit("one"), "seq"), "seq": F.col("seq") + 10000})
+    alone.unionByName(clashing(spark, 200, keys, None, ("node", "edge"))).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    new = spark.createDataFrame([(99999, k, ("out_of_scope", "s", "t", "r")) for k in ("hot", "n1", "one0")], "seq long, id string, binding struct<verdict:string,snapshot_id:string,observed_at:string,rule_matched:string>")
+    shown = lambda df: sorted(map(repr, df.withColumns({c: F.map_entries(c) for c in ("attrs", "coverage")}).collect()))
+    monkeypatch.setattr(shared, "SPARSE", 1 << 30)
+    together = fold.project_graph(rows, new)
+    monkeypatch.setattr(shared, "SPARSE", 0)
+    apart = fold.project_graph(rows, new)
+    assert apart.dtypes == together.dtypes and shown(apart) == shown(together)
+
+
+def test_ids_of_one_row_are_not_moved(spark, tmp_path):
+    sights(spark, 40, 40).drop("fork").withColumn("kind", F.lit("node")).write.parquet(str(tmp_path / "obs"))
+    graph = fold.project_graph(spark.read.parquet(str(tmp_path / "obs")))
+    assert "Exchange hashpartitioning" not in plan_of(graph) and graph.count() == 40
+
+
+@pytest.mark.parametrize("sparse", [0, 8, 1 << 30])
+def test_few_keys_that_come_twice_are_sought_apart(spark, monkeypatch, sparse):
+    monkeypatch.setattr(shared, "SPARSE", sparse)
+    event = lambda n, key, payload: (n, "2026", "r", "node_upserted", payload, 0, "a", key)
+    log = spark.createDataFrame([event(5, "k7", "p")], events.EVENT)
+    new = [event(0, f"k{n}", "p") for n in range(40)] + [event(0, "k3", "a"), event(0, "", "x"), event(0, "", "x"), event(0, None, "y")]
+    got = events.append_events(spark.createDataFrame(new, events.EVENT).drop("seq"), log)
+    assert sorted(r.seq for r in got.collect()) == list(range(6, 48))
+    assert sorted((r.idempotency_key or "", r.payload) for r in got.collect()) == sorted([(f"k{n}", "a" if n == 3 else "p") for n in range(40) if n != 7] + [("", "x"), ("", "x"), ("", "y")])
+
+
+def test_a_log_leaves_no_table_of_its_runs_behind(spark, monkeypatch, tmp_path):
+    from assetgraph.operators import scope
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    seeds = spark.createDataFrame([("a.example.com",), ("b.example.com",)], "value string")
+    rules = scope.scope_rules(spark, ["*.example.com"])
+    nodes, _ = Q.node_gaps(Q.logged(spark, ("seeds", seeds, rules), ("seeds", seeds, rules)))
+    assert not {"log", "events", "appended", "observations", "sights"} & {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert nodes.where("id = 'dns:a.example.com'").count() == 1
+    # tables that written() did not make stay
+    spark.range(3).write.parquet(str(tmp_path / "mine"))
+    shared.discard(spark.read.parquet(str(tmp_path / "mine")))
+    assert spark.read.parquet(str(tmp_path / "mine")).count() == 3
